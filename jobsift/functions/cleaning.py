@@ -88,13 +88,10 @@ def normalize_salary(c) -> dict[str, Column]:
 
 
 def canonical_salary(c) -> Column:
-    """Blank -> ``''``; objects and lists kept as compact JSON text."""
+    """Blank -> ``''``; objects (with or without min/max/text) and lists
+    stay JSON text in their original key order; other text unchanged."""
     s = _c(c).cast("string")
-    v = F.try_parse_json(s)
-    return (F.when(s.isNull() | (F.trim(s) == ""), F.lit(""))
-            .when(v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT")
-                                   | F.schema_of_variant(v).startswith("ARRAY")), F.to_json(v))
-            .otherwise(s))
+    return F.when(s.isNull() | (F.trim(s) == ""), F.lit("")).otherwise(s)
 
 
 def fix_url(c, always_prefix: bool = False) -> Column:

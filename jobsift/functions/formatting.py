@@ -58,13 +58,13 @@ def pluralize(n, singular: str, plural: str | None = None) -> Column:
 
 
 def format_filesize(c) -> Column:
-    """Bytes in 1024 steps, B/KB/MB/GB/TB, one decimal."""
+    """Bytes in 1024 steps, B/KB/MB/GB/TB, one decimal (ties round half up)."""
     b = _c(c).cast("double")
     units = ["B", "KB", "MB", "GB"]
     out = None
     for i, u in enumerate(units):
         cond = b < float(1024 ** (i + 1))
-        val = F.concat(F.format_string("%.1f", b / float(1024 ** i)), F.lit(" " + u))
+        val = F.concat(F.format_string("%.1f", F.round(b / float(1024 ** i), 1)), F.lit(" " + u))
         out = F.when(cond, val) if out is None else out.when(cond, val)
     return F.when(b.isNull(), F.lit(None)).otherwise(
-        out.otherwise(F.concat(F.format_string("%.1f", b / float(1024 ** 4)), F.lit(" TB"))))
+        out.otherwise(F.concat(F.format_string("%.1f", F.round(b / float(1024 ** 4), 1)), F.lit(" TB"))))

@@ -3,8 +3,8 @@
 ``percentile`` keeps every value of a group in one aggregation buffer, which
 fails when one group holds a third of all rows.  Here the values are range
 partitioned on ``(keys, value)`` so a hot group is split over many tasks,
-sorted inside each partition, and numbered with ``monotonically_increasing_id``
-(ids increase along a partition).  A small table of (partition, group) block
+sorted inside each partition, numbered with ``monotonically_increasing_id``
+(ids increase along a partition) and checkpointed once.  A small table of (partition, group) block
 sizes gives every block its global offset, which turns the wanted order
 statistics into exact (partition, id) pairs; only those rows are joined out.
 Interpolation is linear, as SQL ``percentile`` / ``quantile_cont``.
@@ -18,6 +18,8 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
     conds = [left[c].eqNullSafe(right[c]) for c in cols]
@@ -35,6 +37,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, num_parti
               .sortWithinPartitions(*keys, "_v")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id()))
+    # Partition ids and row ids must be identical in both uses below, even if
+    # a branch is re-planned or an executor is lost: materialise them once in
+    # the shared checkpoint folder (reliable checkpoint, lineage cut).
+    checkpoint_root(spark)
+    ranked = ranked.checkpoint(eager=True)
 
     blocks = ranked.groupBy("_pid", *keys).agg(F.min("_idx").alias("_first"),
                                                F.count(F.lit(1)).alias("_cnt"))

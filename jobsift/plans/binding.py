@@ -109,6 +109,37 @@ POSTINGS_TEXT_SQL = """
 SELECT p.*, d.text AS description
 FROM postings p LEFT JOIN documents d ON d.doc_id = CAST(p.id AS BIGINT)
 """
+# Timestamp texts in every shape the parsers meet, built from events.ts:
+# ISO with fraction + Z, ISO + Z, space-separated, date only, ISO minutes, garbage.
+TS_TEXTS_SQL = """
+SELECT event_id,
+       CASE event_id % 6
+            WHEN 0 THEN concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')
+            WHEN 1 THEN concat(replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T'), 'Z')
+            WHEN 2 THEN substr(CAST(ts AS STRING), 1, 19)
+            WHEN 3 THEN substr(CAST(ts AS STRING), 1, 10)
+            WHEN 4 THEN replace(substr(CAST(ts AS STRING), 1, 16), ' ', 'T')
+            ELSE concat('week ', CAST(event_id AS STRING)) END AS ts_text
+FROM events
+"""
+# Saved searches and their hits: one search per part brand; a hit per line
+# item (posting = its order, found on the ship date, score = discount).
+SEARCHES_SQL = """
+SELECT DISTINCT p_brand AS search_id, concat('brand ', p_brand) AS query FROM part
+"""
+SEARCH_RESULTS_SQL = """
+SELECT p.p_brand AS search_id, CAST(l.l_orderkey AS VARCHAR(20)) AS job_id, l.l_shipdate AS found_date,
+       l.l_discount AS relevance_score, l.l_linenumber AS line
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+"""
+# Page fetch log for run statistics and stop rules: one event = one page.
+PAGE_LOG_SQL = """
+SELECT event_id AS page, ts,
+       CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE user_id END AS n_jobs,
+       event_type = 'error' AS failed,
+       event_type <> 'signup' AS has_next
+FROM events
+"""
 # --- end of fixed values --------------------------------------------------
 
 DERIVED_VIEWS = {
@@ -121,6 +152,10 @@ DERIVED_VIEWS = {
     "postings_v2": POSTINGS_V2_SQL,
     "arrivals": ARRIVALS_SQL,
     "postings_text": POSTINGS_TEXT_SQL,
+    "ts_texts": TS_TEXTS_SQL,
+    "searches": SEARCHES_SQL,
+    "search_results": SEARCH_RESULTS_SQL,
+    "page_log": PAGE_LOG_SQL,
 }
 
 # Which derived views each view reads (to build CTE chains for the oracle).
