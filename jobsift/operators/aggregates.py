@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derived as D
 from . import filters as FL
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_and_ranked
 
 
 def _c(c) -> Column:
@@ -208,16 +208,17 @@ def salary_summary(df: DataFrame, key: Column, name: str, probs=(0.25, 0.5, 0.75
 
     Quartiles come from a range-partitioned distributed selection
     (``exact_quantiles``), so a category holding a third of all rows is
-    spread over many tasks instead of being buffered in one.
+    spread over many tasks instead of being buffered in one.  The other
+    statistics are read from the same checkpointed values (one derivation).
     """
     base = df.select(key.alias(name), salary_value().alias("salary_value"))
     base = base.where(F.col("salary_value").isNotNull())
-    stats = base.groupBy(name).agg(
+    q, vals = quantiles_and_ranked(base, [name], "salary_value", probs)
+    stats = vals.groupBy(name).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("salary_value").alias("min_salary"),
-        F.round(F.avg("salary_value"), 2).alias("mean_salary"),
-        F.max("salary_value").alias("max_salary"))
-    q = exact_quantiles(base, [name], "salary_value", probs)
+        F.min("_v").alias("min_salary"),
+        F.round(F.avg("_v"), 2).alias("mean_salary"),
+        F.max("_v").alias("max_salary"))
     q = q.groupBy(name).pivot("p", list(probs)).agg(F.first("q"))
     labels = {p: f"p{int(round(p * 100))}_salary" for p in probs}
     q = q.select(name, *[F.round(F.col(f"`{p}`"), 2).alias(labels[p]) for p in probs])

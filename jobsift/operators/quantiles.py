@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import operator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,13 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, num_partitions: int | None = None
                     ) -> DataFrame:
     """Return ``keys..., p, q``: the exact ``p``-quantile of ``value`` per group."""
+    return quantiles_and_ranked(df, keys, value, probs, num_partitions)[0]
+
+
+def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_partitions: int | None = None
+                         ) -> tuple[DataFrame, DataFrame]:
+    """As ``exact_quantiles``, also returning the checkpointed ``keys, _v`` rows
+    so callers can take other statistics from the same materialised values."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(
@@ -41,7 +49,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, num_parti
     # a branch is re-planned or an executor is lost: materialise them once in
     # the shared checkpoint folder (reliable checkpoint, lineage cut).
     checkpoint_root(spark)
-    ranked = ranked.checkpoint(eager=True)
+    cached = ranked.persist(StorageLevel.MEMORY_AND_DISK)  # checkpointing an unpersisted frame computes it twice
+    ranked = cached.checkpoint(eager=True)
+    cached.unpersist()
 
     blocks = ranked.groupBy("_pid", *keys).agg(F.min("_idx").alias("_first"),
                                                F.count(F.lit(1)).alias("_cnt"))
@@ -71,4 +81,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, num_parti
         F.max(F.when(F.col("role") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("role") == "hi", F.col("_v"))).alias("_hi"),
         F.max("frac").alias("_frac"))
-    return out.select(*keys, "p", (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("q"))
+    q = out.select(*keys, "p", (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("q"))
+    return q, ranked.select(*keys, "_v")
