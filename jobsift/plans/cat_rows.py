@@ -267,3 +267,14 @@ FROM ledger_events GROUP BY status""")(lambda s, d: A.ingest_counters(V(s, d, "l
 register("ingest_counters_rows", with_views("ledger_events") + """SELECT status, CAST(sum(row_count) AS BIGINT) AS total
 FROM ledger_events GROUP BY status""")(
     lambda s, d: A.ingest_counters(V(s, d, "ledger_events"), ["status"], "row_count"))
+
+# ---------------------------------------------------------------- R06, A28
+from ..operators import search as _R  # noqa: E402
+
+register("recent_batches", WL + """SELECT * FROM state ORDER BY start_time DESC NULLS LAST, batch_id DESC LIMIT 20""")(
+    lambda s, d: _R.recent_batches(STATE(s, d), 20))
+register("custom_sql", with_views("postings") + """SELECT batch_id, count(*) AS n FROM postings
+WHERE title ILIKE '%high%' GROUP BY batch_id""")(
+    lambda s, d: A.custom_sql(s, {"jobs": V(s, d, "postings")},
+                              "SELECT batch_id, count(*) AS n FROM jobs WHERE title ILIKE :kw GROUP BY batch_id",
+                              {"kw": "%high%"}))
