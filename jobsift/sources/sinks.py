@@ -51,23 +51,31 @@ def write_json(df: DataFrame, path: str, array: bool = True, files: int | None =
     lines = df.select(*([F.col(key)] if key else cols),
                       F.to_json(F.struct(*cols), JSON_OPTS).alias("_j"))
     spread = lines.repartition(n, key) if key else lines.repartition(n)
-    w = spread.select("_j").mapInPandas(_one_array_per_partition, "value string").write.mode("errorifexists")
+    w = spread.select("_j").mapInPandas(_array_writer(), "value string").write.mode("errorifexists")
     if compression:
         w = w.option("compression", compression)
     w.text(path)
     return path
 
 
-def _one_array_per_partition(batches):
-    """Join one partition's JSON records into a single array document, so each
-    output file holds exactly one array (about rows/files records)."""
-    import pandas as pd
+def _array_writer():
+    """The per-partition function of the array export.
 
-    parts: list[str] = []
-    for pdf in batches:
-        parts.extend(pdf["_j"].tolist())
-    if parts:
-        yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+    Built as a closure so it is shipped to Python workers by value: workers
+    need not have this package installed.  It joins one partition's JSON
+    records into a single array document, so each output file holds exactly
+    one array (about rows/files records).
+    """
+    def one_array_per_partition(batches):
+        import pandas as pd
+
+        parts: list[str] = []
+        for pdf in batches:
+            parts.extend(pdf["_j"].tolist())
+        if parts:
+            yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+
+    return one_array_per_partition
 
 
 NULL_MARK = "\\N"
