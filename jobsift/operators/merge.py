@@ -1,12 +1,14 @@
 """Upsert, delete, patch and change feed on a versioned parquet table.
 
 Plain parquet has no ``MERGE INTO``, and overwriting a path that is being
-read is unsafe, so a table is a sequence of immutable versions
-(``<root>/v=<n>/``) plus an append-only manifest (``<root>/_manifest/``).
-A merge writes version n+1 completely and appends the manifest row last:
-a failed or retried job leaves no visible partial version, and readers pin
-a version.  All merges are one full-outer equi-join on the key (both sides
-hash-partitioned on it; AQE splits skewed partitions).
+read is unsafe, so a table is a sequence of immutable versions of hash
+buckets (``<root>/v=<n>/bucket=<b>/``) plus an append-only manifest
+(``<root>/_manifest/``).  A merge rewrites only the buckets its batch
+touches and appends the manifest rows last: a failed or retried job leaves
+no visible partial version, and readers pin a version.  Merges are one
+full-outer equi-join on the key (both sides hash-partitioned on it; AQE
+splits skewed partitions); the frame-level functions below are also usable
+on their own.
 """
 
 from __future__ import annotations
@@ -146,12 +148,34 @@ def natural_key_conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    """Storage bucket of a key: ``pmod(xxhash64(key), buckets)``."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
 class VersionedTable:
-    """Immutable versions + append-only manifest on a shared file system."""
+    """Immutable versions of a hash-bucketed table + an append-only manifest.
+
+    Layout: ``<root>/v=<n>/bucket=<b>/`` holds the rows of bucket ``b`` as of
+    version ``n``; a version writes only the buckets it changes.  The
+    manifest (``<root>/_manifest``) has one row per (version, bucket written),
+    with ``present = false`` for a bucket that became empty, so a reader of
+    version ``n`` takes, per bucket, the newest write at or before ``n``.
+    The manifest rows are appended after the data is written: that append is
+    the commit point, and a failed job leaves no visible partial version.
+
+    A merge therefore reads and rewrites only the buckets its batch touches
+    (partition pruning by construction), not the whole table.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    MANIFEST_SCHEMA = ("version long, bucket int, present boolean, note string, committed_at timestamp_ntz, "
+                       "schema_json string")
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id"):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = int(buckets)
+        self.key = key
 
     @property
     def manifest_path(self) -> str:
@@ -159,7 +183,7 @@ class VersionedTable:
 
     def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.manifest_path)
+            return self.spark.read.schema(self.MANIFEST_SCHEMA).parquet(self.manifest_path)
         except Exception:  # noqa: BLE001 - no manifest yet = empty table
             return None
 
@@ -170,25 +194,100 @@ class VersionedTable:
         v = m.agg(F.max("version")).first()[0]  # one scalar of metadata
         return int(v or 0)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def bucket_map(self, version: int | None = None) -> list[tuple[int, int]]:
+        """(bucket, data version) pairs of a version: at most ``buckets`` rows of metadata."""
+        m = self._manifest()
+        if m is None:
+            return []
+        v = version or self.current_version()
+        latest = (m.where(F.col("version") <= v).groupBy("bucket")
+                  .agg(F.max_by(F.struct("version", "present"), F.col("version")).alias("w")))
+        return [(r["bucket"], r["w"]["version"]) for r in latest.where("w.present").collect()]
+
+    def _schema(self, version: int):
+        from pyspark.sql.types import StructType
+        import json
+        m = self._manifest()
+        js = m.where(F.col("version") <= version).orderBy(F.desc("version")).select("schema_json").first()[0]
+        return StructType.fromJson(json.loads(js))
+
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of a version (optionally only some buckets)."""
         v = version or self.current_version()
         if v == 0:
             raise FileNotFoundError(f"no committed version under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v={v:06d}")
+        pairs = [(b, dv) for b, dv in self.bucket_map(v) if buckets is None or b in set(buckets)]
+        if not pairs:
+            return self.spark.createDataFrame([], self._schema(v))
+        paths = [f"{self.root}/v={dv:06d}/bucket={b}" for b, dv in pairs]
+        return self.spark.read.schema(self._schema(v)).parquet(*paths)
 
-    def commit(self, df: DataFrame, note: str = "") -> int:
-        """Write the next version, then append its manifest row (commit point)."""
+    def _write(self, df: DataFrame, touched: list[int], note: str) -> int:
         v = self.current_version() + 1
         path = f"{self.root}/v={v:06d}"
-        df.write.mode("errorifexists").parquet(path)
-        row = [(v, path, note, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
-        (self.spark.createDataFrame(row, "version long, path string, note string, committed_at timestamp_ntz")
-         .coalesce(1).write.mode("append").parquet(self.manifest_path))
+        data = df.withColumn("_bucket", bucket_of(self.key, self.buckets))
+        # One task per bucket: each bucket folder gets one file, not one per shuffle partition.
+        (data.repartition(max(1, min(len(touched), self.buckets)), "_bucket")
+         .withColumnRenamed("_bucket", "bucket")
+         .write.mode("errorifexists").partitionBy("bucket").parquet(path))
+        written = set(self._written_buckets(path))
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        schema_json = df.schema.json()
+        rows = [(v, int(b), int(b) in written, note, now, schema_json) for b in sorted(set(touched))]
+        (self.spark.createDataFrame(rows, self.MANIFEST_SCHEMA).coalesce(1)
+         .write.mode("append").parquet(self.manifest_path))
         return v
 
-    def merge(self, source: DataFrame, now, key: str = "id", order: list[str] | None = None) -> int:
-        """U01 against the current version, committed as a new version."""
+    def _written_buckets(self, path: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("bucket="):
+                out.append(int(name.split("=", 1)[1]))
+        return out
+
+    def commit(self, df: DataFrame, note: str = "") -> int:
+        """Write a whole new version (every bucket)."""
+        return self._write(df, list(range(self.buckets)), note)
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """Buckets a batch touches: at most ``buckets`` small integers."""
+        return [r[0] for r in keys.select(bucket_of(self.key, self.buckets).alias("b")).distinct().collect()]
+
+    def merge(self, source: DataFrame, now, key: str | None = None, order: list[str] | None = None) -> int:
+        """Upsert a batch, rewriting only the buckets it touches."""
+        key = key or self.key
         cur = self.current_version()
+        src = dedupe_batch(source, key, order)
         if cur == 0:
-            return self.commit(with_audit_columns(dedupe_batch(source, key, order), now), "initial")
-        return self.commit(upsert(self.read(cur), source, now, key, order), "upsert")
+            return self.commit(with_audit_columns(src, now), "initial")
+        src = src.persist()
+        try:
+            touched = self._touched(src)
+            merged = upsert(self.read(cur, touched), src, now, key)
+            return self._write(merged, touched, "upsert")
+        finally:
+            src.unpersist()
+
+    def insert_new(self, source: DataFrame, now, key: str | None = None) -> int:
+        """Add only keys not present yet, touching only their buckets."""
+        key = key or self.key
+        src = dedupe_batch(source, key).persist()
+        try:
+            touched = self._touched(src)
+            return self._write(insert_only(self.read(None, touched), src, now, key), touched, "insert_only")
+        finally:
+            src.unpersist()
+
+    def delete(self, keys: DataFrame, key: str | None = None) -> int:
+        """Remove keys, rewriting only their buckets (emptied buckets are recorded)."""
+        key = key or self.key
+        ks = keys.select(key).distinct().persist()
+        try:
+            touched = self._touched(ks)
+            return self._write(delete_by_id(self.read(None, touched), ks, key), touched, "delete")
+        finally:
+            ks.unpersist()

@@ -251,13 +251,13 @@ def import_postings(spark: SparkSession, path: str, table: U.VersionedTable, now
     """Scan -> validate -> upsert (or insert only); returns total /
     inserted / updated / errors (and status ``empty`` for an empty input)."""
     raw = RD.scan_auto(spark, path, fmt=fmt, schema=schema)
-    valid = CO.validate_import(raw)
+    valid = CO.validate_import(raw).persist()
     cur = table.current_version()
-    target = table.read(cur) if cur else None
-    if target is None:
-        counts = valid.agg(F.count(F.lit(1)).alias("inserted")).withColumn("updated", F.lit(0).cast("long"))
+    if cur == 0:
+        counts = valid.select("id").distinct().agg(F.count(F.lit(1)).alias("inserted")).withColumn(
+            "updated", F.lit(0).cast("long"))
     else:
-        counts = U.upsert_counts(target, valid)
+        counts = U.upsert_counts(table.read(cur), valid)
         if not update_existing:
             counts = counts.withColumn("updated", F.lit(0).cast("long"))
     stats = raw.agg(F.count(F.lit(1)).alias("total"),
@@ -266,16 +266,13 @@ def import_postings(spark: SparkSession, path: str, table: U.VersionedTable, now
     s_row, c_row = stats.first(), counts.first()
     total, errors = int(s_row["total"]), int(s_row["errors"])
     inserted, updated = int(c_row["inserted"] or 0), int(c_row["updated"] or 0)
-    if total == 0:
-        status = "empty"
-    else:
-        if target is None:
-            table.commit(U.with_audit_columns(U.dedupe_batch(valid), now), "import")
-        elif update_existing:
-            table.commit(U.upsert(target, valid, now), "import")
+    status = "empty" if total == 0 else "success"
+    if total:
+        if update_existing or cur == 0:
+            table.merge(valid, now)
         else:
-            table.commit(U.insert_only(target, valid, now), "import")
-        status = "success"
+            table.insert_new(valid, now)
+    valid.unpersist()
     return spark.createDataFrame([(status, total, inserted, updated, errors)],
                                  "status string, total long, inserted long, updated long, errors long")
 

@@ -57,3 +57,30 @@ def test_prefix_agg_matches_global_window(spark):
     exp = ev.select("event_id", F.sum("value").over(w).alias("s2"), F.max("value").over(w).alias("m2"))
     bad = got.join(exp, "event_id").where((F.abs(F.col("s") - F.col("s2")) > 1e-6) | (F.col("m") != F.col("m2")))
     assert bad.count() == 0
+
+
+def test_merge_rewrites_only_touched_buckets(spark):
+    import os
+    from jobsift.session import local_path
+    root = work_path(spark, "test", "bucketed")
+    table = U.VersionedTable(spark, root, buckets=16)
+    p = B.postings(spark, SF_SMALL)
+    table.merge(p, "2024-01-01 00:00:00")
+    one = p.where(F.col("id") == "42").withColumn("title", F.lit("changed"))
+    v = table.merge(one, "2024-01-02 00:00:00")
+    written = [d for d in os.listdir(local_path(f"{root}/v={v:06d}")) if d.startswith("bucket=")]
+    assert len(written) == 1
+    cur = table.read()
+    assert cur.count() == p.count()
+    assert cur.where("id = '42'").first()["title"] == "changed"
+    assert table.read(1).where("id = '42'").first()["title"] != "changed"
+
+
+def test_delete_empties_bucket_without_resurrection(spark):
+    table = U.VersionedTable(spark, work_path(spark, "test", "deletes"), buckets=4)
+    p = B.postings(spark, SF_SMALL)
+    table.merge(p, "2024-01-01 00:00:00")
+    table.delete(p.select("id"))
+    assert table.read().count() == 0
+    table.insert_new(p.limit(3), "2024-01-03 00:00:00")
+    assert table.read().count() == 3
