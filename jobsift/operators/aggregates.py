@@ -121,20 +121,23 @@ def category_distribution(df, k=10, col: str = "job_post_categories", field: str
     return top_k(df, key, "category_name", k, nonempty=False, count_name="job_count")
 
 
-def _rank_sets(out: DataFrame, k: int, day_stat: str = "by_date") -> DataFrame:
-    """Rank a long ``stat, key, n`` frame: top-k per stat, every day, the total.
-
-    The top-k branch filters on ``row_number() <= k`` alone, which Spark plans
-    as a partial ``WindowGroupLimit`` before the shuffle: at most k rows per
-    stat leave each partition, however many groups there are.
+def _rank_sets(out: DataFrame, k: int, day_limit: int = 31, day_stat: str = "by_date") -> DataFrame:
+    """Rank a long ``stat, key, n`` frame in one window pass: top-k per stat
+    (count desc, key asc), every day (newest first), the total.
+
+    One window (not a union of branches, which would re-run the aggregate)
+    orders each stat by its own conditional sort keys.  The pure filter
+    ``rank <= max(k, day_limit)`` lets Spark insert a partial
+    ``WindowGroupLimit`` before the shuffle, so at most that many rows per
+    stat leave each partition; the per-stat cut follows.
     """
-    w = Window.partitionBy("stat").orderBy(F.desc("n"), F.asc_nulls_first("key"))
-    top = (out.where(~F.col("stat").isin("total", day_stat))
-           .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    w_day = Window.partitionBy("stat").orderBy(F.desc("key"))
-    days = out.where(F.col("stat") == day_stat).withColumn("rank", F.row_number().over(w_day))
-    total = out.where(F.col("stat") == "total").withColumn("rank", F.lit(1))
-    return top.unionByName(days).unionByName(total)
+    is_day = F.col("stat") == day_stat
+    w = Window.partitionBy("stat").orderBy(
+        F.when(is_day, F.lit(0)).otherwise(F.col("n")).desc(),
+        F.when(is_day, F.col("key")).desc_nulls_last(),
+        F.when(~is_day, F.col("key")).asc_nulls_first())
+    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, day_limit))
+    return ranked.where(F.col("stat").isin("total", day_stat) | (F.col("rank") <= k))
 
 
 def job_statistics(df: DataFrame, as_of, k: int = 10) -> DataFrame:
