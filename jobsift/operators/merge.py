@@ -33,7 +33,9 @@ def dedupe_batch(source: DataFrame, key: str = "id", order: list[str] | None = N
     packed = F.struct(*[F.col(f"`{c}`") for c in cols])
     ordering = F.struct(*[F.col(c) for c in order]) if order else packed
     agg = source.groupBy(key).agg(F.max_by(packed, ordering).alias("_r"))
-    return agg.select(*[F.col(f"_r.`{c}`").alias(c) for c in cols])
+    # The key is the grouping column itself, so the output stays hash-partitioned
+    # on it and a following join on the key needs no second shuffle.
+    return agg.select(*[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in cols])
 
 
 def _merge_cols(t: DataFrame, s: DataFrame, key: str, cols: list[str], now: Column,

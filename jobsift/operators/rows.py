@@ -25,7 +25,8 @@ def _keep(df: DataFrame, key: str, order: list[Column], pick) -> DataFrame:
     cols = df.columns
     packed = F.struct(*[F.col(f"`{c}`") for c in cols])
     agg = df.groupBy(key).agg(pick(packed, F.struct(*order)).alias("_row"))
-    return agg.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols])
+    # Keep the grouping column as the key: the result stays partitioned on it.
+    return agg.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in cols])
 
 
 def dedupe_first(df: DataFrame, key: str = "id", order=("page", "position")) -> DataFrame:
