@@ -71,6 +71,31 @@ def _bound(v: Column, key: str) -> Column:
                   | kind.startswith("DECIMAL"), F.nullif(as_num, F.lit(0.0))))
 
 
+def salary_bounds_frame(df, salary: str = "salary", keep=()):
+    """Normalised salary bounds as columns ``salary_min`` / ``salary_max``.
+
+    The JSON text is parsed once in its own projection and each bound's type
+    is read once in the next, so no parse is repeated inside ``CASE``
+    branches (Catalyst does not share work across branches).
+    """
+    keep = list(keep)
+    v = df.select(*keep, F.try_parse_json(F.col(salary).cast("string")).alias("_sv"))
+    v = v.select(*keep, F.schema_of_variant("_sv").startswith("OBJECT").alias("_obj"),
+                 *[e for k in ("min", "max") for e in (
+                     F.schema_of_variant(F.try_variant_get("_sv", f"$.{k}", "variant")).alias(f"_t{k}"),
+                     F.try_variant_get("_sv", f"$.{k}", "string").alias(f"_s{k}"),
+                     F.try_variant_get("_sv", f"$.{k}", "double").alias(f"_d{k}"))])
+
+    def bound(k):
+        kind, txt, num = F.col(f"_t{k}"), F.col(f"_s{k}"), F.col(f"_d{k}")
+        val = (F.when(kind == "STRING", F.when(F.length(txt) > 0, F.trim(txt).try_cast("double")))
+               .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
+                     F.nullif(num, F.lit(0.0))))
+        return F.when(F.col("_obj"), val)
+
+    return v.select(*keep, bound("min").alias("salary_min"), bound("max").alias("salary_max"))
+
+
 def normalize_salary(c) -> dict[str, Column]:
     """C20: salary text -> JSON object text (``{"raw": text}`` when unparseable)
     plus normalised numeric bounds."""

@@ -206,6 +206,15 @@ def salary_value(salary: str = "salary") -> Column:
     return F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).otherwise(F.coalesce(lo, hi))
 
 
+def salary_values(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """``name, salary_value`` with the JSON parsed once per row."""
+    from ..functions.cleaning import salary_bounds_frame
+    b = salary_bounds_frame(df.select(key.alias(name), "salary"), keep=[name])
+    lo, hi = F.col("salary_min"), F.col("salary_max")
+    mid = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).otherwise(F.coalesce(lo, hi))
+    return b.select(name, mid.alias("salary_value")).where(F.col("salary_value").isNotNull())
+
+
 def salary_summary(df: DataFrame, key: Column, name: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Count, min, mean, max and exact quartiles of the salary value per group.
 
@@ -214,8 +223,7 @@ def salary_summary(df: DataFrame, key: Column, name: str, probs=(0.25, 0.5, 0.75
     spread over many tasks instead of being buffered in one.  The other
     statistics are read from the same checkpointed values (one derivation).
     """
-    base = df.select(key.alias(name), salary_value().alias("salary_value"))
-    base = base.where(F.col("salary_value").isNotNull())
+    base = salary_values(df, key, name)
     q, vals = quantiles_and_ranked(base, [name], "salary_value", probs)
     stats = vals.groupBy(name).agg(
         F.count(F.lit(1)).alias("n"),
@@ -243,8 +251,7 @@ def salary_by_city(df: DataFrame) -> DataFrame:
 def salary_trend(df: DataFrame, col: str = "activation_time") -> DataFrame:
     """Monthly mean and median salary."""
     month = F.date_trunc("MONTH", F.col(col)).cast("timestamp_ntz")
-    base = df.where(F.col(col).isNotNull()).select(month.alias("month"), salary_value().alias("salary_value"))
-    base = base.where(F.col("salary_value").isNotNull())
+    base = salary_values(df.where(F.col(col).isNotNull()), month, "month")
     stats = base.groupBy("month").agg(F.count(F.lit(1)).alias("n"),
                                       F.round(F.avg("salary_value"), 2).alias("mean_salary"))
     med = exact_quantiles(base, ["month"], "salary_value", (0.5,)).select(

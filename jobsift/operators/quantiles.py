@@ -41,6 +41,9 @@ def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
+    # The range partitioner samples its input before shuffling it: keep the
+    # (narrow) input so it is derived once.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = (base.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_v"))
               .sortWithinPartitions(*keys, "_v")
               .withColumn("_pid", F.spark_partition_id())
@@ -52,6 +55,7 @@ def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_
     cached = ranked.persist(StorageLevel.MEMORY_AND_DISK)  # checkpointing an unpersisted frame computes it twice
     ranked = cached.checkpoint(eager=True)
     cached.unpersist()
+    base.unpersist()
 
     blocks = ranked.groupBy("_pid", *keys).agg(F.min("_idx").alias("_first"),
                                                F.count(F.lit(1)).alias("_cnt"))
