@@ -38,15 +38,19 @@ def dedupe_batch(source: DataFrame, key: str = "id", order: list[str] | None = N
     return agg.select(*[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in cols])
 
 
-def _merge_cols(t: DataFrame, s: DataFrame, key: str, cols: list[str], now: Column,
-                s_present: Column, t_present: Column) -> list[Column]:
-    out = [F.coalesce(s[key], t[key]).alias(key)]
+def _q(alias: str, c: str) -> Column:
+    """A column by alias-qualified name (robust when both sides share lineage)."""
+    return F.col(f"{alias}.`{c}`")
+
+
+def _merge_cols(key: str, cols: list[str], now: Column, s_present: Column, t_present: Column) -> list[Column]:
+    out = [F.coalesce(_q("s", key), _q("t", key)).alias(key)]
     for c in cols:
         if c == key:
             continue
-        out.append(F.when(s_present, s[c]).otherwise(t[c]).alias(c))
-    out.append(F.when(t_present, t["created_at"]).otherwise(now).alias("created_at"))
-    out.append(F.when(s_present, now).otherwise(t["updated_at"]).alias("updated_at"))
+        out.append(F.when(s_present, _q("s", c)).otherwise(_q("t", c)).alias(c))
+    out.append(F.when(t_present, _q("t", "created_at")).otherwise(now).alias("created_at"))
+    out.append(F.when(s_present, now).otherwise(_q("t", "updated_at")).alias("updated_at"))
     return out
 
 
@@ -63,16 +67,17 @@ def upsert(target: DataFrame, source: DataFrame, now, key: str = "id", order: li
     cols = [c for c in source.columns if c not in ("created_at", "updated_at")]
     s = dedupe_batch(source.select(*cols), key, order).alias("s")
     t = target.alias("t")
-    j = t.join(s, t[key] == s[key], "full_outer")
-    return j.select(*_merge_cols(t, s, key, cols, now, s[key].isNotNull(), t[key].isNotNull()))
+    j = t.join(s, _q("t", key) == _q("s", key), "full_outer")
+    return j.select(*_merge_cols(key, cols, now, _q("s", key).isNotNull(), _q("t", key).isNotNull()))
 
 
 def upsert_counts(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
     """Inserted vs updated, computed from the merge join itself."""
     s = source.select(key).distinct().alias("s")
     t = target.select(key).alias("t")
-    j = s.join(t, s[key] == t[key], "left")
-    return j.agg(F.count_if(t[key].isNull()).alias("inserted"), F.count_if(t[key].isNotNull()).alias("updated"))
+    j = s.join(t, _q("s", key) == _q("t", key), "left")
+    return j.agg(F.count_if(_q("t", key).isNull()).alias("inserted"),
+                 F.count_if(_q("t", key).isNotNull()).alias("updated"))
 
 
 def insert_only(target: DataFrame, source: DataFrame, now, key: str = "id") -> DataFrame:
@@ -101,22 +106,22 @@ def replace_or_patch(target: DataFrame, changes: DataFrame, now, key: str = "id"
                                        F.lit(True)))
     c = dedupe_batch(ch, key).alias("c")
     t = target.alias("t")
-    j = t.join(c, t[key] == c[key], "left")
-    hit = c[key].isNotNull()
+    j = t.join(c, _q("t", key) == _q("c", key), "left")
+    hit = _q("c", key).isNotNull()
     out = []
     for col in target.columns:
         if col == "updated_at":
-            out.append(F.when(hit, now).otherwise(t[col]).alias(col))
+            out.append(F.when(hit, now).otherwise(_q("t", col)).alias(col))
         elif col in given:
-            new = c[col] if mode == "put" else F.coalesce(c[col], t[col])
-            out.append(F.when(hit, new).otherwise(t[col]).alias(col))
+            new = _q("c", col) if mode == "put" else F.coalesce(_q("c", col), _q("t", col))
+            out.append(F.when(hit, new).otherwise(_q("t", col)).alias(col))
         else:
-            out.append(t[col])
+            out.append(_q("t", col).alias(col))
     return j.select(*out)
 
 
-def _row_json(df_alias: DataFrame, cols: list[str]) -> Column:
-    return F.to_json(F.struct(*[df_alias[c].cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"})
+def _row_json(alias: str, cols: list[str]) -> Column:
+    return F.to_json(F.struct(*[_q(alias, c).cast("string").alias(c) for c in cols]), {"ignoreNullFields": "false"})
 
 
 def audit_feed(old: DataFrame, new: DataFrame, at, key: str = "id", table: str = "jobs", actor: str = "system",
@@ -130,16 +135,16 @@ def audit_feed(old: DataFrame, new: DataFrame, at, key: str = "id", table: str =
     at = (F.lit(at) if not isinstance(at, Column) else at).cast("timestamp_ntz")
     cols = [c for c in old.columns if c in new.columns]
     o, n = old.alias("o"), new.alias("n")
-    j = o.join(n, o[key] == n[key], "full_outer")
-    same = functools.reduce(operator.and_, [o[c].eqNullSafe(n[c]) for c in cols if c not in ("updated_at",)])
-    action = (F.when(o[key].isNull(), F.lit("INSERT")).when(n[key].isNull(), F.lit("DELETE"))
-              .otherwise(F.lit("UPDATE")))
+    ok, nk = _q("o", key), _q("n", key)
+    j = o.join(n, ok == nk, "full_outer")
+    same = functools.reduce(operator.and_, [_q("o", c).eqNullSafe(_q("n", c)) for c in cols if c != "updated_at"])
+    action = F.when(ok.isNull(), F.lit("INSERT")).when(nk.isNull(), F.lit("DELETE")).otherwise(F.lit("UPDATE"))
     out = j.select(
-        F.lit(table).alias("table_name"), F.coalesce(n[key], o[key]).alias("record_id"), action.alias("action"),
-        F.when(o[key].isNotNull(), _row_json(o, cols)).alias("old_data"),
-        F.when(n[key].isNotNull(), _row_json(n, cols)).alias("new_data"),
+        F.lit(table).alias("table_name"), F.coalesce(nk, ok).alias("record_id"), action.alias("action"),
+        F.when(ok.isNotNull(), _row_json("o", cols)).alias("old_data"),
+        F.when(nk.isNotNull(), _row_json("n", cols)).alias("new_data"),
         F.lit(actor).alias("changed_by"), at.alias("changed_at"),
-        (o[key].isNotNull() & n[key].isNotNull() & same).alias("_noop"))
+        (ok.isNotNull() & nk.isNotNull() & same).alias("_noop"))
     if not include_noop:
         out = out.where(~F.col("_noop"))
     return out.drop("_noop")
@@ -178,39 +183,63 @@ class VersionedTable:
         self.root = root.rstrip("/")
         self.buckets = int(buckets)
         self.key = key
+        # Latest state: (version, {bucket: (data version, present)}, schema json).
+        # Loaded with one aggregate over the manifest, then kept current by this
+        # object's own commits (one writer per table); ``refresh`` drops it.
+        self._state: tuple[int, dict, str | None] | None = None
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/_manifest"
 
+    def refresh(self) -> None:
+        self._state = None
+
     def _manifest(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(self.MANIFEST_SCHEMA).parquet(self.manifest_path)
         except Exception:  # noqa: BLE001 - no manifest yet = empty table
             return None
 
+    def _load(self) -> tuple[int, dict, str | None]:
+        if self._state is None:
+            m = self._manifest()
+            if m is None:
+                self._state = (0, {}, None)
+            else:
+                latest = m.groupBy("bucket").agg(
+                    F.max_by(F.struct("version", "present", "schema_json"), F.col("version")).alias("w"))
+                rows = latest.collect()  # at most ``buckets`` rows of metadata
+                if not rows:
+                    self._state = (0, {}, None)
+                else:
+                    top = max(rows, key=lambda r: r["w"]["version"])
+                    self._state = (int(top["w"]["version"]),
+                                   {int(r["bucket"]): (int(r["w"]["version"]), bool(r["w"]["present"])) for r in rows},
+                                   top["w"]["schema_json"])
+        return self._state
+
     def current_version(self) -> int:
-        m = self._manifest()
-        if m is None:
-            return 0
-        v = m.agg(F.max("version")).first()[0]  # one scalar of metadata
-        return int(v or 0)
+        return self._load()[0]
 
     def bucket_map(self, version: int | None = None) -> list[tuple[int, int]]:
         """(bucket, data version) pairs of a version: at most ``buckets`` rows of metadata."""
+        cur, latest, _ = self._load()
+        v = version or cur
+        if v == cur:
+            return sorted((b, dv) for b, (dv, present) in latest.items() if present)
         m = self._manifest()
-        if m is None:
-            return []
-        v = version or self.current_version()
-        latest = (m.where(F.col("version") <= v).groupBy("bucket")
-                  .agg(F.max_by(F.struct("version", "present"), F.col("version")).alias("w")))
-        return [(r["bucket"], r["w"]["version"]) for r in latest.where("w.present").collect()]
+        old = (m.where(F.col("version") <= v).groupBy("bucket")
+               .agg(F.max_by(F.struct("version", "present"), F.col("version")).alias("w")))
+        return [(r["bucket"], r["w"]["version"]) for r in old.where("w.present").collect()]
 
     def _schema(self, version: int):
         from pyspark.sql.types import StructType
         import json
-        m = self._manifest()
-        js = m.where(F.col("version") <= version).orderBy(F.desc("version")).select("schema_json").first()[0]
+        cur, _, js = self._load()
+        if version != cur:
+            m = self._manifest()
+            js = m.where(F.col("version") <= version).orderBy(F.desc("version")).select("schema_json").first()[0]
         return StructType.fromJson(json.loads(js))
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
@@ -238,6 +267,9 @@ class VersionedTable:
         rows = [(v, int(b), int(b) in written, note, now, schema_json) for b in sorted(set(touched))]
         (self.spark.createDataFrame(rows, self.MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").parquet(self.manifest_path))
+        latest = dict(self._load()[1])
+        latest.update({int(b): (v, int(b) in written) for b in touched})
+        self._state = (v, latest, schema_json)
         return v
 
     def _written_buckets(self, path: str) -> list[int]:

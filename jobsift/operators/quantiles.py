@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_root
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
+def _null_safe_on(left: str, right: str, cols: list[str]):
+    """Null-safe equality on alias-qualified names (both sides share lineage)."""
+    conds = [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in cols]
     return functools.reduce(operator.and_, conds)
 
 
@@ -79,8 +80,11 @@ def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_
 
     t = targets.alias("t")
     r = ranked.alias("r")
-    on = _null_safe_on(r, t, keys) & (r["_pid"] == t["_pid"]) & (r["_idx"] == t["_idx"])
-    picked = r.join(t, on, "inner").select(*[r[k] for k in keys], t["p"], t["role"], t["frac"], r["_v"])
+    on = (_null_safe_on("r", "t", keys) & (F.col("r._pid") == F.col("t._pid"))
+          & (F.col("r._idx") == F.col("t._idx")))
+    picked = r.join(t, on, "inner").select(*[F.col(f"r.`{k}`").alias(k) for k in keys], F.col("t.p").alias("p"),
+                                           F.col("t.role").alias("role"), F.col("t.frac").alias("frac"),
+                                           F.col("r._v").alias("_v"))
     out = picked.groupBy(*keys, "p").agg(
         F.max(F.when(F.col("role") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("role") == "hi", F.col("_v"))).alias("_hi"),
