@@ -19,13 +19,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = False  # set by callers that want exact float comparison
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 4)
+        return repr(v) if STRICT else round(v, 4)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 4)
     if isinstance(v, bool):

@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as E  # noqa: E402
+import compare as _cmp  # noqa: E402
 from compare import compare, duck  # noqa: E402
 from jobsift.session import build_session  # noqa: E402
 
@@ -21,6 +22,7 @@ from jobsift.session import build_session  # noqa: E402
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
+    _cmp.STRICT = bool(os.environ.get("STRICT"))
     spark = build_session()
     con = duck(sf)
     qs, orc = E.queries(), E.oracle_sql()
