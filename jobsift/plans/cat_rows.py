@@ -278,3 +278,25 @@ WHERE title ILIKE '%high%' GROUP BY batch_id""")(
     lambda s, d: A.custom_sql(s, {"jobs": V(s, d, "postings")},
                               "SELECT batch_id, count(*) AS n FROM jobs WHERE title ILIKE :kw GROUP BY batch_id",
                               {"kw": "%high%"}))
+
+# ---------------------------------------------------------------- U07 on a bucketed table
+from ..session import work_path as _work_path  # noqa: E402
+
+
+def _table_changes(s, d):
+    table = U.VersionedTable(s, _work_path(s, "table", "audited"), buckets=16)
+    v1 = table.merge(V(s, d, "postings"), T0)
+    v2 = table.merge(V(s, d, "postings_v2"), T1)
+    return U.table_changes(table, v1, v2, T1)
+
+
+_NEW = ", ".join(f"CASE WHEN n.id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in B.POSTING_COLUMNS[1:])
+register("table_changes", _W2 + f""", merged AS (
+  SELECT coalesce(n.id, o.id) AS id, {_NEW} FROM postings o FULL OUTER JOIN postings_v2 n ON o.id = n.id)
+SELECT 'jobs' AS table_name, coalesce(n.id, o.id) AS record_id,
+  CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action,
+  CASE WHEN o.id IS NOT NULL THEN {_j('o')} END AS old_data,
+  CASE WHEN n.id IS NOT NULL THEN {_j('n')} END AS new_data,
+  'system' AS changed_by, TIMESTAMP '{T1}' AS changed_at
+FROM postings o FULL OUTER JOIN merged n ON o.id = n.id
+WHERE NOT (o.id IS NOT NULL AND n.id IS NOT NULL AND {_SAME})""")(_table_changes)

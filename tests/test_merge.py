@@ -84,3 +84,20 @@ def test_delete_empties_bucket_without_resurrection(spark):
     assert table.read().count() == 0
     table.insert_new(p.limit(3), "2024-01-03 00:00:00")
     assert table.read().count() == 3
+
+
+def test_table_changes_reads_only_changed_buckets(spark):
+    table = U.VersionedTable(spark, work_path(spark, "test", "changes"), buckets=32)
+    p = B.postings(spark, SF_SMALL)
+    v1 = table.merge(p, "2024-01-01 00:00:00")
+    few = p.where(F.col("id").isin("3", "5", "8")).withColumn("title", F.lit("retitled"))
+    v2 = table.merge(few, "2024-01-02 00:00:00")
+    v3 = table.delete(p.where(F.col("id") == "13").select("id"))
+    assert len(U.changed_buckets(table, v1, v3)) <= 4
+    feed = U.table_changes(table, v1, v3, "2024-01-03 00:00:00")
+    full = U.audit_feed(table.read(v1).drop("created_at", "updated_at"),
+                        table.read(v3).drop("created_at", "updated_at"), "2024-01-03 00:00:00")
+    assert feed.exceptAll(full).count() == 0 and full.exceptAll(feed).count() == 0
+    by = {r["action"]: r["count"] for r in feed.groupBy("action").count().collect()}
+    assert by == {"UPDATE": 3, "DELETE": 1}
+    assert v2 == v1 + 1
