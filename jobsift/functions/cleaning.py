@@ -51,13 +51,13 @@ def normalize_timestamp_text(c, shape: str = COLLECT_TS_SHAPE) -> Column:
 
 
 def normalize_locations(c) -> Column:
-    """C19 as JSON text: null -> ``[]``; JSON text kept; unparseable text -> ``[text]``."""
+    """C19 as JSON text: null -> ``[]``; JSON text is kept as what it parses to
+    (an object stays an object, and validation then rejects it); text that is
+    not JSON -> ``[text]``."""
     s = _c(c).cast("string")
-    parsed = F.try_parse_json(s)
     return (F.when(s.isNull(), F.lit("[]"))
-            .when(parsed.isNull(), F.to_json(F.array(s)))
-            .when(F.json_array_length(s).isNotNull(), s)
-            .otherwise(F.concat(F.lit("["), F.to_json(parsed), F.lit("]"))))
+            .when(F.try_parse_json(s).isNull(), F.to_json(F.array(s)))
+            .otherwise(s))
 
 
 def _bound(v: Column, key: str) -> Column:

@@ -48,10 +48,47 @@ def reject_reason(title="title", url="url", locations="locations") -> Column:
             .when(parsed.isNotNull() & ~kind.startswith("ARRAY"), F.lit("locations_not_list")))
 
 
-def validate_posting(df: DataFrame) -> DataFrame:
-    """C14: add ``reject_reason`` and ``is_valid``; split with ``where``."""
-    return df.withColumn("reject_reason", reject_reason()).withColumn(
-        "is_valid", F.col("reject_reason").isNull())
+def validate_posting(df: DataFrame, as_of=None, activation: str = "activation_time") -> DataFrame:
+    """C14: add ``reject_reason`` and ``is_valid``; split with ``where``.
+
+    An activation time given as text that does not parse is replaced by
+    ``as_of`` instead of rejecting the posting.
+    """
+    out = df.withColumn("reject_reason", reject_reason()).withColumn("is_valid", F.col("reject_reason").isNull())
+    if as_of is not None and activation in df.columns and isinstance(df.schema[activation].dataType, T.StringType):
+        raw = F.col(activation)
+        parsed = F.coalesce(CL.parse_timestamp(raw), CL.parse_timestamp(raw, CL.IMPORT_TS_SHAPE))
+        as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of)
+        out = out.withColumn(activation, F.when(raw.isNull(), F.lit(None).cast("timestamp_ntz"))
+                             .otherwise(F.coalesce(parsed, as_of_col.cast("timestamp_ntz"))))
+    return out
+
+
+def clean_postings(df: DataFrame, as_of=None, source_name: str = CL.DEFAULT_SOURCE) -> DataFrame:
+    """The per-record cleaning chain of the collector, as one projection:
+    trim text (C17), normalise locations (C19) and salary (C20, C21), fix the
+    URL (C22), cut the description (C23), default the source (C24), fill a
+    missing id (C25), then validate (C14)."""
+    cols = {}
+    for c in ("title", "company_name_en", "company_name_fa"):
+        if c in df.columns:
+            cols[c] = F.when(F.col(c).isNotNull(), CL.trim_text(c))
+    if "locations" in df.columns:
+        cols["locations"] = CL.normalize_locations("locations")
+    if "salary" in df.columns:
+        ns = CL.normalize_salary("salary")
+        cols["salary"] = CL.canonical_salary(ns["salary"])
+        cols["normalize_salary_min"] = ns["normalize_salary_min"]
+        cols["normalize_salary_max"] = ns["normalize_salary_max"]
+    if "url" in df.columns:
+        cols["url"] = CL.fix_url("url")
+    if "description" in df.columns:
+        cols["description"] = CL.truncate_description("description")
+    src = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
+    cols["source"] = CL.default_source(src, source_name)
+    cleaned = df.withColumns(cols)
+    cleaned = cleaned.withColumn("id", CL.surrogate_id("id"))
+    return validate_posting(cleaned, as_of)
 
 
 def _json_or(c: str, default: str) -> Column:

@@ -133,7 +133,7 @@ FROM ts_texts""")(
 
 register("normalize_locations", W + """SELECT id,
   CASE WHEN locations IS NULL THEN '[]' WHEN NOT json_valid(locations) THEN CAST(to_json([locations]) AS VARCHAR)
-       WHEN json_type(locations) = 'ARRAY' THEN locations ELSE concat('[', CAST(json(locations) AS VARCHAR), ']') END AS locations
+       ELSE locations END AS locations
 FROM postings""")(lambda s, d: P(s, d).select("id", CL.normalize_locations("locations").alias("locations")))
 
 _lo, _hi = salary_bounds("salary")
@@ -206,3 +206,24 @@ register("format_filesize", """SELECT doc_id, CASE
   ELSE concat(printf('%.1f', round(CAST(n_chars * 37 AS DOUBLE) / 1099511627776, 1)), ' TB') END AS size
 FROM documents""")(lambda s, d: B.table(s, d, "documents").select(
     "doc_id", N.format_filesize(F.col("n_chars") * 37).alias("size")))
+
+# ---------------------------------------------------------------- the collector's cleaning chain
+_CLEAN_REASON = _REASON
+register("clean_postings", with_views("postings_text") + f""", c AS (
+  SELECT CASE WHEN id IS NULL OR id = '' THEN md5(concat_ws('-', coalesce(trim(title), ''), coalesce(url, ''))) ELSE id END AS id,
+         trim(title) AS title, trim(company_name_en) AS company_name_en, trim(company_name_fa) AS company_name_fa,
+         CASE WHEN locations IS NULL THEN '[]' WHEN NOT json_valid(locations) THEN CAST(to_json([locations]) AS VARCHAR)
+              ELSE locations END AS locations,
+         CASE WHEN salary IS NULL OR trim(salary) = '' THEN '' WHEN NOT json_valid(salary)
+              THEN CAST(json_object('raw', salary) AS VARCHAR) ELSE salary END AS salary,
+         {_lo} AS normalize_salary_min, {_hi} AS normalize_salary_max,
+         CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url WHEN url LIKE '//%' THEN concat('https:', url)
+              ELSE concat('https://', url) END AS url,
+         left(description, 65535) AS description, 'api_scraper' AS source
+  FROM postings_text)
+SELECT id, title, company_name_en, company_name_fa, locations, salary, normalize_salary_min, normalize_salary_max,
+       url, description, source, {_CLEAN_REASON} AS reject_reason, ({_CLEAN_REASON}) IS NULL AS is_valid
+FROM c""")(
+    lambda s, d: CO.clean_postings(B.view(s, d, "postings_text")).select(
+        "id", "title", "company_name_en", "company_name_fa", "locations", "salary", "normalize_salary_min",
+        "normalize_salary_max", "url", "description", "source", "reject_reason", "is_valid"))

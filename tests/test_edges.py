@@ -90,3 +90,22 @@ def test_truncate_words(spark):
     df = spark.createDataFrame([(long,), ("short",)], "d string")
     got = [r[0] for r in df.select(D.truncate_words("d", 20)).collect()]
     assert got == ["word word word...", "short"]
+
+
+def test_locations_normalised_then_validated(spark):
+    from jobsift.operators import cleaning as CO
+    rows = [("1", "T", "u", None), ("2", "T", "u", '{"bad":1}'), ("3", "T", "u", "Tehran"), ("4", "T", "u", '[{"a":1}]')]
+    df = spark.createDataFrame(rows, "id string, title string, url string, locations string")
+    got = {r["id"]: (r["locations"], r["reject_reason"]) for r in CO.clean_postings(df).collect()}
+    assert got["1"] == ("[]", "empty_locations")
+    assert got["2"] == ('{"bad":1}', "locations_not_list")
+    assert got["3"] == ('["Tehran"]', None)
+    assert got["4"] == ('[{"a":1}]', None)
+
+
+def test_unparseable_activation_becomes_as_of(spark):
+    from jobsift.operators import cleaning as CO
+    rows = [("1", "T", "u", "[1]", "2024-01-02T03:04:05"), ("2", "T", "u", "[1]", "soon"), ("3", "T", "u", "[1]", None)]
+    df = spark.createDataFrame(rows, "id string, title string, url string, locations string, activation_time string")
+    got = {r["id"]: r["activation_time"] for r in CO.validate_posting(df, as_of="2024-02-01 00:00:00").collect()}
+    assert got == {"1": dt.datetime(2024, 1, 2, 3, 4, 5), "2": dt.datetime(2024, 2, 1), "3": None}
