@@ -130,3 +130,15 @@ FROM pages""")(lambda s, d: H.extract_listings(B.table(s, d, "pages")))
 register("extract_links", """SELECT page_id, CAST(i - 1 AS INTEGER) AS position, l[i] AS href
 FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages) t,
      range(1, len(l) + 1) r(i)""")(lambda s, d: H.extract_links(B.table(s, d, "pages")))
+
+
+def _no_new_stream(s, d):
+    src = work_path(s, "landing", "signups")
+    T.as_event_time(B.view(s, d, "signups"), "ts").repartition(6).write.parquet(src)
+    stream = s.readStream.schema(s.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    counts = work_path(s, "state", "hourly")
+    T.stream_no_new(stream, counts, work_path(s, "ckpt", "no_new"))
+    return T.no_new_from_counts(s.read.parquet(counts).select("hour", "n"))
+
+
+register("no_new_24h_stream", with_views("signups") + _NO_NEW)(_no_new_stream)

@@ -239,6 +239,23 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
         F.desc("created_at"), F.desc("name"))
 
 
+def list_exports(spark: SparkSession, root: str) -> DataFrame:
+    """K12 (export listing): per export folder under ``root``: name, size in
+    bytes, created (oldest file time) and format from the name's suffix;
+    newest first.  Listing metadata only (``binaryFile`` without content)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        "path", "length", "modificationTime")
+    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").split(":", 1)[-1].replace(".", "\\.") + "/", "")
+    name = F.regexp_extract(rel, "^([^/]+)", 1)
+    per = files.where(~F.regexp_extract(rel, "([^/]+)$", 1).startswith("_")).groupBy(name.alias("name")).agg(
+        F.sum("length").alias("size"), F.min("modificationTime").alias("created"))
+    fmt = (F.when(F.col("name").rlike(r"\.json(\.gz|\.bz2)?$"), "json")
+           .when(F.col("name").rlike(r"\.csv(\.gz|\.bz2)?$"), "csv")
+           .when(F.col("name").rlike(r"\.parquet$"), "parquet")
+           .when(F.col("name").rlike(r"\.sql$"), "sql").otherwise("unknown"))
+    return per.select("name", "size", "created", fmt.alias("format")).orderBy(F.desc("created"), "name")
+
+
 def export_search(hits: DataFrame, path: str, fmt: str = "csv") -> str:
     """The whole search result (no paging) as CSV or JSON."""
     if fmt == "csv":

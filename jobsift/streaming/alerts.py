@@ -57,15 +57,19 @@ def error_burst(errors: DataFrame, time: str = "ts", threshold: int = ERRORS_PER
     return _windows(errors, time, "1 minute").withColumn("burst", F.col("errors") > threshold)
 
 
-def no_new_24h(new_rows: DataFrame, time: str = "ts", hours: int = NO_NEW_HOURS) -> DataFrame:
-    """Per calendar hour, postings in the trailing ``hours`` hours; the
-    alert holds when that count is 0 now and one hour earlier.
+def hourly_counts(rows: DataFrame, time: str = "ts") -> DataFrame:
+    """Rows per calendar hour (a two-phase aggregate; output size = hours)."""
+    hour = F.date_trunc("HOUR", F.col(time)).cast("timestamp_ntz")
+    return rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def no_new_from_counts(counts: DataFrame, hours: int = NO_NEW_HOURS) -> DataFrame:
+    """T06 over hourly counts (``hour, n``; several rows per hour are summed).
 
     The calendar covers the observed span (one row per hour, bounded by
-    time, not by data volume), left-joined to hourly counts.
+    time, not by data volume), left-joined to the counts.
     """
-    hour = F.date_trunc("HOUR", F.col(time)).cast("timestamp_ntz")
-    counts = new_rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("hour").agg(F.sum("n").alias("n"))
     span = counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     cal = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
     per = cal.join(counts, "hour", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -76,6 +80,28 @@ def no_new_24h(new_rows: DataFrame, time: str = "ts", hours: int = NO_NEW_HOURS)
                       ((F.col("recent") == 0) & (F.coalesce(F.col("prev_recent"), F.lit(1)) == 0)).alias("alert"))
 
 
+def no_new_24h(new_rows: DataFrame, time: str = "ts", hours: int = NO_NEW_HOURS) -> DataFrame:
+    """Per calendar hour, postings in the trailing ``hours`` hours; the
+    alert holds when that count is 0 now and one hour earlier."""
+    return no_new_from_counts(hourly_counts(new_rows, time), hours)
+
+
+def stream_no_new(stream: DataFrame, counts_path: str, checkpoint: str, time: str = "ts",
+                  hours: int = NO_NEW_HOURS):
+    """T06 on a stream: each micro-batch adds its hourly counts under its own
+    epoch folder (a replayed epoch overwrites itself), and the rule is
+    evaluated over the hourly table, which grows with time, not with data.
+    Returns the finished query; ``no_new_from_counts(read(counts_path))`` is
+    the current alert table."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        hourly_counts(batch, time).write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch_id}")
+
+    q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 def health_status(errors5: DataFrame, stale: DataFrame) -> DataFrame:
     """Per 5-minute window: unhealthy on an error alert, degraded when
     ingest is stale in that hour, else healthy."""

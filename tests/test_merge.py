@@ -101,3 +101,14 @@ def test_table_changes_reads_only_changed_buckets(spark):
     by = {r["action"]: r["count"] for r in feed.groupBy("action").count().collect()}
     assert by == {"UPDATE": 3, "DELETE": 1}
     assert v2 == v1 + 1
+
+
+def test_list_exports(spark):
+    from jobsift.sources import sinks as K
+    root = work_path(spark, "test", "exports")
+    p = B.postings(spark, SF_SMALL)
+    K.write_csv(p, f"{root}/jobs.csv")
+    K.write_json(p, f"{root}/jobs.json", array=True, files=2)
+    K.write_sql_inserts(p.withColumn("company", F.col("company_name_en")), f"{root}/jobs.sql")
+    got = {r["name"]: (r["format"], r["size"] > 0) for r in K.list_exports(spark, root).collect()}
+    assert got == {"jobs.csv": ("csv", True), "jobs.json": ("json", True), "jobs.sql": ("sql", True)}
