@@ -163,29 +163,39 @@ def bucket_of(key: str, buckets: int) -> Column:
 class VersionedTable:
     """Immutable versions of a hash-bucketed table + an append-only manifest.
 
-    Layout: ``<root>/v=<n>/bucket=<b>/`` holds the rows of bucket ``b`` as of
-    version ``n``; a version writes only the buckets it changes.  The
-    manifest (``<root>/_manifest``) has one row per (version, bucket written),
-    with ``present = false`` for a bucket that became empty, so a reader of
-    version ``n`` takes, per bucket, the newest write at or before ``n``.
-    The manifest rows are appended after the data is written: that append is
-    the commit point, and a failed job leaves no visible partial version.
-
-    A merge therefore reads and rewrites only the buckets its batch touches
-    (partition pruning by construction), not the whole table.
+    Layout: ``<root>/v=<n>/bucket=<b>/``.  A version writes only the buckets
+    it changes, either as a *base* (the bucket's full content) or, in
+    merge-on-read mode, as a *delta* (only the changed rows, deletes as
+    tombstones).  The manifest (``<root>/_manifest``) has one row per
+    (version, bucket written); a reader of version ``n`` takes, per bucket,
+    the newest base at or before ``n`` plus the deltas after it, and keeps
+    the newest row per key.  Manifest rows are appended after the data is
+    written: that append is the commit point, and a failed job leaves no
+    visible partial version.
+
+    * ``copy_on_write``: a merge reads and rewrites the buckets its batch
+      touches.  Reads are plain scans.
+    * ``merge_on_read``: a merge writes just the batch (cost follows the
+      batch, not the table); a bucket with ``max_deltas`` deltas is compacted
+      into a new base, which bounds the work a read does per key.
+
+    One writer per table object: the object keeps the latest manifest state
+    (loaded with one aggregate, then updated by its own commits).
     """
 
-    MANIFEST_SCHEMA = ("version long, bucket int, present boolean, note string, committed_at timestamp_ntz, "
-                       "schema_json string")
+    MANIFEST_SCHEMA = ("version long, bucket int, present boolean, kind string, note string, "
+                       "committed_at timestamp_ntz, schema_json string")
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id"):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id",
+                 mode: str = "copy_on_write", max_deltas: int = 8):
+        if mode not in ("copy_on_write", "merge_on_read"):
+            raise ValueError(mode)
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = int(buckets)
         self.key = key
-        # Latest state: (version, {bucket: (data version, present)}, schema json).
-        # Loaded with one aggregate over the manifest, then kept current by this
-        # object's own commits (one writer per table); ``refresh`` drops it.
+        self.mode = mode
+        self.max_deltas = int(max_deltas)
         self._state: tuple[int, dict, str | None] | None = None
 
     @property
@@ -201,75 +211,134 @@ class VersionedTable:
         except Exception:  # noqa: BLE001 - no manifest yet = empty table
             return None
 
+    def _fold(self, m: DataFrame | None) -> tuple[int, dict, str | None]:
+        """Per bucket: newest base (version, present) and the deltas after it."""
+        if m is None:
+            return (0, {}, None)
+        per = m.groupBy("bucket").agg(
+            F.max_by(F.struct("version", "present"), F.when(F.col("kind") == "base", F.col("version"))).alias("base"),
+            F.collect_list(F.when(F.col("kind") == "delta", F.col("version"))).alias("deltas"),
+            F.max("version").alias("top"), F.max_by("schema_json", F.col("version")).alias("schema"))
+        rows = per.collect()  # one row per bucket: metadata, not data
+        state: dict = {}
+        top_v, top_schema = 0, None
+        for r in rows:
+            base = r["base"]
+            bv = int(base["version"]) if base is not None else None
+            deltas = sorted(int(d) for d in r["deltas"] if d is not None and (bv is None or d > bv))
+            state[int(r["bucket"])] = {"base": (bv, bool(base["present"])) if base is not None else None,
+                                       "deltas": deltas}
+            if r["top"] > top_v:
+                top_v, top_schema = int(r["top"]), r["schema"]
+        return (top_v, state, top_schema)
+
     def _load(self) -> tuple[int, dict, str | None]:
         if self._state is None:
-            m = self._manifest()
-            if m is None:
-                self._state = (0, {}, None)
-            else:
-                latest = m.groupBy("bucket").agg(
-                    F.max_by(F.struct("version", "present", "schema_json"), F.col("version")).alias("w"))
-                rows = latest.collect()  # at most ``buckets`` rows of metadata
-                if not rows:
-                    self._state = (0, {}, None)
-                else:
-                    top = max(rows, key=lambda r: r["w"]["version"])
-                    self._state = (int(top["w"]["version"]),
-                                   {int(r["bucket"]): (int(r["w"]["version"]), bool(r["w"]["present"])) for r in rows},
-                                   top["w"]["schema_json"])
+            self._state = self._fold(self._manifest())
         return self._state
 
+    def _state_at(self, version: int | None) -> tuple[int, dict, str | None]:
+        cur = self._load()
+        if version is None or version == cur[0]:
+            return cur
+        m = self._manifest()
+        return self._fold(m.where(F.col("version") <= version) if m is not None else None)
+
     def current_version(self) -> int:
         return self._load()[0]
 
-    def bucket_map(self, version: int | None = None) -> list[tuple[int, int]]:
-        """(bucket, data version) pairs of a version: at most ``buckets`` rows of metadata."""
-        cur, latest, _ = self._load()
-        v = version or cur
-        if v == cur:
-            return sorted((b, dv) for b, (dv, present) in latest.items() if present)
-        m = self._manifest()
-        old = (m.where(F.col("version") <= v).groupBy("bucket")
-               .agg(F.max_by(F.struct("version", "present"), F.col("version")).alias("w")))
-        return [(r["bucket"], r["w"]["version"]) for r in old.where("w.present").collect()]
-
-    def _schema(self, version: int):
-        from pyspark.sql.types import StructType
+    def _schema_of(self, js: str):
         import json
-        cur, _, js = self._load()
-        if version != cur:
-            m = self._manifest()
-            js = m.where(F.col("version") <= version).orderBy(F.desc("version")).select("schema_json").first()[0]
+        from pyspark.sql.types import StructType
         return StructType.fromJson(json.loads(js))
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Rows of a version (optionally only some buckets)."""
-        v = version or self.current_version()
+        v, state, js = self._state_at(version)
         if v == 0:
             raise FileNotFoundError(f"no committed version under {self.root}")
-        pairs = [(b, dv) for b, dv in self.bucket_map(v) if buckets is None or b in set(buckets)]
-        if not pairs:
-            return self.spark.createDataFrame([], self._schema(v))
-        paths = [f"{self.root}/v={dv:06d}/bucket={b}" for b, dv in pairs]
-        return self.spark.read.schema(self._schema(v)).parquet(*paths)
+        schema = self._schema_of(js)
+        wanted = set(buckets) if buckets is not None else set(state)
+        plain, mixed = [], []
+        for b in sorted(wanted & set(state)):
+            info = state[b]
+            base = info["base"]
+            paths = [f"{self.root}/v={base[0]:06d}/bucket={b}"] if base is not None and base[1] else []
+            if info["deltas"]:
+                mixed += paths + [f"{self.root}/v={d:06d}/bucket={b}" for d in info["deltas"]]
+            else:
+                plain += paths
+        frames = []
+        if plain:
+            frames.append(self.spark.read.schema(schema).parquet(*plain))
+        if mixed:
+            from pyspark.sql.types import BooleanType, StructField, StructType
+            with_flag = StructType(list(schema.fields) + [StructField("_deleted", BooleanType())])
+            frames.append(self._resolve(self.spark.read.schema(with_flag).parquet(*mixed), schema))
+        if not frames:
+            return self.spark.createDataFrame([], schema)
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def _resolve(self, rows: DataFrame, schema) -> DataFrame:
+        """Newest row per key over a base and its deltas (the version comes from
+        the file path); ``created_at`` is the first creation after the last delete.
+
+        A key has at most ``max_deltas + 1`` rows here (compaction bounds the
+        deltas per bucket), so the per-key list is bounded.
+        """
+        key = self.key
+        cols = [f.name for f in schema.fields]
+        ver = F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("long")
+        r = rows.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col("_deleted"), F.lit(False)).alias("_deleted"),
+                        ver.alias("_v"))
+        others = [c for c in cols if c != key]
+        agg = r.groupBy(key).agg(
+            F.max_by(F.struct(*[F.col(f"`{c}`") for c in others], F.col("_deleted")), F.col("_v")).alias("_r"),
+            F.collect_list(F.struct("_v", "_deleted", "created_at")).alias("_h"))
+        last_del = F.array_max(F.transform(F.filter("_h", lambda x: x["_deleted"]), lambda x: x["_v"]))
+        created = F.array_min(F.transform(
+            F.filter("_h", lambda x: ~x["_deleted"] & (last_del.isNull() | (x["_v"] > last_del))),
+            lambda x: x["created_at"]))
+        out = agg.where(~F.col("_r._deleted"))
+        sel = []
+        for c in cols:
+            if c == key:
+                sel.append(F.col(key))
+            elif c == "created_at":
+                sel.append(created.alias("created_at"))
+            else:
+                sel.append(F.col(f"_r.`{c}`").alias(c))
+        return out.select(*sel)
 
-    def _write(self, df: DataFrame, touched: list[int], note: str) -> int:
+    def _write(self, df: DataFrame, touched: list[int] | None, note: str, kind: str = "base",
+               schema_json: str | None = None) -> int:
         v = self.current_version() + 1
         path = f"{self.root}/v={v:06d}"
         data = df.withColumn("_bucket", bucket_of(self.key, self.buckets))
+        n = max(1, min(len(touched), self.buckets)) if touched else self.buckets
         # One task per bucket: each bucket folder gets one file, not one per shuffle partition.
-        (data.repartition(max(1, min(len(touched), self.buckets)), "_bucket")
-         .withColumnRenamed("_bucket", "bucket")
+        (data.repartition(n, "_bucket").withColumnRenamed("_bucket", "bucket")
          .write.mode("errorifexists").partitionBy("bucket").parquet(path))
         written = set(self._written_buckets(path))
+        touched = sorted(set(touched) if touched is not None else written)
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        schema_json = df.schema.json()
-        rows = [(v, int(b), int(b) in written, note, now, schema_json) for b in sorted(set(touched))]
+        schema_json = schema_json or df.schema.json()
+        rows = [(v, int(b), int(b) in written, kind, note, now, schema_json) for b in touched]
+        if not rows:
+            return self.current_version()
         (self.spark.createDataFrame(rows, self.MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").parquet(self.manifest_path))
-        latest = dict(self._load()[1])
-        latest.update({int(b): (v, int(b) in written) for b in touched})
-        self._state = (v, latest, schema_json)
+        _, state, _ = self._load()
+        state = {b: {"base": i["base"], "deltas": list(i["deltas"])} for b, i in state.items()}
+        for b in touched:
+            if kind == "base":
+                state[int(b)] = {"base": (v, int(b) in written), "deltas": []}
+            else:
+                state.setdefault(int(b), {"base": None, "deltas": []})["deltas"].append(v)
+        self._state = (v, state, schema_json)
         return v
 
     def _written_buckets(self, path: str) -> list[int]:
@@ -284,20 +353,47 @@ class VersionedTable:
         return out
 
     def commit(self, df: DataFrame, note: str = "") -> int:
-        """Write a whole new version (every bucket)."""
+        """Write a whole new version (every bucket, as bases)."""
         return self._write(df, list(range(self.buckets)), note)
 
     def _touched(self, keys: DataFrame) -> list[int]:
         """Buckets a batch touches: at most ``buckets`` small integers."""
         return [r[0] for r in keys.select(bucket_of(self.key, self.buckets).alias("b")).distinct().collect()]
 
+    def _delta(self, rows: DataFrame, note: str) -> int:
+        """Write rows (with ``_deleted``) as a delta of the buckets they fall in."""
+        js = self._load()[2] or rows.drop("_deleted").schema.json()
+        v = self._write(rows, None, note, kind="delta", schema_json=js)
+        self._maybe_compact()
+        return v
+
+    def _tombstones(self, keys: DataFrame) -> DataFrame:
+        schema = self._schema_of(self._load()[2])
+        return keys.select(*[F.col(self.key) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name)
+                             for f in schema.fields], F.lit(True).alias("_deleted"))
+
+    def _maybe_compact(self) -> None:
+        heavy = [b for b, i in self._load()[1].items() if len(i["deltas"]) >= self.max_deltas]
+        if heavy:
+            self.compact(heavy)
+
+    def compact(self, buckets: list[int] | None = None) -> int:
+        """Fold deltas into new bases (only buckets that have deltas)."""
+        state = self._load()[1]
+        todo = [b for b in (buckets if buckets is not None else state) if state.get(b, {}).get("deltas")]
+        if not todo:
+            return self.current_version()
+        return self._write(self.read(None, todo), todo, "compact")
+
     def merge(self, source: DataFrame, now, key: str | None = None, order: list[str] | None = None) -> int:
-        """Upsert a batch, rewriting only the buckets it touches."""
+        """Upsert a batch (copy-on-write: rewrite touched buckets; merge-on-read: write the batch)."""
         key = key or self.key
         cur = self.current_version()
         src = dedupe_batch(source, key, order)
         if cur == 0:
             return self.commit(with_audit_columns(src, now), "initial")
+        if self.mode == "merge_on_read":
+            return self._delta(with_audit_columns(src, now).withColumn("_deleted", F.lit(False)), "upsert")
         src = src.persist()
         try:
             touched = self._touched(src)
@@ -312,15 +408,20 @@ class VersionedTable:
         src = dedupe_batch(source, key).persist()
         try:
             touched = self._touched(src)
+            if self.mode == "merge_on_read":
+                new = src.join(self.read(None, touched).select(key), key, "left_anti")
+                return self._delta(with_audit_columns(new, now).withColumn("_deleted", F.lit(False)), "insert_only")
             return self._write(insert_only(self.read(None, touched), src, now, key), touched, "insert_only")
         finally:
             src.unpersist()
 
     def delete(self, keys: DataFrame, key: str | None = None) -> int:
-        """Remove keys, rewriting only their buckets (emptied buckets are recorded)."""
+        """Remove keys (copy-on-write: rewrite their buckets; merge-on-read: tombstones)."""
         key = key or self.key
         ks = keys.select(key).distinct().persist()
         try:
+            if self.mode == "merge_on_read":
+                return self._delta(self._tombstones(ks), "delete")
             touched = self._touched(ks)
             return self._write(delete_by_id(self.read(None, touched), ks, key), touched, "delete")
         finally:

@@ -39,7 +39,8 @@ _TABLE_SQL = with_views("postings") + """SELECT id, title, url, company_id, comp
 
 def _ingest(s, d, restarts: int = 1):
     landing = _land(s, d, page_size=1000)
-    table = U.VersionedTable(s, work_path(s, "table", "jobs"))
+    # Streams merge small batches often: merge-on-read writes each batch as a delta.
+    table = U.VersionedTable(s, work_path(s, "table", "jobs"), mode="merge_on_read")
     ckpt, ledger = work_path(s, "ckpt", "ingest"), work_path(s, "ledger")
     for _ in range(restarts):
         I.stream_ingest(s, landing, table, ckpt, ledger, max_files_per_trigger=3)
