@@ -274,7 +274,8 @@ def import_postings(spark: SparkSession, path: str, table: U.VersionedTable, now
         counts = valid.select("id").distinct().agg(F.count(F.lit(1)).alias("inserted")).withColumn(
             "updated", F.lit(0).cast("long"))
     else:
-        counts = U.upsert_counts(table.read(cur), valid)
+        # Only the buckets the upload touches can hold its keys.
+        counts = U.upsert_counts(table.read(cur, table._touched(valid)), valid)
         if not update_existing:
             counts = counts.withColumn("updated", F.lit(0).cast("long"))
     stats = raw.agg(F.count(F.lit(1)).alias("total"),
