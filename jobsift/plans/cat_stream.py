@@ -143,3 +143,17 @@ def _no_new_stream(s, d):
 
 
 register("no_new_24h_stream", with_views("signups") + _NO_NEW)(_no_new_stream)
+
+
+def _errors_1h_stream(s, d):
+    src = work_path(s, "landing", "errors")
+    T.as_event_time(B.view(s, d, "errors"), "ts").repartition(6).write.parquet(src)
+    stream = s.readStream.schema(s.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    counts = work_path(s, "state", "slots")
+    T.stream_slot_counts(stream, counts, work_path(s, "ckpt", "errors_1h"))
+    return T.errors_1h_from_counts(s.read.parquet(counts).select("slot", "n"))
+
+
+register("errors_1h_stream", _WE + f""", w AS ({_win_sql(60, 10)})
+SELECT c.window_start, c.window_end, c.errors, c.errors > 10 AND coalesce(p.errors, 0) > 10 AS alert
+FROM w c LEFT JOIN w p ON p.window_start + INTERVAL 10 MINUTE = c.window_start""")(_errors_1h_stream)
