@@ -59,15 +59,21 @@ def ingest_batch(table: U.VersionedTable, ledger_path: str):
 
 
 def stream_ingest(spark: SparkSession, landing: str, table: U.VersionedTable, checkpoint: str, ledger_path: str,
-                  max_files_per_trigger: int = 1):
+                  max_files_per_trigger: int = 1, compact: bool = True):
     """Landed pages -> micro-batches -> upsert + ledger; ``availableNow``
     processes everything landed so far and stops (T03: a restart with the
-    same checkpoint only sees files that arrived since)."""
+    same checkpoint only sees files that arrived since).
+
+    With a merge-on-read table each micro-batch writes only its rows; when the
+    run ends, ``compact`` folds the deltas into bases so later reads are plain
+    scans (a continuous stream relies on the table's ``max_deltas`` bound)."""
     q = (stream_pages(spark, landing, max_files_per_trigger).writeStream
          .foreachBatch(ingest_batch(table, ledger_path))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if compact and table.mode == "merge_on_read" and table.current_version():
+        table.compact()
     return q
 
 
