@@ -165,10 +165,17 @@ def distinct_codes(df: DataFrame, codes: Column) -> DataFrame:
     return df.select(F.explode(codes).alias("code")).distinct()
 
 
-def serialize_posting(df: DataFrame) -> DataFrame:
-    """C11: the API dict of a posting: fixed keys, ISO time, booleans."""
+def serialize_posting(df: DataFrame, bridge: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+    """C11: the API dict of a posting: fixed keys, ISO time, booleans; with a
+    posting-tag bridge (ORM variant) also the sorted tag names, comma-joined."""
     d = D.derive_all(df)
-    return d.select(
+    extra = []
+    if bridge is not None:
+        from .joins import postings_with_tags
+        d = postings_with_tags(d, bridge, tags if tags is not None else bridge.select(
+            F.col("tag_name").alias("name")).distinct())
+        extra = [F.array_join("tag_names", ",").alias("tag_names")]
+    return d.select(*extra,
         "id", "title", F.coalesce("company_name_en", "company_name_fa").alias("company"),
         F.date_format("activation_time", "yyyy-MM-dd'T'HH:mm:ss").alias("activation_time"),
         "url", F.col("primary_city").alias("location"), F.col("work_type").alias("job_type"), "category",

@@ -227,3 +227,15 @@ FROM c""")(
     lambda s, d: CO.clean_postings(B.view(s, d, "postings_text")).select(
         "id", "title", "company_name_en", "company_name_fa", "locations", "salary", "normalize_salary_min",
         "normalize_salary_max", "url", "description", "source", "reject_reason", "is_valid"))
+
+register("serialize_posting_tags", with_views("posting_tags", "tags", derived=True) + """, per AS (
+  SELECT b.posting_id, string_agg(DISTINCT b.tag_name, ',' ORDER BY b.tag_name) AS tag_names
+  FROM posting_tags b JOIN tags t ON t.name = b.tag_name GROUP BY b.posting_id)
+SELECT coalesce(per.tag_names, '') AS tag_names, id, title, coalesce(company_name_en, company_name_fa) AS company,
+  CASE WHEN activation_time IS NULL THEN NULL ELSE strftime(activation_time, '%Y-%m-%dT%H:%M:%S') END AS activation_time,
+  url, primary_city AS location, work_type AS job_type, category,
+  tag_remote = 1 AS is_remote, tag_part_time = 1 AS is_part_time, tag_internship = 1 AS is_internship,
+  NOT (tag_no_experience = 1) AS requires_experience, tag_military_exemption = 1 AS military_exemption
+FROM postings_d p LEFT JOIN per ON per.posting_id = p.id""")(
+    lambda s, d: __import__("jobsift.operators.rows", fromlist=["x"]).serialize_posting(
+        P(s, d), B.view(s, d, "posting_tags"), B.view(s, d, "tags")))
