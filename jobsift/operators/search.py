@@ -89,6 +89,22 @@ def search(df: DataFrame, keyword=None, location=None, company=None, days=None,
     return page_df, total
 
 
+def search_after(hits: DataFrame, cursor, limit: int = 25) -> DataFrame:
+    """R03 keyset paging for the date sort (``activation_time DESC NULLS LAST,
+    id ASC``): the rows after ``cursor = (activation_time, id)`` of the last
+    row shown.  Unlike ``offset``, the work per page does not grow with the
+    page number, and the time predicate can reach the parquet scan."""
+    ts, key = F.col("activation_time"), F.col("id")
+    c_ts, c_id = cursor
+    if c_ts is None:
+        after = ts.isNull() & (key > F.lit(c_id))
+    else:
+        lit_ts = F.lit(c_ts).cast("timestamp_ntz")
+        after = (ts < lit_ts) | ((ts == lit_ts) & (key > F.lit(c_id))) | ts.isNull()
+    limit = max(1, min(int(limit), MAX_PAGE_SIZE))
+    return hits.where(after).orderBy(F.desc_nulls_last("activation_time"), F.asc("id")).limit(limit)
+
+
 def page_info(total: DataFrame, page: int, limit: int, window: int = 2) -> DataFrame:
     """``total_pages = ceil(total / limit)`` (limit capped at 1000) and the
     page-number window of +-2 around the current page."""

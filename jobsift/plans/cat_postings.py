@@ -248,3 +248,16 @@ FROM postings""")(
         "id", *[f"{c}_ok" for c in R.JSON_COLUMNS],
         F.try_variant_get("salary", "$.min", "bigint").alias("salary_min"),
         F.when(~F.col("salary_ok"), F.try_variant_get("salary", "$", "string")).alias("salary_text")))
+
+
+
+def _keyset_page2(s, d):
+    hits = B.view(s, d, "postings_text").where(R.search_filter(keyword="high", location="europe", company="customer"))
+    first = R.search(B.view(s, d, "postings_text"), keyword="high", location="europe", company="customer",
+                     sort="date", page=1, limit=25)[0].select("activation_time", "id").collect()  # the shown page
+    last = first[-1]
+    return R.search_after(hits, (last["activation_time"], last["id"]), 25)
+
+
+register("search_keyset", _TW + f"""SELECT * FROM postings_text WHERE {_SEARCH_WHERE}
+ORDER BY activation_time DESC NULLS LAST, id ASC LIMIT 25 OFFSET 25""")(_keyset_page2)
