@@ -239,6 +239,25 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
         F.desc("created_at"), F.desc("name"))
 
 
+def store_postings(df: DataFrame, path: str, compression: str = "zstd") -> str:
+    """Write the postings table for readers: derived columns computed once in
+    the write path (C10), partitioned by activation month and sorted by
+    activation time inside each file, so date filters prune partitions and
+    skip row groups by their min/max statistics (the layout that replaces the
+    reference's indexes)."""
+    from ..functions import derived as D
+    # Range partitioning on (time, id) gives balanced tasks that each cover a
+    # time range (a busy month spreads over many tasks; the id splits even a
+    # single hot timestamp), and files come out sorted for min/max skipping.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = (D.derive_all(df)
+           .withColumn("activation_month", F.date_format("activation_time", "yyyy-MM"))
+           .repartitionByRange(n, F.col("activation_time"), F.col("id"))
+           .sortWithinPartitions("activation_time", "id"))
+    out.write.mode("errorifexists").option("compression", compression).partitionBy("activation_month").parquet(path)
+    return path
+
+
 def list_exports(spark: SparkSession, root: str) -> DataFrame:
     """K12 (export listing): per export folder under ``root``: name, size in
     bytes, created (oldest file time) and format from the name's suffix;

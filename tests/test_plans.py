@@ -56,3 +56,19 @@ def test_statistics_use_partial_window_group_limit(spark):
     plan = _plan(A.job_statistics(p, A.as_of_max(p)))
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert plan.count("Expand [") == 1
+
+
+def test_stored_postings_layout(spark):
+    from jobsift.operators import aggregates as A
+    from jobsift.sources import sinks as K
+    p = B.postings(spark, SF_SMALL)
+    t = spark.read.parquet(K.store_postings(p, work_path(spark, "test", "store")))
+    # derived columns are plain columns now; results equal the on-the-fly form
+    via_col = (t.where(F.col("primary_city").isNotNull() & (F.col("primary_city") != ""))
+               .groupBy(F.col("primary_city").alias("location")).agg(F.count(F.lit(1)).alias("n"))
+               .orderBy(F.desc("n"), F.asc_nulls_first("location")).limit(10))
+    assert via_col.collect() == A.top_cities(p).collect()
+    plan = _plan(t.where((F.col("activation_month") == "1997-03") & FL.between_dates("1997-03-01", "1997-03-15")))
+    assert "PartitionFilters: [isnotnull(activation_month" in plan
+    assert "GreaterThanOrEqual(activation_time" in plan
+    assert t.count() == p.count()
