@@ -33,12 +33,12 @@ def _n_files(df: DataFrame, files: int | None, rows_per_file: int = ROWS_PER_FIL
 
 
 def write_json(df: DataFrame, path: str, array: bool = True, files: int | None = None,
-               compression: str | None = None, key: str | None = "id") -> str:
+               compression: str | None = None) -> str:
     """UTF-8 JSON (non-ASCII kept), null keys kept.
 
     ``array=True`` writes files that each hold one JSON array of records (the
-    export format); rows are spread over ``files`` files (default: one per
-    100,000 rows) by a hash of the key, so each array is bounded.  ``array=False`` writes JSON lines.
+    export format); rows are spread round-robin over ``files`` files
+    (default: one per 100,000 rows), so each array is bounded.  ``array=False`` writes JSON lines.
     """
     if not array:
         w = df.write.mode("errorifexists").options(**JSON_OPTS)
@@ -48,9 +48,10 @@ def write_json(df: DataFrame, path: str, array: bool = True, files: int | None =
         return path
     n = _n_files(df, files)
     cols = [F.col(f"`{c}`") for c in df.columns]
-    lines = df.select(*([F.col(key)] if key else cols),
-                      F.to_json(F.struct(*cols), JSON_OPTS).alias("_j"))
-    spread = lines.repartition(n, key) if key else lines.repartition(n)
+    lines = df.select(F.to_json(F.struct(*cols), JSON_OPTS).alias("_j"))
+    # Round-robin (sorted first, so a retried task sees the same rows): files
+    # stay balanced however skewed any column is.
+    spread = lines.repartition(n)
     w = spread.select("_j").mapInPandas(_array_writer(), "value string").write.mode("errorifexists")
     if compression:
         w = w.option("compression", compression)
