@@ -42,11 +42,13 @@ def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
-    # The range partitioner samples its input before shuffling it: keep the
-    # (narrow) input so it is derived once.
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = (base.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_v"))
-              .sortWithinPartitions(*keys, "_v")
+    # The seeded tie-breaker lets the range partitioner split even a hot group
+    # whose values are all equal.  The range partitioner samples its input
+    # before shuffling it, so the (narrow) input is persisted: derived once,
+    # and the tie-breaker stays the same for both passes.
+    base = base.withColumn("_t", F.rand(17)).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = (base.repartitionByRange(n, *[F.col(k) for k in keys], F.col("_v"), F.col("_t"))
+              .sortWithinPartitions(*keys, "_v", "_t")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id()))
     # Partition ids and row ids must be identical in both uses below, even if

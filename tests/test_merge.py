@@ -156,3 +156,19 @@ def test_merge_on_read_compacts_and_writes_only_the_batch(spark):
     assert all(len(i["deltas"]) < 2 for i in state.values())   # compacted at the bound
     assert t.read().where("id = '42'").first()["title"] == "two"
     assert t.read().count() == p.count()
+
+
+def test_exact_quantiles_split_a_hot_group(spark):
+    from jobsift.operators.quantiles import exact_quantiles
+    rows = [("hot", 5.0)] * 3000 + [("hot", float(i)) for i in range(1000)] + [("cold", float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, ["g"], "v", (0.25, 0.5, 0.9)).collect()}
+    hot = sorted(v for g, v in rows if g == "hot")
+
+    def q(vals, p):
+        pos = p * (len(vals) - 1)
+        lo, hi = int(pos // 1), int(-(-pos // 1))
+        return vals[lo] + (pos - lo) * (vals[hi] - vals[lo])
+    for p in (0.25, 0.5, 0.9):
+        assert abs(got[("hot", p)] - q(hot, p)) < 1e-9
+        assert abs(got[("cold", p)] - q([float(i) for i in range(10)], p)) < 1e-9
