@@ -14,9 +14,12 @@ Two scale rules shape this module:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 from ..functions import cleaning as CL
 from ..functions import derived as D
 
@@ -50,47 +53,35 @@ def duplicate_count(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).count().agg(F.sum(F.col("count") - 1).cast("long").alias("duplicates"))
 
 
-def order_buckets(df: DataFrame, key: str, n: int) -> Column:
-    """Deterministic range bucket of ``key`` in ``[0, n)``: equal-width ranges
-    between the exact min and max (two scalar subqueries), NULL keys in -1.
-
-    A bucket is a pure function of the row, so every re-evaluation of the plan
-    (a second branch, a retried task) puts a row in the same bucket -- unlike
-    ``spark_partition_id()`` after a sampled range repartition.
-    """
-    dtype = df.schema[key].dataType.simpleString()
-    k = F.col(key)
-    if dtype.startswith("timestamp") or dtype == "date":
-        k = F.unix_micros(k.cast("timestamp"))
-    k = k.cast("double")
-    kd = df.select(k.alias("_k"))
-    lo = kd.select(F.min("_k")).scalar()
-    hi = kd.select(F.max("_k")).scalar()
-    width = (hi - lo + F.lit(1.0)) / F.lit(float(n))
-    b = F.least(F.lit(n - 1), F.floor((k - lo) / width)).cast("int")
-    return F.coalesce(b, F.lit(-1))
-
-
 def prefix_agg(df: DataFrame, order: list[str], aggs: dict[str, tuple[Column, str]],
                num_partitions: int | None = None) -> DataFrame:
     """Add running aggregates over one global order, without a global window.
 
     ``aggs`` maps output name -> (value column, "sum" | "max").  Running values
     include the current row (``ROWS UNBOUNDED PRECEDING .. CURRENT ROW``).
-    Rows are cut into ordered buckets of the first order column; each bucket
-    is finished by a local window, shifted by the totals of the buckets before
-    it (one row per bucket, so that table is small by construction).
+    Rows are range-partitioned on the full order (plus a seeded tie-breaker,
+    so even a heavily repeated order value is split over tasks) and the
+    partition ids are materialised once with a reliable checkpoint, so both
+    uses below agree even after a retry.  Each partition is finished by a
+    local window, shifted by the totals of the partitions before it (one row
+    per partition, so that table is small by construction).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = {f"_v_{k}": v for k, (v, _) in aggs.items()}
-    ranged = df.withColumns(vals).withColumn("_pid", order_buckets(df, order[0], n))
+    keyed = df.withColumns(vals).withColumn("_t", F.rand(23))
+    ranged = (keyed.repartitionByRange(n, *[F.col(c) for c in order], F.col("_t"))
+              .withColumn("_pid", F.spark_partition_id()))
+    checkpoint_root(spark)
+    cached = ranged.persist(StorageLevel.MEMORY_AND_DISK)  # checkpointing an unpersisted frame computes it twice
+    ranged = cached.checkpoint(eager=True)
+    cached.unpersist()
     fn = {"sum": F.sum, "max": F.max}
     totals = ranged.groupBy("_pid").agg(*[fn[how](f"_v_{k}").alias(f"_t_{k}") for k, (_, how) in aggs.items()])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[fn[how](f"_t_{k}").over(before).alias(f"_o_{k}")
                                       for k, (_, how) in aggs.items()])
-    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_pid").orderBy(*order, "_t").rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.withColumns({f"_l_{k}": fn[how](f"_v_{k}").over(local) for k, (_, how) in aggs.items()})
     out = out.join(F.broadcast(offsets), "_pid", "left")
     finals = {}
@@ -98,7 +89,7 @@ def prefix_agg(df: DataFrame, order: list[str], aggs: dict[str, tuple[Column, st
         lo, off = F.col(f"_l_{k}"), F.col(f"_o_{k}")
         finals[k] = (F.coalesce(lo + off, lo) if how == "sum"
                      else F.when(off.isNull(), lo).otherwise(F.greatest(lo, off)))
-    drop = [c for c in out.columns if c.startswith(("_v_", "_l_", "_o_")) or c == "_pid"]
+    drop = [c for c in out.columns if c.startswith(("_v_", "_l_", "_o_")) or c in ("_pid", "_t")]
     return out.withColumns(finals).drop(*drop)
 
 
