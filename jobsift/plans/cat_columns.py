@@ -9,6 +9,7 @@ from ..functions import derived as D
 from ..functions import formatting as N
 from ..operators import aggregates as A
 from ..operators import cleaning as CO
+from ..operators import rows as RW
 from . import binding as B
 from .oracle import AS_OF, salary_bounds, with_views
 from .registry import register
@@ -58,7 +59,7 @@ register("serialize_posting", WD + """SELECT id, title, coalesce(company_name_en
   url, primary_city AS location, work_type AS job_type, category,
   tag_remote = 1 AS is_remote, tag_part_time = 1 AS is_part_time, tag_internship = 1 AS is_internship,
   NOT (tag_no_experience = 1) AS requires_experience, tag_military_exemption = 1 AS military_exemption
-FROM postings_d""")(lambda s, d: __import__("jobsift.operators.rows", fromlist=["x"]).serialize_posting(P(s, d)))
+FROM postings_d""")(lambda s, d: RW.serialize_posting(P(s, d)))
 
 register("display_fields", with_views("postings_text") + """SELECT id,
   coalesce(nullif(trim(company_name_en), ''), nullif(trim(company_name_fa), ''), 'Not specified') AS company_display,
@@ -237,5 +238,5 @@ SELECT coalesce(per.tag_names, '') AS tag_names, id, title, coalesce(company_nam
   tag_remote = 1 AS is_remote, tag_part_time = 1 AS is_part_time, tag_internship = 1 AS is_internship,
   NOT (tag_no_experience = 1) AS requires_experience, tag_military_exemption = 1 AS military_exemption
 FROM postings_d p LEFT JOIN per ON per.posting_id = p.id""")(
-    lambda s, d: __import__("jobsift.operators.rows", fromlist=["x"]).serialize_posting(
+    lambda s, d: RW.serialize_posting(
         P(s, d), B.view(s, d, "posting_tags"), B.view(s, d, "tags")))

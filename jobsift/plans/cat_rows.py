@@ -11,6 +11,8 @@ from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import merge as U
 from ..operators import rows as RW
+from ..operators import search as R
+from ..session import work_path
 from . import binding as B
 from .oracle import with_views
 from .registry import register
@@ -269,10 +271,8 @@ FROM ledger_events GROUP BY status""")(
     lambda s, d: A.ingest_counters(V(s, d, "ledger_events"), ["status"], "row_count"))
 
 # ---------------------------------------------------------------- R06, A28
-from ..operators import search as _R  # noqa: E402
-
 register("recent_batches", WL + """SELECT * FROM state ORDER BY start_time DESC NULLS LAST, batch_id DESC LIMIT 20""")(
-    lambda s, d: _R.recent_batches(STATE(s, d), 20))
+    lambda s, d: R.recent_batches(STATE(s, d), 20))
 register("custom_sql", with_views("postings") + """SELECT batch_id, count(*) AS n FROM postings
 WHERE title ILIKE '%high%' GROUP BY batch_id""")(
     lambda s, d: A.custom_sql(s, {"jobs": V(s, d, "postings")},
@@ -280,11 +280,9 @@ WHERE title ILIKE '%high%' GROUP BY batch_id""")(
                               {"kw": "%high%"}))
 
 # ---------------------------------------------------------------- U07 on a bucketed table
-from ..session import work_path as _work_path  # noqa: E402
-
 
 def _table_changes(s, d):
-    table = U.VersionedTable(s, _work_path(s, "table", "audited"), buckets=16)
+    table = U.VersionedTable(s, work_path(s, "table", "audited"), buckets=16)
     v1 = table.merge(V(s, d, "postings"), T0)
     v2 = table.merge(V(s, d, "postings_v2"), T1)
     return U.table_changes(table, v1, v2, T1)
