@@ -186,8 +186,10 @@ class VersionedTable:
     MANIFEST_SCHEMA = ("version long, bucket int, present boolean, kind string, note string, "
                        "committed_at timestamp_ntz, schema_json string")
 
+    MANIFEST_PART = 100  # manifest rows are stored under part=<version // 100>
+
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id",
-                 mode: str = "copy_on_write", max_deltas: int = 8):
+                 mode: str = "copy_on_write", max_deltas: int = 8, checkpoint_every: int = 100):
         if mode not in ("copy_on_write", "merge_on_read"):
             raise ValueError(mode)
         self.spark = spark
@@ -196,6 +198,7 @@ class VersionedTable:
         self.key = key
         self.mode = mode
         self.max_deltas = int(max_deltas)
+        self.checkpoint_every = int(checkpoint_every)
         self._state: tuple[int, dict, str | None] | None = None
 
     @property
@@ -232,9 +235,60 @@ class VersionedTable:
                 top_v, top_schema = int(r["top"]), r["schema"]
         return (top_v, state, top_schema)
 
+    @staticmethod
+    def _apply(state: dict, top: int, schema: str | None, rows) -> tuple[int, dict, str | None]:
+        """Fold manifest rows (version, bucket, present, kind, schema_json) onto a state."""
+        state = {b: {"base": i["base"], "deltas": list(i["deltas"])} for b, i in state.items()}
+        for r in sorted(rows, key=lambda r: (r["version"], r["bucket"])):
+            b, v = int(r["bucket"]), int(r["version"])
+            if r["kind"] == "base":
+                state[b] = {"base": (v, bool(r["present"])), "deltas": []}
+            else:
+                state.setdefault(b, {"base": None, "deltas": []})["deltas"].append(v)
+            if v >= top:
+                top, schema = v, r["schema_json"]
+        return (top, state, schema)
+
+    @property
+    def _ckpt_path(self) -> str:
+        return f"{self.root}/_manifest_ckpt"
+
+    def _list_dirs(self, path: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+    def _write_checkpoint(self) -> None:
+        """Folded state (one row per bucket) so later loads skip older manifest rows."""
+        v, state, js = self._load()
+        rows = [(int(b), i["base"][0] if i["base"] else None, i["base"][1] if i["base"] else None,
+                 [int(d) for d in i["deltas"]]) for b, i in state.items()]
+        (self.spark.createDataFrame(rows, "bucket int, base_version long, base_present boolean, deltas array<long>")
+         .withColumn("version", F.lit(v).cast("long")).withColumn("schema_json", F.lit(js))
+         .coalesce(1).write.mode("overwrite").parquet(f"{self._ckpt_path}/v={v:06d}"))
+
     def _load(self) -> tuple[int, dict, str | None]:
         if self._state is None:
-            self._state = self._fold(self._manifest())
+            done = sorted(int(d.split("=", 1)[1]) for d in self._list_dirs(self._ckpt_path) if d.startswith("v="))
+            m = self._manifest()
+            if not done:
+                self._state = self._fold(m)
+            else:
+                v_c = done[-1]
+                ck = self.spark.read.parquet(f"{self._ckpt_path}/v={v_c:06d}").collect()  # one row per bucket
+                state = {int(r["bucket"]): {"base": (int(r["base_version"]), bool(r["base_present"]))
+                                            if r["base_version"] is not None else None,
+                                            "deltas": [int(d) for d in r["deltas"]]} for r in ck}
+                js = ck[0]["schema_json"] if ck else None
+                newer = []
+                if m is not None:
+                    # Only manifest partitions at or after the checkpoint are read.
+                    newer = (m.where((F.col("part") >= v_c // self.MANIFEST_PART) & (F.col("version") > v_c))
+                             .select("version", "bucket", "present", "kind", "schema_json").collect())
+                self._state = self._apply(state, v_c, js, newer)
         return self._state
 
     def _state_at(self, version: int | None) -> tuple[int, dict, str | None]:
@@ -330,15 +384,13 @@ class VersionedTable:
         if not rows:
             return self.current_version()
         (self.spark.createDataFrame(rows, self.MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(self.manifest_path))
-        _, state, _ = self._load()
-        state = {b: {"base": i["base"], "deltas": list(i["deltas"])} for b, i in state.items()}
-        for b in touched:
-            if kind == "base":
-                state[int(b)] = {"base": (v, int(b) in written), "deltas": []}
-            else:
-                state.setdefault(int(b), {"base": None, "deltas": []})["deltas"].append(v)
-        self._state = (v, state, schema_json)
+         .write.mode("append").parquet(f"{self.manifest_path}/part={v // self.MANIFEST_PART}"))
+        top, state, js = self._load()
+        self._state = self._apply(state, top, js, [
+            {"version": v, "bucket": b, "present": p, "kind": kind, "schema_json": schema_json}
+            for (_, b, p, _, _, _, _) in rows])
+        if self.checkpoint_every and v % self.checkpoint_every == 0:
+            self._write_checkpoint()
         return v
 
     def _written_buckets(self, path: str) -> list[int]:

@@ -172,3 +172,19 @@ def test_exact_quantiles_split_a_hot_group(spark):
     for p in (0.25, 0.5, 0.9):
         assert abs(got[("hot", p)] - q(hot, p)) < 1e-9
         assert abs(got[("cold", p)] - q([float(i) for i in range(10)], p)) < 1e-9
+
+
+def test_manifest_checkpoint_reload(spark):
+    root = work_path(spark, "test", "ckpt-table")
+    p = B.postings(spark, SF_SMALL)
+    t = U.VersionedTable(spark, root, buckets=4, mode="merge_on_read", max_deltas=3, checkpoint_every=2)
+    t.merge(p, "2024-01-01 00:00:00")
+    for i in range(5):
+        t.merge(p.where(F.col("batch_id") == f"b{i}").withColumn("title", F.lit(f"t{i}")), f"2024-01-0{i + 2} 00:00:00")
+    t.delete(p.where(F.col("batch_id") == "b9").select("id"))
+    fresh = U.VersionedTable(spark, root, buckets=4, mode="merge_on_read", max_deltas=3, checkpoint_every=2)
+    assert fresh.current_version() == t.current_version()
+    assert fresh._load()[1] == t._load()[1]
+    assert _same(fresh.read(), t.read())
+    assert _same(fresh.read(3), t.read(3))
+    assert t._list_dirs(t._ckpt_path)
