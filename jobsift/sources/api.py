@@ -73,7 +73,11 @@ def page_envelopes(records: DataFrame, page_size: int = 50, order: str = "itemIn
     A page holds at most ``page_size`` postings, so the per-page list is
     bounded whatever the data size.
     """
-    paged = records.withColumn("page", F.floor(F.col(order) / page_size).cast("long"))
+    # Records without an index are spread over many negative pages by a row
+    # hash, so no page collects them all.
+    spread = -1 - F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))),
+                         F.lit(1 << 20))
+    paged = records.withColumn("page", F.coalesce(F.floor(F.col(order) / page_size).cast("long"), spread))
     pages = paged.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(
         *[F.col(c) for c in records.columns]).alias("p")))).alias("_posts"))
     last = pages.select(F.max("page")).scalar()
