@@ -5,9 +5,12 @@ import pytest
 import __spark_entry__ as E
 from compare import compare, duck
 from conftest import SF_SMALL
+from jobsift.plans import registry
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# the catalog of this library's own operators; the training-data operators have tests of their own
+registry.load_all()
+QUERIES = dict(registry.QUERIES)
+ORACLE = dict(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
