@@ -13,6 +13,7 @@ their result; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,18 @@ def digest(text: Column) -> Column:
     return F.when(made != "", F.sha2(made, 256))
 
 
+def canonical_words(text: str) -> list[str]:
+    """The words of a known text before spellings are made one."""
+    return re.findall(r"[^\W_]+", re.sub(OWNER_LINE, " ", text).lower())
+
+
+def opening_words(texts: list[tuple[str, str]]) -> list[str]:
+    """First words that a text with a known digest can have, in any spelling."""
+    first = {w[0] for _, t in texts if (w := canonical_words(t))}
+    spelled = {b.split()[0] for a, b in EQUIVALENT if a.split()[0] in first} | first
+    return sorted(spelled | {a.split()[0] for a, b in EQUIVALENT if b.split()[0] in spelled})
+
+
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """license, digest: one row per known digest.  The number of known texts bounds it."""
     rows = spark.createDataFrame(KNOWN_TEXTS if texts is None else texts, "license string, text string")
@@ -139,6 +152,8 @@ def scan_licenses(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -
     text, known = whole_text(), F.broadcast(known_digests(docs.sparkSession, texts))
     rows = docs.select(*text_key(F.col("doc_id"), text), text.alias("_op_text"))
     lines = rows.select("_op_id", "_op_h1", "_op_h2", F.posexplode(F.split("_op_text", "\n")).alias("_op_pos", "_op_line"))
+    # a line that opens with another word has no known digest
+    lines = lines.where(F.lower(F.regexp_extract("_op_line", r"[\p{L}\p{N}]+", 0)).isin(opening_words(KNOWN_TEXTS if texts is None else texts)))
     found = (lines.withColumn("_op_digest", digest(F.col("_op_line"))).join(known, "_op_digest")
              .select("_op_id", "_op_h1", "_op_h2", "_op_pos", "license").distinct()
              .groupBy("_op_id", "_op_h1", "_op_h2").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.count("*").alias("n")))
