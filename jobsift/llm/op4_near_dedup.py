@@ -9,12 +9,14 @@ hash functions.  Documents with equal sets are one class.  Classes that agree
 in a band of ``ROWS`` coordinates share a bucket; a pair at the threshold
 shares none with probability (1 - 0.8^4)^32 < 1e-7.
 
-Buckets are searched in rounds, never as all pairs: each round takes a few
-pivots per bucket, from its smallest components, compares them with the
-members of other components, verifies candidates on their full sets, joins
-components, and drops the pivots and every bucket left with one component.  It
-ends when no bucket is left, so no pair of a bucket whose members are not yet
-joined goes unseen; a large group of near copies needs one pivot.
+A bucket is searched without emitting its pairs.  First its least member, the
+pivot, is compared with the others; verified pairs join components, so a large
+group of near copies mostly becomes one.  Buckets that still hold several
+components go to blocks: a bucket's members are dealt over blocks of about
+``BLOCK_ELEMENTS`` set elements, and a task takes two blocks of one bucket (or
+one with itself), compares members of different components by sketch and then
+by full set, each pair in the first bucket it shares, and emits only links
+between components that it has not joined yet.
 
 Defined results: null and empty texts, and texts without words, have the empty
 set and are linked with nothing; a text with fewer words than a shingle is one
@@ -39,8 +41,8 @@ from jobsift.llm.word_ids import worker_memory
 SHINGLE = 5
 PERCENT = 80
 SKETCH, ROWS = 128, 4
-#: Pivots per bucket: one in the first round, then so many times more in each.
-MORE_PIVOTS = 8
+#: Set elements in one block of a bucket's members.
+BLOCK_ELEMENTS = 1_000_000
 #: A pair needs this share of equal coordinates to be verified.  At similarity 0.8 it has less with probability < 1e-7.
 LEAST_EQUAL = 0.6
 #: Elements that one step of sketching holds.
@@ -197,6 +199,43 @@ def joined_components(nodes: DataFrame, links: DataFrame, spark: SparkSession) -
     return nodes.alias("n").join(moved.alias("m"), F.expr("n.comp = m.old"), "left").select("n.node", F.coalesce("m.new", "n.comp").alias("comp"))
 
 
+def join_links(spark: SparkSession, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after links (a, b) between components."""
+    links = stored(spark, links.distinct(), "verified")
+    return comps if links.isEmpty() else stored(spark, joined_components(comps, links, spark), "components")
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def block_links(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
+    """Links between the components of two blocks of a bucket: enough to join all that any verified pair links."""
+    bucket, low, high = (k.as_py() for k in key)
+    rows = rows.combine_chunks()
+    comp, block = (rows.column(c).to_numpy() for c in ("comp", "block"))
+    bands, sketch = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("bands", "sketch"))
+    lists = rows.column("elements").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sizes = np.diff(ends)
+    here = (bands == bucket).argmax(1)  # the band that this bucket is of
+    joined, out = comp.copy(), []
+    for q in np.flatnonzero(block == low):
+        with_ = (joined != joined[q]) & (block == high)
+        with_ &= 100 * np.minimum(sizes, sizes[q]) >= percent * np.maximum(sizes, sizes[q])
+        near = np.flatnonzero(with_)
+        near = near[(bands[near] == bands[q]).argmax(1) == here[q]]
+        share = (sketch[near] == sketch[q]).mean(1)
+        near = near[np.argsort(-share, kind="stable")][:int((share >= LEAST_EQUAL).sum())]
+        for m in near:
+            if joined[m] != joined[q] and alike(flat[ends[q]:ends[q + 1]], flat[ends[m]:ends[m + 1]], percent):
+                out.append((comp[q], comp[m]))
+                joined[joined == joined[m]] = joined[q]
+    return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(x) for _, x in out], pa.int64())})
+
+
 def equal_share(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / float(SKETCH)
 
@@ -211,39 +250,31 @@ def components(classes: DataFrame, docs: DataFrame, n: int = SHINGLE, percent: i
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = stored(spark, keys.join(shared, "key").select("key", "node"), "members")
     own = members.select("node").distinct()
-    facts = stored(spark, nodes.drop("bands").join(own, "node"), "facts")
+    facts = stored(spark, nodes.join(own, "node"), "facts")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(own.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = stored(spark, sets_of(wanted, n).withColumnRenamed("doc_id", "node"), "sets")
     comps = stored(spark, own.select("node", F.col("node").alias("comp")), "components")
-    pivots_each = 1
-    while not members.isEmpty():
-        sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-        at = members.join(comps.join(sizes, "comp"), "node")
-        open_ = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        at = stored(spark, at.join(open_, "key").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(pivots_each))), "open")
-        pivots = stored(spark, at.groupBy("key", "slot").agg(F.min(F.struct("size", "node", "comp")).alias("p"))
-                        .select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
-        pairs = (at.join(pivots, "key").where("comp <> pivot_comp")
-                 .select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-        pairs = (pairs.join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-                 .join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-                 .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal_share(F.col("sa"), F.col("sb")) >= LEAST_EQUAL)
-                 .select("a", "b", "na", "nb"))
-        both = F.size(F.array_intersect("ea", "eb"))
-        links = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-                 .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-                 .withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
-        links = (links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-                 .join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-                 .select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
-        links = stored(spark, links, "verified")
-        if not links.isEmpty():
-            comps = stored(spark, joined_components(comps, links, spark), "components")
-        rest = at.select("key", "node", "slot").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        left = rest.join(comps, "node").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        members = stored(spark, rest.join(left, "key").select("key", "node"), "members")
-        pivots_each *= MORE_PIVOTS
-    return comps
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
+    pairs = (members.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+             .join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
+             .join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(equal_share(F.col("sa"), F.col("sb")) >= LEAST_EQUAL)
+             .select("a", "b", "na", "nb"))
+    links = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
+             .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+             .withColumn("both", F.size(F.array_intersect("ea", "eb")))
+             .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    comps = join_links(spark, own.select("node", F.col("node").alias("comp")), links)
+    rest = members.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").join(comps, "node")
+    rest = stored(spark, rest.join(facts.select("node", "n_shingles"), "node"), "rest")
+    open_ = (rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("total"))
+             .where("low <> high").select("key", F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int").alias("blocks")))
+    dealt = rest.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("key", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    full = dealt.join(facts.drop("n_shingles"), "node").join(sets, "node")
+    links = full.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).applyInArrow(
+        lambda key, rows: block_links(key, rows, percent), "a long, b long")
+    return join_links(spark, comps, links)
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
