@@ -107,7 +107,7 @@ def sketches(sets: list[np.ndarray], t: int = SKETCH) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A hash for each band of each row; the band's number is part of it."""
-    bands = sketch.reshape(len(sketch), -1, rows)
+    bands = sketch.reshape(len(sketch), sketch.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
     for k in range(rows):
         key = mix(key * np.uint64(31) + bands[:, :, k])
