@@ -34,6 +34,7 @@ from jobsift.llm.word_ids import worker_memory
 
 SPACE = "▁"
 MAX_PARTS = 300_000
+MAX_PAIRS = 500_000
 INFINITE = float("inf")
 
 
@@ -115,6 +116,8 @@ class PieceTransducer:
             return True
         known = self.follows.get((last, piece))
         if known is None:
+            if len(self.follows) >= MAX_PAIRS:
+                self.follows.clear()
             want = ([self.strings[last]] if last >= 0 else []) + [self.strings[piece]]
             known = self.follows[last, piece] = self.merged("".join(want)) == want
         return known
