@@ -121,23 +121,24 @@ def category_distribution(df, k=10, col: str = "job_post_categories", field: str
     return top_k(df, key, "category_name", k, nonempty=False, count_name="job_count")
 
 
-def _rank_sets(out: DataFrame, k: int, day_limit: int = 31, day_stat: str = "by_date") -> DataFrame:
-    """Rank a long ``stat, key, n`` frame in one window pass: top-k per stat
-    (count desc, key asc), every day (newest first), the total.
-
-    One window (not a union of branches, which would re-run the aggregate)
-    orders each stat by its own conditional sort keys.  The pure filter
-    ``rank <= max(k, day_limit)`` lets Spark insert a partial
-    ``WindowGroupLimit`` before the shuffle, so at most that many rows per
-    stat leave each partition; the per-stat cut follows.
+def _rank_sets(out: DataFrame, k: int, day_stat: str = "by_date") -> DataFrame:
+    """Rank a long ``stat, key, n`` frame: top-k per stat (count desc, key asc),
+    every day (newest first), the total.
+
+    The first window cuts each stat to k; every day is a group of its own
+    there, so no day is lost and the pure filter ``rank <= k`` still lets Spark
+    insert a partial ``WindowGroupLimit`` before the shuffle.  The second
+    window numbers what is left: k rows per stat, and one row per day.
     """
     is_day = F.col("stat") == day_stat
+    own = out.withColumn("_day", F.when(is_day, F.col("key")))
+    top = Window.partitionBy("stat", "_day").orderBy(F.col("n").desc(), F.col("key").asc_nulls_first())
+    cut = own.withColumn("_cut", F.row_number().over(top)).where(F.col("_cut") <= k).drop("_cut", "_day")
     w = Window.partitionBy("stat").orderBy(
         F.when(is_day, F.lit(0)).otherwise(F.col("n")).desc(),
         F.when(is_day, F.col("key")).desc_nulls_last(),
         F.when(~is_day, F.col("key")).asc_nulls_first())
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, day_limit))
-    return ranked.where(F.col("stat").isin("total", day_stat) | (F.col("rank") <= k))
+    return cut.withColumn("rank", F.row_number().over(w))
 
 
 def job_statistics(df: DataFrame, as_of, k: int = 10) -> DataFrame:

@@ -43,12 +43,18 @@ def _q(alias: str, c: str) -> Column:
     return F.col(f"{alias}.`{c}`")
 
 
-def _merge_cols(key: str, cols: list[str], now: Column, s_present: Column, t_present: Column) -> list[Column]:
+def _merge_cols(key: str, given: list[str], held: list[str], now: Column, s_present: Column, t_present: Column) -> list[Column]:
+    """The target's columns, then the batch's new ones.  A column that the batch
+    lacks keeps the target's value (NULL in inserted rows); a new one is NULL in
+    rows that the batch does not touch."""
     out = [F.coalesce(_q("s", key), _q("t", key)).alias(key)]
-    for c in cols:
+    for c in [*held, *[c for c in given if c not in held]]:
         if c == key:
             continue
-        out.append(F.when(s_present, _q("s", c)).otherwise(_q("t", c)).alias(c))
+        if c in given:
+            out.append((F.when(s_present, _q("s", c)).otherwise(_q("t", c)) if c in held else _q("s", c)).alias(c))
+        else:
+            out.append(_q("t", c).alias(c))
     out.append(F.when(t_present, _q("t", "created_at")).otherwise(now).alias("created_at"))
     out.append(F.when(s_present, now).otherwise(_q("t", "updated_at")).alias("updated_at"))
     return out
@@ -61,14 +67,17 @@ def with_audit_columns(df: DataFrame, now) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, now, key: str = "id", order: list[str] | None = None) -> DataFrame:
-    """U01 + U06: matched rows take every column from the batch and
-    ``updated_at = now``; ``created_at`` is kept; unmatched rows are inserted."""
+    """U01 + U06: matched rows take the batch's columns and ``updated_at = now``;
+    ``created_at`` and the columns that the batch lacks are kept; unmatched rows
+    are inserted.  ``order`` tells the last arrival among a batch's rows of one
+    key; give it wherever keys can repeat."""
     now = (F.lit(now) if not isinstance(now, Column) else now).cast("timestamp_ntz")
     cols = [c for c in source.columns if c not in ("created_at", "updated_at")]
     s = dedupe_batch(source.select(*cols), key, order).alias("s")
     t = target.alias("t")
     j = t.join(s, _q("t", key) == _q("s", key), "full_outer")
-    return j.select(*_merge_cols(key, cols, now, _q("s", key).isNotNull(), _q("t", key).isNotNull()))
+    held = [c for c in target.columns if c not in ("created_at", "updated_at")]
+    return j.select(*_merge_cols(key, cols, held, now, _q("s", key).isNotNull(), _q("t", key).isNotNull()))
 
 
 def upsert_counts(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
@@ -209,10 +218,9 @@ class VersionedTable:
         self._state = None
 
     def _manifest(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self.MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except Exception:  # noqa: BLE001 - no manifest yet = empty table
-            return None
+        if not self._exists(self.manifest_path):
+            return None  # no manifest yet: an empty table; any other failure to read it is an error
+        return self.spark.read.schema(self.MANIFEST_SCHEMA).parquet(self.manifest_path)
 
     def _fold(self, m: DataFrame | None) -> tuple[int, dict, str | None]:
         """Per bucket: newest base (version, present) and the deltas after it."""
@@ -253,6 +261,11 @@ class VersionedTable:
     def _ckpt_path(self) -> str:
         return f"{self.root}/_manifest_ckpt"
 
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def _list_dirs(self, path: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -272,7 +285,8 @@ class VersionedTable:
 
     def _load(self) -> tuple[int, dict, str | None]:
         if self._state is None:
-            done = sorted(int(d.split("=", 1)[1]) for d in self._list_dirs(self._ckpt_path) if d.startswith("v="))
+            done = sorted(int(d.split("=", 1)[1]) for d in self._list_dirs(self._ckpt_path)
+                          if d.startswith("v=") and self._exists(f"{self._ckpt_path}/{d}/_SUCCESS"))  # only finished ones
             m = self._manifest()
             if not done:
                 self._state = self._fold(m)
@@ -374,8 +388,9 @@ class VersionedTable:
         data = df.withColumn("_bucket", bucket_of(self.key, self.buckets))
         n = max(1, min(len(touched), self.buckets)) if touched else self.buckets
         # One task per bucket: each bucket folder gets one file, not one per shuffle partition.
+        # A folder of this version that no manifest row names is what a failed commit left: overwrite it.
         (data.repartition(n, "_bucket").withColumnRenamed("_bucket", "bucket")
-         .write.mode("errorifexists").partitionBy("bucket").parquet(path))
+         .write.mode("overwrite").partitionBy("bucket").parquet(path))
         written = set(self._written_buckets(path))
         touched = sorted(set(touched) if touched is not None else written)
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -445,6 +460,9 @@ class VersionedTable:
         if cur == 0:
             return self.commit(with_audit_columns(src, now), "initial")
         if self.mode == "merge_on_read":
+            lacking = {f.name for f in self._schema_of(self._load()[2]).fields} - set(src.columns) - {"created_at", "updated_at", "_deleted"}
+            if lacking:
+                raise ValueError(f"a delta carries every column of the table; the batch lacks {sorted(lacking)}")
             return self._delta(with_audit_columns(src, now).withColumn("_deleted", F.lit(False)), "upsert")
         src = src.persist()
         try:

@@ -19,7 +19,13 @@ PAGE_COLUMNS = ["id", "title", "company_name_en", "company_name_fa", "activation
                 "locations", "primary_city", "category", "tag_remote", "tag_no_experience", "tag_part_time",
                 "tag_internship"]
 JSON_COLUMNS = ["locations", "work_types", "tags", "job_post_categories", "salary"]
-MAX_PAGE_SIZE = 1000
+
+
+def page_size(limit: int, most: int | None = None) -> int:
+    """The rows of a page.  ``most`` is the caller's bound; a size beyond it, or below 1, is an error, never cut."""
+    if int(limit) < 1 or (most is not None and int(limit) > most):
+        raise ValueError(f"page size {limit} is not between 1 and {'any number' if most is None else most}")
+    return int(limit)
 
 
 def limit_rows(df: DataFrame, n: int | None) -> DataFrame:
@@ -79,9 +85,9 @@ def search_filter(keyword=None, location=None, company=None, days=None, as_of=No
 
 
 def search(df: DataFrame, keyword=None, location=None, company=None, days=None, sort="date",
-           page: int = 1, limit: int = 25, as_of=None) -> tuple[DataFrame, DataFrame]:
+           page: int = 1, limit: int = 25, as_of=None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One page of results and the total count (two lazy frames over one filter)."""
-    limit = max(1, min(int(limit), MAX_PAGE_SIZE))
+    limit = page_size(limit, most)
     page = max(1, int(page))
     hits = df.where(search_filter(keyword, location, company, days, as_of))
     page_df = hits.orderBy(*search_order(sort, keyword)).offset((page - 1) * limit).limit(limit)
@@ -89,7 +95,7 @@ def search(df: DataFrame, keyword=None, location=None, company=None, days=None,
     return page_df, total
 
 
-def search_after(hits: DataFrame, cursor, limit: int = 25) -> DataFrame:
+def search_after(hits: DataFrame, cursor, limit: int = 25, most: int | None = None) -> DataFrame:
     """R03 keyset paging for the date sort (``activation_time DESC NULLS LAST,
     id ASC``): the rows after ``cursor = (activation_time, id)`` of the last
     row shown.  Unlike ``offset``, the work per page does not grow with the
@@ -101,14 +107,14 @@ def search_after(hits: DataFrame, cursor, limit: int = 25) -> DataFrame:
     else:
         lit_ts = F.lit(c_ts).cast("timestamp_ntz")
         after = (ts < lit_ts) | ((ts == lit_ts) & (key > F.lit(c_id))) | ts.isNull()
-    limit = max(1, min(int(limit), MAX_PAGE_SIZE))
+    limit = page_size(limit, most)
     return hits.where(after).orderBy(F.desc_nulls_last("activation_time"), F.asc("id")).limit(limit)
 
 
-def page_info(total: DataFrame, page: int, limit: int, window: int = 2) -> DataFrame:
-    """``total_pages = ceil(total / limit)`` (limit capped at 1000) and the
+def page_info(total: DataFrame, page: int, limit: int, window: int = 2, most: int | None = None) -> DataFrame:
+    """``total_pages = ceil(total / limit)`` and the
     page-number window of +-2 around the current page."""
-    limit = max(1, min(int(limit), MAX_PAGE_SIZE))
+    limit = page_size(limit, most)
     pages = F.ceil(F.col("total") / F.lit(limit)).cast("long")
     lo = F.greatest(F.lit(1), F.lit(page - window))
     hi = F.least(pages, F.lit(page + window))

@@ -100,6 +100,10 @@ UNION ALL SELECT 'total', NULL, count(*), 1 FROM postings_d
 register("job_statistics", _STATS_SQL, headline=True)(
     lambda s, d: A.job_statistics(P(s, d), A.as_of_max(P(s, d))))
 
+# the clock 200 days before the newest posting: more days than any fixed number of rows
+register("job_statistics_past", _STATS_SQL.replace(AS_OF, f"({AS_OF} - INTERVAL 200 DAY)"))(
+    lambda s, d: A.job_statistics(P(s, d), A.as_of_max(P(s, d)) - F.expr("INTERVAL 200 DAYS")))
+
 _WEB_SQL = WD + f""", keyed AS (
   SELECT CASE WHEN activation_time >= {AS_OF} - INTERVAL 30 DAY THEN strftime(activation_time, '%Y-%m-%d') END AS k_day,
          coalesce(company_name_en, company_name_fa, 'Unknown') AS k_company,
@@ -255,6 +259,8 @@ def _keyset_page2(s, d):
     hits = B.view(s, d, "postings_text").where(R.search_filter(keyword="high", location="europe", company="customer"))
     first = R.search(B.view(s, d, "postings_text"), keyword="high", location="europe", company="customer",
                      sort="date", page=1, limit=25)[0].select("activation_time", "id").collect()  # the shown page
+    if not first:
+        return hits.limit(0)  # nothing follows an empty page
     last = first[-1]
     return R.search_after(hits, (last["activation_time"], last["id"]), 25)
 

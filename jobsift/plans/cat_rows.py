@@ -78,7 +78,7 @@ WHERE start_time >= (SELECT min(start_time) FROM (SELECT start_time FROM state O
    OR start_time >= (SELECT max(start_time) FROM state) - INTERVAL 7 DAY""")(
     lambda s, d: RW.retention(STATE(s, d), "start_time", 50, 7,
                               STATE(s, d).select(F.max("start_time")).scalar()))
-register("running_mean", WL + """SELECT batch_id, status, round(s * 100.0 / c) / 10000 AS running_mean FROM (
+register("running_mean", WL + """SELECT batch_id, status, round(CAST(s AS DOUBLE) / c * 100) / 10000 AS running_mean FROM (
   SELECT batch_id, status,
          sum(CAST(round(processing_time * 100) AS BIGINT)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s,
          count(processing_time) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
@@ -86,13 +86,11 @@ register("running_mean", WL + """SELECT batch_id, status, round(s * 100.0 / c) /
 
 
 def _running_mean_cents(state):
-    """W05 on the ledger: the mean is formed from exact integer cents so both
-    engines round the same quotient."""
+    """W05 on the ledger: the mean is formed from integer cents, whose sums are
+    exact, so both engines round the same quotient."""
     cents = F.round(F.col("processing_time") * 100).cast("long")
-    out = RW.prefix_agg(state.select("batch_id", "status", "processing_time"), ["batch_id"],
-                        {"s": (cents, "sum"), "c": (F.col("processing_time").isNotNull().cast("long"), "sum")})
-    return out.select("batch_id", "status", (F.round(F.try_divide(F.col("s") * 100.0, F.col("c"))) / 10000)
-                      .alias("running_mean"))
+    out = RW.running_mean(state.select("batch_id", "status", cents.alias("cents")), "cents", ["batch_id"], "mean")
+    return out.select("batch_id", "status", (F.round(F.col("mean") * 100) / 10000).alias("running_mean"))
 
 
 register("failure_streak", WL + """, f AS (
@@ -176,6 +174,29 @@ _MERGE_SQL = _W2 + f"""SELECT coalesce(n.id, o.id) AS id,
   CASE WHEN n.id IS NOT NULL THEN TIMESTAMP '{T1}' ELSE TIMESTAMP '{T0}' END AS updated_at
 FROM postings o FULL OUTER JOIN postings_v2 n ON o.id = n.id"""
 register("upsert", _MERGE_SQL)(lambda s, d: U.upsert(_target(s, d), V(s, d, "postings_v2"), T1))
+# a batch with fewer columns (no url and so on) and one more
+_PARTIAL = "id, title, length(title) AS title_chars"
+register("upsert_partial", _W2 + f"""SELECT coalesce(n.id, o.id) AS id,
+  CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title,
+  {", ".join(f"o.{c}" for c in B.POSTING_COLUMNS[1:] if c != "title")}, n.title_chars,
+  CASE WHEN o.id IS NOT NULL THEN TIMESTAMP '{T0}' ELSE TIMESTAMP '{T1}' END AS created_at,
+  CASE WHEN n.id IS NOT NULL THEN TIMESTAMP '{T1}' ELSE TIMESTAMP '{T0}' END AS updated_at
+FROM postings o FULL OUTER JOIN (SELECT {_PARTIAL} FROM postings_v2) n ON o.id = n.id""")(
+    lambda s, d: U.upsert(_target(s, d), V(s, d, "postings_v2").selectExpr(*_PARTIAL.split(", ")), T1))
+# every id arrives twice; the smaller title comes last
+register("upsert_last_arrival", _W2 + f"""SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'a ' || n.title ELSE o.title END AS title,
+  CASE WHEN n.id IS NOT NULL THEN 2 END AS arrival
+FROM postings o FULL OUTER JOIN postings_v2 n ON o.id = n.id""")(
+    lambda s, d: U.upsert(_target(s, d).select("id", "title", "created_at", "updated_at"), _twice(s, d), T1, order=["arrival"])
+    .select("id", "title", "arrival"))
+
+
+def _twice(s, d):
+    v2 = V(s, d, "postings_v2").select("id", "title")
+    return (v2.select("id", F.concat(F.lit("z "), "title").alias("title"), F.lit(1).alias("arrival"))
+            .unionByName(v2.select("id", F.concat(F.lit("a "), "title").alias("title"), F.lit(2).alias("arrival"))))
+
+
 register("upsert_counts", _W2 + """SELECT count(*) FILTER (WHERE o.id IS NULL) AS inserted,
   count(*) FILTER (WHERE o.id IS NOT NULL) AS updated
 FROM (SELECT DISTINCT id FROM postings_v2) n LEFT JOIN postings o ON o.id = n.id""")(

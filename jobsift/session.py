@@ -57,11 +57,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
     file system).  Only when it is unset -- tests, local runs -- a scratch
-    folder is created and registered as the checkpoint dir.
+    folder is created and registered as the checkpoint dir; a session on a
+    cluster without the setting is an error, since executors could not share
+    a folder of the driver's.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="jobsift-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

@@ -42,7 +42,8 @@ def ingest_batch(table: U.VersionedTable, ledger_path: str):
     """The ``foreachBatch`` body: validate, dedupe (D9), upsert, record the batch."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        rows = to_table_rows(batch, f"epoch-{epoch_id}")
+        last = U.dedupe_batch(batch, "id", ["page", "position"])  # D9: the last arrival of an id
+        rows = to_table_rows(last, f"epoch-{epoch_id}")
         valid = CO.validate_required(rows, ["id", "title"], nonblank=True).persist()
         try:
             # The merge clock comes from the batch itself, so a replay writes the same rows.
@@ -54,7 +55,8 @@ def ingest_batch(table: U.VersionedTable, ledger_path: str):
             valid.unpersist()
         event = spark.createDataFrame([(int(epoch_id), "completed", n)],
                                       "batch_id long, status string, row_count long")
-        event.write.mode("append").parquet(ledger_path)
+        # a folder for each epoch: a replayed epoch overwrites its own row
+        event.write.mode("overwrite").parquet(f"{ledger_path}/epoch={int(epoch_id)}")
     return run
 
 
