@@ -116,6 +116,19 @@ register("scan_page_envelopes", W + """SELECT id, title, CAST(id AS BIGINT) // 5
   CAST(CAST(id AS BIGINT) % 50 AS INTEGER) AS position FROM postings""")(
     lambda s, d: _pages(s, d).select("id", "title", "page", "position"))
 
+
+
+def _corrupt_pages(s, d):
+    path = _land_pages(s, d)
+    broken = P(s, d).select(F.floor(F.col("id").cast("long") / 50).alias("page")).distinct()
+    broken.select(F.format_string('{"page": %d, "data": {"jobPosts": [', "page").alias("value")).write.mode("append").text(path)
+    return API.malformed_pages(s, path).select("record")
+
+
+# every page also lands once cut off in its middle: these lines are found, the whole pages are not
+register("scan_pages_corrupt", W + """SELECT DISTINCT '{"page": ' || (CAST(id AS BIGINT) // 50) || ', "data": {"jobPosts": [' AS record FROM postings""")(
+    _corrupt_pages)
+
 _LOC_IDS = """CASE WHEN json_type(locations) = 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(flatten(
       list_transform(from_json(locations, '[{"province":{"id":"BIGINT"},"city":{"id":"BIGINT"}}]'),
                      lambda x: [x.province.id, x.city.id])), lambda y: y IS NOT NULL), lambda z: printf('%03d', z)), ','), '')

@@ -9,7 +9,7 @@ and ``posting_from_api`` (C02) project the nested record to table columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,8 +94,30 @@ def scan_page_envelopes(spark: SparkSession, path: str, schema: T.StructType = E
     return explode_envelopes(raw)
 
 
+#: The envelope and, for a line that is no such JSON, its text.
+LANDED = T.StructType([*ENVELOPE.fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+def postings_of_page() -> Column:
+    return F.coalesce(F.col("data.jobPosts"), F.col("data.jobs"), F.col("jobs"))
+
+
+def malformed(raw: DataFrame) -> DataFrame:
+    """Rows of a ``LANDED`` frame that are no page: broken JSON, or no list of postings.
+
+    ``record`` is the line's text, or the JSON that could be read of it.
+    """
+    lost = postings_of_page().isNull() | F.col("_corrupt_record").isNotNull()
+    return raw.where(lost).select("page", F.coalesce(F.col("_corrupt_record"), F.to_json(F.struct("page", "data", "jobs"))).alias("record"))
+
+
+def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The landed lines that ``scan_page_envelopes`` finds no postings in, to count and keep apart."""
+    return malformed(spark.read.schema(LANDED).json(path))
+
+
 def explode_envelopes(raw: DataFrame) -> DataFrame:
-    posts = F.coalesce(F.col("data.jobPosts"), F.col("data.jobs"), F.col("jobs"))
+    posts = postings_of_page()
     return raw.select(F.col("page"), F.col("data.hasNextPage").alias("has_next"),
                       F.posexplode(posts).alias("position", "p")).select("page", "position", "has_next", "p.*")
 

@@ -38,10 +38,15 @@ def to_table_rows(records: DataFrame, batch_id) -> DataFrame:
         F.lit(str(batch_id)).alias("batch_id"))
 
 
-def ingest_batch(table: U.VersionedTable, ledger_path: str):
-    """The ``foreachBatch`` body: validate, dedupe (D9), upsert, record the batch."""
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
+def ingest_batch(table: U.VersionedTable, ledger_path: str, quarantine_path: str | None = None):
+    """The ``foreachBatch`` body: set malformed pages apart, validate, dedupe (D9),
+    upsert, record the batch with the number of malformed pages."""
+    def run(landed: DataFrame, epoch_id: int) -> None:
+        spark = landed.sparkSession
+        bad_path = f"{quarantine_path or ledger_path + '_quarantine'}/epoch={int(epoch_id)}"
+        API.malformed(landed).write.mode("overwrite").parquet(bad_path)
+        n_bad = spark.read.schema("page long, record string").parquet(bad_path).count()
+        batch = API.explode_envelopes(landed)
         last = U.dedupe_batch(batch, "id", ["page", "position"])  # D9: the last arrival of an id
         rows = to_table_rows(last, f"epoch-{epoch_id}")
         valid = CO.validate_required(rows, ["id", "title"], nonblank=True).persist()
@@ -53,8 +58,8 @@ def ingest_batch(table: U.VersionedTable, ledger_path: str):
                 table.merge(valid, stats["now"] if stats["now"] is not None else "1970-01-01 00:00:00", "id")
         finally:
             valid.unpersist()
-        event = spark.createDataFrame([(int(epoch_id), "completed", n)],
-                                      "batch_id long, status string, row_count long")
+        event = spark.createDataFrame([(int(epoch_id), "completed", n, n_bad)],
+                                      "batch_id long, status string, row_count long, malformed_pages long")
         # a folder for each epoch: a replayed epoch overwrites its own row
         event.write.mode("overwrite").parquet(f"{ledger_path}/epoch={int(epoch_id)}")
     return run
@@ -69,7 +74,8 @@ def stream_ingest(spark: SparkSession, landing: str, table: U.VersionedTable, ch
     With a merge-on-read table each micro-batch writes only its rows; when the
     run ends, ``compact`` folds the deltas into bases so later reads are plain
     scans (a continuous stream relies on the table's ``max_deltas`` bound)."""
-    q = (stream_pages(spark, landing, max_files_per_trigger).writeStream
+    landed = spark.readStream.schema(API.LANDED).option("maxFilesPerTrigger", max_files_per_trigger).json(landing)
+    q = (landed.writeStream
          .foreachBatch(ingest_batch(table, ledger_path))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

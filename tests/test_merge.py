@@ -1,6 +1,7 @@
 """Merge and audit properties: a repeated batch is a no-op, counts add up,
 rows outside the batch are untouched; versioned commits are readable."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsift.operators import merge as U
@@ -188,3 +189,34 @@ def test_manifest_checkpoint_reload(spark):
     assert _same(fresh.read(), t.read())
     assert _same(fresh.read(3), t.read(3))
     assert t._list_dirs(t._ckpt_path)
+
+
+def test_commit_after_a_failed_one(spark):
+    """A folder that a dead job left under the next version, and a checkpoint it did not finish, stop nothing."""
+    import os
+    from jobsift.session import local_path
+    root = work_path(spark, "test", "leftover")
+    p = B.postings(spark, SF_SMALL)
+    U.VersionedTable(spark, root, buckets=4).merge(p, "2024-01-01 00:00:00")
+    p.limit(5).write.parquet(f"{root}/v=000002/bucket=0")
+    os.makedirs(local_path(f"{root}/_manifest_ckpt/v=000001"))
+    table = U.VersionedTable(spark, root, buckets=4)
+    assert table.current_version() == 1 and table.read().count() == p.count()
+    changed = p.where(F.col("id") == "42").withColumn("title", F.lit("changed"))
+    assert table.merge(changed, "2024-01-02 00:00:00") == 2
+    assert table.read().count() == p.count() and table.read().where("id = '42'").first()["title"] == "changed"
+
+
+def test_a_delta_carries_every_column(spark):
+    table = U.VersionedTable(spark, work_path(spark, "test", "delta"), buckets=4, mode="merge_on_read")
+    p = B.postings(spark, SF_SMALL)
+    table.merge(p, "2024-01-01 00:00:00")
+    with pytest.raises(ValueError):
+        table.merge(p.select("id", "title"), "2024-01-02 00:00:00")
+
+
+def test_upsert_keeps_what_the_batch_lacks(spark):
+    target = U.with_audit_columns(spark.createDataFrame([("a", "t", "u"), ("b", "t", "u")], "id string, title string, url string"), "2024-01-01 00:00:00")
+    batch = spark.createDataFrame([("a", "Z first", 1), ("a", "A last", 2), ("c", "new", 1)], "id string, title string, arrival int")
+    rows = {r["id"]: r for r in U.upsert(target, batch, "2024-01-02 00:00:00", order=["arrival"]).collect()}
+    assert (rows["a"]["title"], rows["a"]["url"], rows["b"]["url"], rows["b"]["arrival"], rows["c"]["url"]) == ("A last", "u", "u", None, None)

@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from jobsift.operators import merge as U
 from jobsift.plans import binding as B
 from jobsift.session import work_path
 from jobsift.sources import api as API
@@ -59,3 +60,20 @@ def test_restart_adds_nothing(spark):
     assert table.current_version() == v1
     assert table.read().count() == B.postings(spark, SF_SMALL).count()
     assert spark.read.parquet(ledger).agg(F.sum("row_count")).first()[0] == B.postings(spark, SF_SMALL).count()
+
+
+def test_replay_and_malformed_pages(spark):
+    """A replayed epoch adds nothing, to the table or the ledger; broken pages are kept and counted."""
+    landing = work_path(spark, "test", "landing")
+    API.page_envelopes(API.api_records(B.postings(spark, SF_SMALL)), page_size=50).coalesce(2).write.json(landing)
+    spark.createDataFrame([('{"page": 7, "data": {"jobPo',), ('{"page": 8}',)], "value string").coalesce(1).write.mode("append").text(landing)
+    table = U.VersionedTable(spark, work_path(spark, "test", "table"), buckets=4, mode="merge_on_read")
+    ledger = work_path(spark, "test", "ledger")
+    body, landed = I.ingest_batch(table, ledger), spark.read.schema(API.LANDED).json(landing)
+    body(landed, 0)
+    body(landed, 0)
+    n = B.postings(spark, SF_SMALL).count()
+    assert table.read().count() == n
+    event = spark.read.parquet(ledger).collect()
+    assert [(r["row_count"], r["malformed_pages"]) for r in event] == [(n, 2)]
+    assert spark.read.parquet(ledger + "_quarantine").count() == 2
