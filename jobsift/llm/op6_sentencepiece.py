@@ -6,8 +6,8 @@ A text is composed with it, and the shortest path in the tropical semiring is
 its encoding.  For a unigram model an arc's weight is the negative score.  For
 a BPE model arcs weigh nothing, and the state also remembers the last piece: a
 piece may follow another (weight 0) only where merging the two pieces'
-characters by score gives just these two, else the weight is infinite.  That
-leaves exactly one path of finite weight, the one that merging gives.
+characters by score gives just these two, else the weight is infinite; the
+merges at the pieces' touching edges tell.  That leaves exactly one path of finite weight, the one that merging gives.
 
 A composed text splits where no piece can cross: before a run of U+2581 and
 between characters that no piece has side by side.  The parts' paths are
@@ -85,14 +85,15 @@ class PieceTransducer:
         self.strings = {i: s for s, (i, _) in self.pieces.items()}
         if any(SPACE in s.lstrip(SPACE) for s in self.pieces):
             raise ValueError("a piece crosses words")
-        self.arcs: dict = {}  # a trie: character -> node, "" -> piece id
+        self.arcs: dict = {}  # a trie: character -> [id of the piece that ends here or -1, next characters]
         for s, (i, _) in self.pieces.items():
-            node = self.arcs
+            node: list = [-1, self.arcs]
             for c in s:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.beside = {s[k:k + 2] for s in self.pieces for k in range(len(s) - 1)}
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
+        self.beside = {pair for s in self.pieces for pair in zip(s, s[1:])}
         self.follows: dict[tuple[int, int], bool] = {}
+        self.grown: dict[int, tuple | None] = {}
         self.parts = Remembered(self.part)
         self.words = Remembered(lambda word: self.part(SPACE + word))
         self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -110,6 +111,56 @@ class PieceTransducer:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
+    def spines(self, piece: int) -> tuple | None:
+        """How merging builds a piece: the strings at its left and at its right edge, from the character up, with their scores.
+
+        None if merging its characters gives something else.  The last item
+        tells whether every merge scores at most as high as those before it,
+        so that the edges grow in the order of the scores.
+        """
+        parts: list[tuple] = [(c, None, None) for c in self.strings[piece]]
+        falling = True
+        while len(parts) > 1:
+            scores = [self.pieces.get(a[0] + b[0], (0, -INFINITE))[1] for a, b in zip(parts, parts[1:])]
+            best = max(scores)
+            if best == -INFINITE:
+                return None
+            k = scores.index(best)
+            falling &= all(len(x[0]) == 1 or self.pieces[x[0]][1] > best for x in parts[k:k + 2])
+            parts[k:k + 2] = [(parts[k][0] + parts[k + 1][0], parts[k], parts[k + 1])]
+        edges = []
+        for side in (1, 2):
+            node, edge = parts[0], []
+            while node is not None:
+                edge.append((node[0], self.pieces.get(node[0], (0, -INFINITE))[1]))
+                node = node[side]
+            edges.append(edge[::-1])
+        return edges[0], edges[1], falling
+
+    def meets(self, last: int, piece: int) -> bool:
+        """Whether no merge joins the right edge of one piece with the left edge of the next, as both grow."""
+        for x in (last, piece):
+            if x not in self.grown:
+                self.grown[x] = self.spines(x)
+        a, b = self.grown[last], self.grown[piece]
+        if a is None or b is None:
+            return False
+        if not (a[2] and b[2]):
+            return self.merged(self.strings[last] + self.strings[piece]) == [self.strings[last], self.strings[piece]]
+        left, right, i, j = a[1], b[0], 0, 0
+        while True:
+            across = self.pieces.get(left[i][0] + right[j][0], (0, -INFINITE))[1]
+            up_left = left[i + 1][1] if i + 1 < len(left) else -INFINITE
+            up_right = right[j + 1][1] if j + 1 < len(right) else -INFINITE
+            if across > up_left and across >= up_right:
+                return False
+            if up_left == up_right == -INFINITE:
+                return True
+            if up_left >= up_right:
+                i += 1
+            else:
+                j += 1
+
     def may_follow(self, last: int, piece: int) -> bool:
         """Whether the transition from the state of ``last`` (-1: none, or bytes) by ``piece`` has finite weight."""
         if not self.merges:
@@ -118,8 +169,8 @@ class PieceTransducer:
         if known is None:
             if len(self.follows) >= MAX_PAIRS:
                 self.follows.clear()
-            want = ([self.strings[last]] if last >= 0 else []) + [self.strings[piece]]
-            known = self.follows[last, piece] = self.merged("".join(want)) == want
+            known = self.merged(self.strings[piece]) == [self.strings[piece]] if last < 0 else self.meets(last, piece)
+            self.follows[last, piece] = known
         return known
 
     def path(self, text: str) -> list[int]:
@@ -130,15 +181,16 @@ class PieceTransducer:
             w = weight[i]
             if w == INFINITE:
                 continue
-            last, node, j = back[i][0], arcs, i
-            while j < n and (node := node.get(text[j])) is not None:
+            last, next_, j, alone = back[i][0], arcs, i, False
+            while j < n and (node := next_.get(text[j])) is not None:
+                piece, next_ = node
                 j += 1
-                piece = node.get("")
-                if piece is not None:
+                if piece >= 0:
+                    alone |= j == i + 1
                     to = w if merges else w - self.pieces[self.strings[piece]][1]
-                    if to < weight[j] and (follows.get((last, piece)) or self.may_follow(last, piece)):
+                    if to < weight[j] and (self.may_follow(last, piece) if (known := follows.get((last, piece))) is None else known):
                         weight[j], back[j] = to, (piece, (piece,), i)
-            if "" not in arcs.get(text[i], ()):  # no piece of this character alone: its bytes
+            if not alone:  # no piece of this character alone: its bytes
                 ids = tuple(self.byte_ids.get(b, self.unknown) for b in text[i].encode()) if self.byte_ids else (self.unknown,)
                 to = w if merges else w + 1e6
                 if to < weight[i + 1]:
@@ -153,7 +205,7 @@ class PieceTransducer:
 
     def part(self, text: str) -> bytes:
         """Ids of a part as 32-bit little-endian bytes."""
-        cut = [k for k in range(1, len(text)) if text[k - 1:k + 1] not in self.beside]
+        cut = [k for k, pair in enumerate(zip(text, text[1:]), 1) if pair not in self.beside]
         if not cut:
             return np.array(self.path(text), "<i4").tobytes()
         return b"".join([self.parts[text[a:b]] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)])
