@@ -1,23 +1,17 @@
-"""Upsert, delete, patch and change feed on a versioned parquet table.
+"""Upsert, delete, patch and change feed between frames.
 
-Plain parquet has no ``MERGE INTO``, and overwriting a path that is being
-read is unsafe, so a table is a sequence of immutable versions of hash
-buckets (``<root>/v=<n>/bucket=<b>/``) plus an append-only manifest
-(``<root>/_manifest/``).  A merge rewrites only the buckets its batch
-touches and appends the manifest rows last: a failed or retried job leaves
-no visible partial version, and readers pin a version.  Merges are one
-full-outer equi-join on the key (both sides hash-partitioned on it; AQE
-splits skewed partitions); the frame-level functions below are also usable
-on their own.
+Plain parquet has no ``MERGE INTO``; a merge is one full-outer equi-join on the
+key (both sides hash-partitioned on it; AQE splits skewed partitions) whose
+result the caller stores.  ``operators/epochs.py`` keeps a table on disk, batch
+by batch, without that join.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AUDIT_COLUMNS = ("table_name", "record_id", "action", "old_data", "new_data", "changed_by", "changed_at")
@@ -162,356 +156,3 @@ def audit_feed(old: DataFrame, new: DataFrame, at, key: str = "id", table: str =
 def natural_key_conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Natural keys that occur more than once (a check; W01 enforces)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
-def bucket_of(key: str, buckets: int) -> Column:
-    """Storage bucket of a key: ``pmod(xxhash64(key), buckets)``."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-
-
-class VersionedTable:
-    """Immutable versions of a hash-bucketed table + an append-only manifest.
-
-    Layout: ``<root>/v=<n>/bucket=<b>/``.  A version writes only the buckets
-    it changes, either as a *base* (the bucket's full content) or, in
-    merge-on-read mode, as a *delta* (only the changed rows, deletes as
-    tombstones).  The manifest (``<root>/_manifest``) has one row per
-    (version, bucket written); a reader of version ``n`` takes, per bucket,
-    the newest base at or before ``n`` plus the deltas after it, and keeps
-    the newest row per key.  Manifest rows are appended after the data is
-    written: that append is the commit point, and a failed job leaves no
-    visible partial version.
-
-    * ``copy_on_write``: a merge reads and rewrites the buckets its batch
-      touches.  Reads are plain scans.
-    * ``merge_on_read``: a merge writes just the batch (cost follows the
-      batch, not the table); a bucket with ``max_deltas`` deltas is compacted
-      into a new base, which bounds the work a read does per key.
-
-    One writer per table object: the object keeps the latest manifest state
-    (loaded with one aggregate, then updated by its own commits).
-    """
-
-    MANIFEST_SCHEMA = ("version long, bucket int, present boolean, kind string, note string, "
-                       "committed_at timestamp_ntz, schema_json string")
-
-    MANIFEST_PART = 100  # manifest rows are stored under part=<version // 100>
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: str = "id",
-                 mode: str = "copy_on_write", max_deltas: int = 8, checkpoint_every: int = 100):
-        if mode not in ("copy_on_write", "merge_on_read"):
-            raise ValueError(mode)
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = int(buckets)
-        self.key = key
-        self.mode = mode
-        self.max_deltas = int(max_deltas)
-        self.checkpoint_every = int(checkpoint_every)
-        self._state: tuple[int, dict, str | None] | None = None
-
-    @property
-    def manifest_path(self) -> str:
-        return f"{self.root}/_manifest"
-
-    def refresh(self) -> None:
-        self._state = None
-
-    def _manifest(self) -> DataFrame | None:
-        if not self._exists(self.manifest_path):
-            return None  # no manifest yet: an empty table; any other failure to read it is an error
-        return self.spark.read.schema(self.MANIFEST_SCHEMA).parquet(self.manifest_path)
-
-    def _fold(self, m: DataFrame | None) -> tuple[int, dict, str | None]:
-        """Per bucket: newest base (version, present) and the deltas after it."""
-        if m is None:
-            return (0, {}, None)
-        per = m.groupBy("bucket").agg(
-            F.max_by(F.struct("version", "present"), F.when(F.col("kind") == "base", F.col("version"))).alias("base"),
-            F.collect_list(F.when(F.col("kind") == "delta", F.col("version"))).alias("deltas"),
-            F.max("version").alias("top"), F.max_by("schema_json", F.col("version")).alias("schema"))
-        rows = per.collect()  # one row per bucket: metadata, not data
-        state: dict = {}
-        top_v, top_schema = 0, None
-        for r in rows:
-            base = r["base"]
-            bv = int(base["version"]) if base is not None else None
-            deltas = sorted(int(d) for d in r["deltas"] if d is not None and (bv is None or d > bv))
-            state[int(r["bucket"])] = {"base": (bv, bool(base["present"])) if base is not None else None,
-                                       "deltas": deltas}
-            if r["top"] > top_v:
-                top_v, top_schema = int(r["top"]), r["schema"]
-        return (top_v, state, top_schema)
-
-    @staticmethod
-    def _apply(state: dict, top: int, schema: str | None, rows) -> tuple[int, dict, str | None]:
-        """Fold manifest rows (version, bucket, present, kind, schema_json) onto a state."""
-        state = {b: {"base": i["base"], "deltas": list(i["deltas"])} for b, i in state.items()}
-        for r in sorted(rows, key=lambda r: (r["version"], r["bucket"])):
-            b, v = int(r["bucket"]), int(r["version"])
-            if r["kind"] == "base":
-                state[b] = {"base": (v, bool(r["present"])), "deltas": []}
-            else:
-                state.setdefault(b, {"base": None, "deltas": []})["deltas"].append(v)
-            if v >= top:
-                top, schema = v, r["schema_json"]
-        return (top, state, schema)
-
-    @property
-    def _ckpt_path(self) -> str:
-        return f"{self.root}/_manifest_ckpt"
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def _list_dirs(self, path: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-
-    def _write_checkpoint(self) -> None:
-        """Folded state (one row per bucket) so later loads skip older manifest rows."""
-        v, state, js = self._load()
-        rows = [(int(b), i["base"][0] if i["base"] else None, i["base"][1] if i["base"] else None,
-                 [int(d) for d in i["deltas"]]) for b, i in state.items()]
-        (self.spark.createDataFrame(rows, "bucket int, base_version long, base_present boolean, deltas array<long>")
-         .withColumn("version", F.lit(v).cast("long")).withColumn("schema_json", F.lit(js))
-         .coalesce(1).write.mode("overwrite").parquet(f"{self._ckpt_path}/v={v:06d}"))
-
-    def _load(self) -> tuple[int, dict, str | None]:
-        if self._state is None:
-            done = sorted(int(d.split("=", 1)[1]) for d in self._list_dirs(self._ckpt_path)
-                          if d.startswith("v=") and self._exists(f"{self._ckpt_path}/{d}/_SUCCESS"))  # only finished ones
-            m = self._manifest()
-            if not done:
-                self._state = self._fold(m)
-            else:
-                v_c = done[-1]
-                ck = self.spark.read.parquet(f"{self._ckpt_path}/v={v_c:06d}").collect()  # one row per bucket
-                state = {int(r["bucket"]): {"base": (int(r["base_version"]), bool(r["base_present"]))
-                                            if r["base_version"] is not None else None,
-                                            "deltas": [int(d) for d in r["deltas"]]} for r in ck}
-                js = ck[0]["schema_json"] if ck else None
-                newer = []
-                if m is not None:
-                    # Only manifest partitions at or after the checkpoint are read.
-                    newer = (m.where((F.col("part") >= v_c // self.MANIFEST_PART) & (F.col("version") > v_c))
-                             .select("version", "bucket", "present", "kind", "schema_json").collect())
-                self._state = self._apply(state, v_c, js, newer)
-        return self._state
-
-    def _state_at(self, version: int | None) -> tuple[int, dict, str | None]:
-        cur = self._load()
-        if version is None or version == cur[0]:
-            return cur
-        m = self._manifest()
-        return self._fold(m.where(F.col("version") <= version) if m is not None else None)
-
-    def current_version(self) -> int:
-        return self._load()[0]
-
-    def _schema_of(self, js: str):
-        import json
-        from pyspark.sql.types import StructType
-        return StructType.fromJson(json.loads(js))
-
-    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of a version (optionally only some buckets)."""
-        v, state, js = self._state_at(version)
-        if v == 0:
-            raise FileNotFoundError(f"no committed version under {self.root}")
-        schema = self._schema_of(js)
-        wanted = set(buckets) if buckets is not None else set(state)
-        plain, mixed = [], []
-        for b in sorted(wanted & set(state)):
-            info = state[b]
-            base = info["base"]
-            paths = [f"{self.root}/v={base[0]:06d}/bucket={b}"] if base is not None and base[1] else []
-            if info["deltas"]:
-                mixed += paths + [f"{self.root}/v={d:06d}/bucket={b}" for d in info["deltas"]]
-            else:
-                plain += paths
-        frames = []
-        if plain:
-            frames.append(self.spark.read.schema(schema).parquet(*plain))
-        if mixed:
-            from pyspark.sql.types import BooleanType, StructField, StructType
-            with_flag = StructType(list(schema.fields) + [StructField("_deleted", BooleanType())])
-            frames.append(self._resolve(self.spark.read.schema(with_flag).parquet(*mixed), schema))
-        if not frames:
-            return self.spark.createDataFrame([], schema)
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def _resolve(self, rows: DataFrame, schema) -> DataFrame:
-        """Newest row per key over a base and its deltas (the version comes from
-        the file path); ``created_at`` is the first creation after the last delete.
-
-        A key has at most ``max_deltas + 1`` rows here (compaction bounds the
-        deltas per bucket), so the per-key list is bounded.
-        """
-        key = self.key
-        cols = [f.name for f in schema.fields]
-        ver = F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("long")
-        r = rows.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col("_deleted"), F.lit(False)).alias("_deleted"),
-                        ver.alias("_v"))
-        others = [c for c in cols if c != key]
-        agg = r.groupBy(key).agg(
-            F.max_by(F.struct(*[F.col(f"`{c}`") for c in others], F.col("_deleted")), F.col("_v")).alias("_r"),
-            F.collect_list(F.struct("_v", "_deleted", "created_at")).alias("_h"))
-        last_del = F.array_max(F.transform(F.filter("_h", lambda x: x["_deleted"]), lambda x: x["_v"]))
-        created = F.array_min(F.transform(
-            F.filter("_h", lambda x: ~x["_deleted"] & (last_del.isNull() | (x["_v"] > last_del))),
-            lambda x: x["created_at"]))
-        out = agg.where(~F.col("_r._deleted"))
-        sel = []
-        for c in cols:
-            if c == key:
-                sel.append(F.col(key))
-            elif c == "created_at":
-                sel.append(created.alias("created_at"))
-            else:
-                sel.append(F.col(f"_r.`{c}`").alias(c))
-        return out.select(*sel)
-
-    def _write(self, df: DataFrame, touched: list[int] | None, note: str, kind: str = "base",
-               schema_json: str | None = None) -> int:
-        v = self.current_version() + 1
-        path = f"{self.root}/v={v:06d}"
-        data = df.withColumn("_bucket", bucket_of(self.key, self.buckets))
-        n = max(1, min(len(touched), self.buckets)) if touched else self.buckets
-        # One task per bucket: each bucket folder gets one file, not one per shuffle partition.
-        # A folder of this version that no manifest row names is what a failed commit left: overwrite it.
-        (data.repartition(n, "_bucket").withColumnRenamed("_bucket", "bucket")
-         .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        written = set(self._written_buckets(path))
-        touched = sorted(set(touched) if touched is not None else written)
-        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        schema_json = schema_json or df.schema.json()
-        rows = [(v, int(b), int(b) in written, kind, note, now, schema_json) for b in touched]
-        if not rows:
-            return self.current_version()
-        (self.spark.createDataFrame(rows, self.MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(f"{self.manifest_path}/part={v // self.MANIFEST_PART}"))
-        top, state, js = self._load()
-        self._state = self._apply(state, top, js, [
-            {"version": v, "bucket": b, "present": p, "kind": kind, "schema_json": schema_json}
-            for (_, b, p, _, _, _, _) in rows])
-        if self.checkpoint_every and v % self.checkpoint_every == 0:
-            self._write_checkpoint()
-        return v
-
-    def _written_buckets(self, path: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("bucket="):
-                out.append(int(name.split("=", 1)[1]))
-        return out
-
-    def commit(self, df: DataFrame, note: str = "") -> int:
-        """Write a whole new version (every bucket, as bases)."""
-        return self._write(df, list(range(self.buckets)), note)
-
-    def _touched(self, keys: DataFrame) -> list[int]:
-        """Buckets a batch touches: at most ``buckets`` small integers."""
-        return [r[0] for r in keys.select(bucket_of(self.key, self.buckets).alias("b")).distinct().collect()]
-
-    def _delta(self, rows: DataFrame, note: str) -> int:
-        """Write rows (with ``_deleted``) as a delta of the buckets they fall in."""
-        js = self._load()[2] or rows.drop("_deleted").schema.json()
-        v = self._write(rows, None, note, kind="delta", schema_json=js)
-        self._maybe_compact()
-        return v
-
-    def _tombstones(self, keys: DataFrame) -> DataFrame:
-        schema = self._schema_of(self._load()[2])
-        return keys.select(*[F.col(self.key) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name)
-                             for f in schema.fields], F.lit(True).alias("_deleted"))
-
-    def _maybe_compact(self) -> None:
-        heavy = [b for b, i in self._load()[1].items() if len(i["deltas"]) >= self.max_deltas]
-        if heavy:
-            self.compact(heavy)
-
-    def compact(self, buckets: list[int] | None = None) -> int:
-        """Fold deltas into new bases (only buckets that have deltas)."""
-        state = self._load()[1]
-        todo = [b for b in (buckets if buckets is not None else state) if state.get(b, {}).get("deltas")]
-        if not todo:
-            return self.current_version()
-        return self._write(self.read(None, todo), todo, "compact")
-
-    def merge(self, source: DataFrame, now, key: str | None = None, order: list[str] | None = None) -> int:
-        """Upsert a batch (copy-on-write: rewrite touched buckets; merge-on-read: write the batch)."""
-        key = key or self.key
-        cur = self.current_version()
-        src = dedupe_batch(source, key, order)
-        if cur == 0:
-            return self.commit(with_audit_columns(src, now), "initial")
-        if self.mode == "merge_on_read":
-            lacking = {f.name for f in self._schema_of(self._load()[2]).fields} - set(src.columns) - {"created_at", "updated_at", "_deleted"}
-            if lacking:
-                raise ValueError(f"a delta carries every column of the table; the batch lacks {sorted(lacking)}")
-            return self._delta(with_audit_columns(src, now).withColumn("_deleted", F.lit(False)), "upsert")
-        src = src.persist()
-        try:
-            touched = self._touched(src)
-            merged = upsert(self.read(cur, touched), src, now, key)
-            return self._write(merged, touched, "upsert")
-        finally:
-            src.unpersist()
-
-    def insert_new(self, source: DataFrame, now, key: str | None = None) -> int:
-        """Add only keys not present yet, touching only their buckets."""
-        key = key or self.key
-        src = dedupe_batch(source, key).persist()
-        try:
-            touched = self._touched(src)
-            if self.mode == "merge_on_read":
-                new = src.join(self.read(None, touched).select(key), key, "left_anti")
-                return self._delta(with_audit_columns(new, now).withColumn("_deleted", F.lit(False)), "insert_only")
-            return self._write(insert_only(self.read(None, touched), src, now, key), touched, "insert_only")
-        finally:
-            src.unpersist()
-
-    def delete(self, keys: DataFrame, key: str | None = None) -> int:
-        """Remove keys (copy-on-write: rewrite their buckets; merge-on-read: tombstones)."""
-        key = key or self.key
-        ks = keys.select(key).distinct().persist()
-        try:
-            if self.mode == "merge_on_read":
-                return self._delta(self._tombstones(ks), "delete")
-            touched = self._touched(ks)
-            return self._write(delete_by_id(self.read(None, touched), ks, key), touched, "delete")
-        finally:
-            ks.unpersist()
-
-
-def changed_buckets(table: VersionedTable, v_old: int, v_new: int) -> list[int]:
-    """Buckets written by any version in ``(v_old, v_new]`` (manifest metadata)."""
-    m = table._manifest()
-    if m is None:
-        return []
-    rows = m.where((F.col("version") > v_old) & (F.col("version") <= v_new)).select("bucket").distinct().collect()
-    return sorted(int(r[0]) for r in rows)
-
-
-def table_changes(table: VersionedTable, v_old: int, v_new: int, at, actor: str = "system",
-                  include_noop: bool = False) -> DataFrame:
-    """U07 between two versions of a bucketed table, reading only the buckets
-    that changed in between: the cost follows the change, not the table."""
-    buckets = changed_buckets(table, v_old, v_new)
-    old = table.read(v_old, buckets).drop("created_at", "updated_at")
-    new = table.read(v_new, buckets).drop("created_at", "updated_at")
-    return audit_feed(old, new, at, table.key, actor=actor, include_noop=include_noop)

@@ -9,6 +9,7 @@ from ..functions import derived as D
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ledger as L
+from ..operators import epochs as EP
 from ..operators import merge as U
 from ..operators import rows as RW
 from ..operators import search as R
@@ -300,13 +301,13 @@ WHERE title ILIKE '%high%' GROUP BY batch_id""")(
                               "SELECT batch_id, count(*) AS n FROM jobs WHERE title ILIKE :kw GROUP BY batch_id",
                               {"kw": "%high%"}))
 
-# ---------------------------------------------------------------- U07 on a bucketed table
+# ---------------------------------------------------------------- U07 on a table of epochs
 
 def _table_changes(s, d):
-    table = U.VersionedTable(s, work_path(s, "table", "audited"), buckets=16)
-    v1 = table.merge(V(s, d, "postings"), T0)
-    v2 = table.merge(V(s, d, "postings_v2"), T1)
-    return U.table_changes(table, v1, v2, T1)
+    table = work_path(s, "table", "audited")
+    EP.append(V(s, d, "postings"), table, 1, T0)
+    EP.append(V(s, d, "postings_v2"), table, 2, T1)
+    return EP.changes(s, table, 1, 2, T1)
 
 
 _NEW = ", ".join(f"CASE WHEN n.id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in B.POSTING_COLUMNS[1:])

@@ -35,17 +35,27 @@ POSTING = T.StructType([
     T.StructField("jobPostCategories", T.ArrayType(TITLE_EN)),
     T.StructField("jobBoard", NAME),
     T.StructField("company", NAME),
+    T.StructField("gender", T.StringType()),
+    T.StructField("companyFaName", T.StringType()),
+    T.StructField("provinceMatchCity", T.StringType()),
+    T.StructField("normalizeSalaryMin", T.DoubleType()),
+    T.StructField("normalizeSalaryMax", T.DoubleType()),
+    T.StructField("paymentMethod", T.StringType()),
+    T.StructField("district", T.StringType()),
+    T.StructField("companyTitleFa", T.StringType()),
+    T.StructField("jobBoardId", T.StringType()),
+    T.StructField("jobBoardTitleEn", T.StringType()),
     T.StructField("companyDetailsSummary", T.StructType([
         T.StructField("id", T.StringType()), T.StructField("url", T.StringType()),
         T.StructField("name", NAME), T.StructField("about", T.StructType([T.StructField("titleFa", T.StringType())]))])),
 ])
+#: A page; each posting stays the JSON text it came as, so no field of it is lost.
+TEXTS = T.ArrayType(T.StringType())
 ENVELOPE = T.StructType([
     T.StructField("page", T.LongType()),
     T.StructField("data", T.StructType([
-        T.StructField("jobPosts", T.ArrayType(POSTING)),
-        T.StructField("jobs", T.ArrayType(POSTING)),
-        T.StructField("hasNextPage", T.BooleanType())])),
-    T.StructField("jobs", T.ArrayType(POSTING)),
+        T.StructField("jobPosts", TEXTS), T.StructField("jobs", TEXTS), T.StructField("hasNextPage", T.BooleanType())])),
+    T.StructField("jobs", TEXTS),
 ])
 
 
@@ -116,15 +126,21 @@ def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
     return malformed(spark.read.schema(LANDED).json(path))
 
 
+#: Columns of an exploded page that are not fields of the posting.
+PAGE_COLUMNS = ("page", "position", "has_next", "record")
+
+
 def explode_envelopes(raw: DataFrame) -> DataFrame:
-    posts = postings_of_page()
-    return raw.select(F.col("page"), F.col("data.hasNextPage").alias("has_next"),
-                      F.posexplode(posts).alias("position", "p")).select("page", "position", "has_next", "p.*")
+    """One row per posting: its fields, and ``record``, the whole posting as it came."""
+    texts = raw.select(F.col("page"), F.col("data.hasNextPage").alias("has_next"),
+                       F.posexplode(postings_of_page()).alias("position", "record"))
+    return texts.withColumn("p", F.from_json("record", POSTING)).select("page", "position", "has_next", "record", "p.*")
 
 
-def flatten_posting(rec: DataFrame, batch_id: str | None = None, batch_date=None) -> DataFrame:
-    """Nested API record -> table columns (text columns stringified,
-    nested JSON kept as text, ``raw_data`` = the whole record)."""
+def flatten_posting(rec: DataFrame, batch_id: str | None = None, batch_date=None, keep=()) -> DataFrame:
+    """Nested API record -> the 30 table columns (text columns stringified,
+    nested JSON kept as text, ``raw_data`` = the whole record as it came, with
+    the fields that no column holds).  ``keep`` names columns of ``rec`` to add."""
     act = CL.parse_timestamp(F.col("activationTime.date"), CL.DB_TS_SHAPE)
     loc_ids = F.array_join(F.transform(F.filter(F.flatten(F.transform(
         F.col("locations"), lambda l: F.array(l["province"]["id"], l["city"]["id"]))), lambda x: x.isNotNull()),
@@ -133,12 +149,18 @@ def flatten_posting(rec: DataFrame, batch_id: str | None = None, batch_date=None
     tag_no = F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(
         F.col("tags"), lambda t: F.coalesce(F.try_element_at(codes, t), F.lit(0))))), ","), F.lit("")), F.lit("0"))
     opts = {"ignoreNullFields": "false"}
+    raw = F.col("record") if "record" in rec.columns else F.to_json(F.struct(
+        *[F.col(f"`{c}`") for c in rec.columns if c not in PAGE_COLUMNS]), opts)
     return rec.select(
         F.col("id").cast("string").alias("id"), F.col("title").cast("string").alias("title"),
         F.col("url").cast("string").alias("url"),
         F.to_json("locations", opts).alias("locations"), F.to_json("workTypes", opts).alias("work_types"),
-        F.col("salary"), F.to_json("tags", opts).alias("tags"), F.col("itemIndex").alias("item_index"),
+        F.col("salary"), F.col("gender"), F.to_json("tags", opts).alias("tags"), F.col("itemIndex").alias("item_index"),
         F.to_json("jobPostCategories", opts).alias("job_post_categories"),
+        F.col("companyFaName").alias("company_fa_name"), F.col("provinceMatchCity").alias("province_match_city"),
+        F.col("normalizeSalaryMin").alias("normalize_salary_min"), F.col("normalizeSalaryMax").alias("normalize_salary_max"),
+        F.col("paymentMethod").alias("payment_method"), F.col("district"), F.col("companyTitleFa").alias("company_title_fa"),
+        F.col("jobBoardId").alias("job_board_id"), F.col("jobBoardTitleEn").alias("job_board_title_en"),
         act.alias("activation_time"),
         F.col("companyDetailsSummary.id").alias("company_id"),
         F.col("companyDetailsSummary.name.titleFa").alias("company_name_fa"),
@@ -146,9 +168,8 @@ def flatten_posting(rec: DataFrame, batch_id: str | None = None, batch_date=None
         F.col("companyDetailsSummary.about.titleFa").alias("company_about"),
         F.col("companyDetailsSummary.url").alias("company_url"),
         F.coalesce(loc_ids, F.lit("")).alias("location_ids"), tag_no.alias("tag_number"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in rec.columns if c not in ("page", "position", "has_next")]),
-                  opts).alias("raw_data"),
-        F.lit(batch_id).cast("string").alias("batch_id"), F.lit(batch_date).cast("timestamp_ntz").alias("batch_date"))
+        raw.alias("raw_data"),
+        F.lit(batch_id).cast("string").alias("batch_id"), F.lit(batch_date).cast("timestamp_ntz").alias("batch_date"), *keep)
 
 
 def posting_from_api(rec: DataFrame) -> DataFrame:

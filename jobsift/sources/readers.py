@@ -42,12 +42,14 @@ def scan_json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             null_value: str | None = None) -> DataFrame:
+             null_value: str | None = None, multiline: bool = False) -> DataFrame:
     """Header row, UTF-8; typed by the given schema (inference only if none).
 
-    ``null_value`` names the NULL marker (our exports write ``\\N``).
+    ``null_value`` names the NULL marker (our exports write ``\\N``).  Files whose
+    quoted values hold line breaks need ``multiline``; a file is then one task.
     """
-    r = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
+    r = (spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+         .option("multiLine", multiline))
     if null_value is not None:
         r = r.option("nullValue", null_value)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
@@ -146,11 +148,12 @@ def read_legacy_table(spark: SparkSession, name: str, jdbc_url: str | None = Non
 
 def count_import_records(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Records in an upload: JSON array length, CSV lines minus header,
-    or occurrences of ``INSERT INTO`` in SQL text (counted per line, summed)."""
+    or occurrences of ``INSERT INTO`` in SQL text (counted per line, summed).
+    One pass: a schema of one column is given, none is inferred."""
     if fmt == "json":
-        return scan_json_array(spark, path).agg(F.count(F.lit(1)).alias("records"))
+        return scan_json_array(spark, path, "id string").agg(F.count(F.lit(1)).alias("records"))
     if fmt == "csv":
-        return scan_csv(spark, path).agg(F.count(F.lit(1)).alias("records"))
+        return scan_csv(spark, path, "id string").agg(F.count(F.lit(1)).alias("records"))
     if fmt == "sql":
         txt = spark.read.text(path)
         return txt.agg(F.coalesce(F.sum(F.regexp_count("value", F.lit("INSERT INTO"))), F.lit(0))

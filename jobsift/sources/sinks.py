@@ -15,80 +15,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import cleaning as CO
+from ..operators import epochs as EP
 from ..operators import merge as U
 from . import readers as RD
 
 JSON_OPTS = {"ignoreNullFields": "false"}
 
 
-ROWS_PER_FILE = 100_000
-
-
-def _n_files(df: DataFrame, files: int | None, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """File count for array exports: given, or one file per ``rows_per_file``
-    rows (a count is one scalar), so a file's array stays bounded."""
-    if files:
-        return int(files)
-    return max(1, -(-df.count() // rows_per_file))
-
-
-def write_json(df: DataFrame, path: str, array: bool = True, files: int | None = None,
-               compression: str | None = None) -> str:
+def write_json(df: DataFrame, path: str, array: bool = True, rows_per_file: int = 10_000,
+               compression: str | None = None, mode: str = "errorifexists") -> str:
     """UTF-8 JSON (non-ASCII kept), null keys kept.
 
-    ``array=True`` writes files that each hold one JSON array of records (the
-    export format); rows are spread round-robin over ``files`` files
-    (default: one per 100,000 rows), so each array is bounded.  ``array=False`` writes JSON lines.
+    ``array=False`` writes JSON lines.  ``array=True`` writes files that each hold
+    one JSON array of at most ``rows_per_file`` records (the export format): each
+    task cuts its own rows into arrays, so nothing is shuffled or counted and the
+    number of tasks and files follows the input.
     """
     if not array:
-        w = df.write.mode("errorifexists").options(**JSON_OPTS)
+        w = df.write.mode(mode).options(**JSON_OPTS)
         if compression:
             w = w.option("compression", compression)
         w.json(path)
         return path
-    n = _n_files(df, files)
     cols = [F.col(f"`{c}`") for c in df.columns]
     lines = df.select(F.to_json(F.struct(*cols), JSON_OPTS).alias("_j"))
-    # Round-robin (sorted first, so a retried task sees the same rows): files
-    # stay balanced however skewed any column is.
-    spread = lines.repartition(n)
-    w = spread.select("_j").mapInPandas(_array_writer(), "value string").write.mode("errorifexists")
+    w = (lines.mapInPandas(_array_writer(rows_per_file), "value string")
+         .write.mode(mode).option("maxRecordsPerFile", 1))
     if compression:
         w = w.option("compression", compression)
     w.text(path)
     return path
 
 
-def _array_writer():
-    """The per-partition function of the array export.
+def _array_writer(rows: int):
+    """The per-partition function of the array export: documents of ``rows`` records each.
 
     Built as a closure so it is shipped to Python workers by value: workers
-    need not have this package installed.  It joins one partition's JSON
-    records into a single array document, so each output file holds exactly
-    one array (about rows/files records).
+    need not have this package installed.
     """
-    def one_array_per_partition(batches):
+    def bounded_arrays(batches):
         import pandas as pd
 
-        parts: list[str] = []
+        held: list[str] = []
         for pdf in batches:
-            parts.extend(pdf["_j"].tolist())
-        if parts:
-            yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+            held.extend(pdf["_j"])
+            while len(held) >= rows:
+                yield pd.DataFrame({"value": ["[" + ",".join(held[:rows]) + "]"]})
+                del held[:rows]
+        if held:
+            yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
 
-    return one_array_per_partition
+    return bounded_arrays
 
 
 NULL_MARK = "\\N"
 
 
-def write_csv(df: DataFrame, path: str, compression: str | None = None, null_value: str = NULL_MARK) -> str:
+def write_csv(df: DataFrame, path: str, compression: str | None = None, null_value: str = NULL_MARK,
+              mode: str = "errorifexists") -> str:
     """Header, no index; nested columns serialised to JSON text first.
 
     NULL is written as ``\\N`` so that it stays distinct from the empty string.
     """
     flat = CO.flatten_nested(df, null_literal=False)
-    w = (flat.write.mode("errorifexists").option("header", True).option("escape", '"')
+    w = (flat.write.mode(mode).option("header", True).option("escape", '"')
          .option("nullValue", null_value))
     if compression:
         w = w.option("compression", compression)
@@ -97,9 +87,9 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None, null_val
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                  compression: str = "zstd") -> str:
+                  compression: str = "zstd", mode: str = "errorifexists") -> str:
     """K03 (+ K05 for parquet: compression inside the file)."""
-    w = df.write.mode("errorifexists").option("compression", compression)
+    w = df.write.mode(mode).option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -144,18 +134,18 @@ def batch_name(batch_no: int, ts: _dt.datetime) -> str:
     return f"batch_{batch_no:04d}_{ts.strftime('%Y%m%d_%H%M%S')}"
 
 
-def write_batch_triple(df: DataFrame, root: str, batch_no: int, ts: _dt.datetime) -> dict:
-    """Raw JSON first; only if that succeeds, flattened parquet and CSV.
+def write_batch_triple(df: DataFrame, root: str, batch_no: int, ts: _dt.datetime, mode: str = "errorifexists") -> dict:
+    """Raw JSON first; only if that succeeds, flattened parquet and CSV.  ``mode="overwrite"`` suits a batch that may be replayed.
 
     The batch is persisted (memory and disk) so the three writers read it once.
     """
     name = batch_name(batch_no, ts)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        paths = {"raw": write_json(cached, f"{root}/raw_data/{name}.json", array=False)}
+        paths = {"raw": write_json(cached, f"{root}/raw_data/{name}.json", array=False, mode=mode)}
         flat = CO.flatten_nested(cached, null_literal=False)
-        paths["parquet"] = write_parquet(flat, f"{root}/processed_data/{name}.parquet")
-        paths["csv"] = write_csv(flat, f"{root}/processed_data/{name}.csv")
+        paths["parquet"] = write_parquet(flat, f"{root}/processed_data/{name}.parquet", mode=mode)
+        paths["csv"] = write_csv(flat, f"{root}/processed_data/{name}.csv", mode=mode)
     finally:
         cached.unpersist()
     return {"name": name, **paths}
@@ -213,15 +203,14 @@ def snapshot(df: DataFrame, root: str, ts: _dt.datetime, include_files: bool = F
     return path
 
 
-def restore_snapshot(spark: SparkSession, path: str, table: U.VersionedTable, now, key: str = "id") -> int:
-    """Metadata required, then upsert every row into the table; returns the new version."""
+def restore_snapshot(spark: SparkSession, path: str, table: str, now, key: str = "id") -> int:
+    """Metadata required, then upsert every row into the table of epochs
+    under ``table``; returns the new epoch."""
     meta = spark.read.schema("backup_date timestamp_ntz, backup_type string, db_included boolean, "
                              "files_included boolean").json(f"{path}/metadata")
     if meta.limit(1).count() == 0:
         raise FileNotFoundError(f"snapshot {path} has no metadata")
-    data = spark.read.parquet(f"{path}/data")
-    data = data.drop("created_at", "updated_at")
-    return table.merge(data, now, key)
+    return EP.append(spark.read.parquet(f"{path}/data"), table, EP.next_epoch(spark, table), now, key)
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
@@ -283,35 +272,37 @@ def export_search(hits: DataFrame, path: str, fmt: str = "csv") -> str:
     return write_json(hits, path, array=True)
 
 
-def import_postings(spark: SparkSession, path: str, table: U.VersionedTable, now, fmt: str | None = None,
-                    update_existing: bool = True, schema=None) -> DataFrame:
-    """Scan -> validate -> upsert (or insert only); returns total /
-    inserted / updated / errors (and status ``empty`` for an empty input)."""
-    raw = RD.scan_auto(spark, path, fmt=fmt, schema=schema)
-    valid = CO.validate_import(raw).persist()
-    cur = table.current_version()
-    if cur == 0:
-        counts = valid.select("id").distinct().agg(F.count(F.lit(1)).alias("inserted")).withColumn(
-            "updated", F.lit(0).cast("long"))
-    else:
-        # Only the buckets the upload touches can hold its keys.
-        counts = U.upsert_counts(table.read(cur, table._touched(valid)), valid)
-        if not update_existing:
-            counts = counts.withColumn("updated", F.lit(0).cast("long"))
-    stats = raw.agg(F.count(F.lit(1)).alias("total"),
-                    F.count_if(F.col("id").isNull() | (F.col("id").cast("string") == "")).alias("errors"))
-    # Both frames are single-row aggregates: read the two rows of counts.
-    s_row, c_row = stats.first(), counts.first()
-    total, errors = int(s_row["total"]), int(s_row["errors"])
-    inserted, updated = int(c_row["inserted"] or 0), int(c_row["updated"] or 0)
-    status = "empty" if total == 0 else "success"
-    if total:
-        if update_existing or cur == 0:
-            table.merge(valid, now)
+def import_postings(spark: SparkSession, path: str, table: str, now, fmt: str | None = None,
+                    update_existing: bool = True, schema=None, files_root: str | None = None) -> DataFrame:
+    """Scan -> validate -> upsert (or insert only) into the table of epochs
+    under ``table``; returns total / inserted / updated / errors (and status
+    ``empty`` for an empty input).  With ``files_root`` the accepted rows are
+    also kept as JSON, parquet and CSV (K06).
+
+    The upload is read once: it is persisted, and counted, validated and stored
+    from there.  Of rows with one id the last in the upload is stored.
+    """
+    scanned = RD.scan_auto(spark, path, fmt=fmt, schema=schema)
+    raw = scanned.withColumn("_arrival", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        has_id = F.col("id").isNotNull() & (F.col("id").cast("string") != "")
+        stats = raw.agg(F.count(F.lit(1)).alias("total"), F.count_if(~has_id).alias("errors")).first()
+        valid = CO.validate_import(raw)
+        held = EP.finished(spark, table)
+        if held:
+            counts = U.upsert_counts(EP.read(spark, table).select("id").distinct(), valid).first()
+            inserted, updated = counts["inserted"], counts["updated"] if update_existing else 0
         else:
-            table.insert_new(valid, now)
-    valid.unpersist()
-    return spark.createDataFrame([(status, total, inserted, updated, errors)],
+            inserted, updated = valid.select("id").distinct().count(), 0
+        if stats["total"]:
+            epoch = EP.next_epoch(spark, table)
+            (EP.append if update_existing else EP.insert_new)(valid, table, epoch, now, order=["_arrival"])
+            if files_root:
+                write_batch_triple(valid.drop("_arrival"), files_root, epoch, now if isinstance(now, _dt.datetime) else _dt.datetime.fromisoformat(now))
+    finally:
+        raw.unpersist()
+    return spark.createDataFrame([("success" if stats["total"] else "empty", int(stats["total"]), int(inserted or 0),
+                                   int(updated or 0), int(stats["errors"]))],
                                  "status string, total long, inserted long, updated long, errors long")
 
 

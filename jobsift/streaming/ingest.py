@@ -2,24 +2,29 @@
 
 Landed API response files are the stream: ``readStream`` over a folder with a
 declared schema (never inference), one posting per row after the envelope is
-exploded.  Each micro-batch is cleaned, de-duplicated, merged into the
-versioned table and recorded in the batch ledger inside ``foreachBatch``.
-The checkpoint replaces the reference's queue and resume-state file; a
-replayed epoch is harmless because the merge is idempotent and its clock is
-taken from the data, not from the wall.
+exploded.  Inside ``foreachBatch`` each micro-batch is cleaned and de-duplicated
+and stored as one epoch: of the table, of the batch files, of the set-apart
+pages and rows, and of the ledger.  The checkpoint replaces the reference's
+queue and resume-state file; a replayed epoch writes its own folders again, so
+it adds nothing twice.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import time
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as CO
-from ..operators import merge as U
+from ..operators import epochs as EP
 from ..sources import api as API
+from ..sources import sinks as K
 
-TABLE_COLUMNS = ("id", "title", "company_name_en", "company_name_fa", "company_id", "activation_time", "url",
-                 "locations", "work_types", "tags", "job_post_categories", "salary", "raw_data", "batch_id")
+LEDGER = ("batch_id long, event_seq long, event_time timestamp_ntz, status string, row_count long, "
+          "processing_time double, error_message string, malformed_pages long, invalid_rows long")
 
 
 def stream_pages(spark: SparkSession, landing: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -29,62 +34,80 @@ def stream_pages(spark: SparkSession, landing: str, max_files_per_trigger: int =
     return API.explode_envelopes(raw)
 
 
-def to_table_rows(records: DataFrame, batch_id) -> DataFrame:
-    """API records -> the posting table columns (C01 projection)."""
-    flat = API.flatten_posting(records, batch_id=str(batch_id))
-    return flat.select(
-        "id", "title", "company_name_en", "company_name_fa", "company_id", "activation_time", "url",
-        "locations", "work_types", "tags", "job_post_categories", "salary", "raw_data",
-        F.lit(str(batch_id)).alias("batch_id"))
+def clean_batch(landed: DataFrame, batch_id: str) -> DataFrame:
+    """Landed pages -> cleaned table rows with ``reject_reason`` / ``is_valid`` and the arrival order ``_page``, ``_position``.
+
+    The salary bounds that the API gives win over those read from the salary text.
+    """
+    bounds = {f"normalize_salary_{side}": f"_api_{side}" for side in ("min", "max")}
+    records = API.explode_envelopes(landed).withColumnsRenamed({"page": "_page", "position": "_position"})
+    flat = API.flatten_posting(records, batch_id, keep=("_page", "_position")).drop("batch_date").withColumnsRenamed(bounds)
+    cleaned = CO.clean_postings(flat)
+    return cleaned.withColumns({c: F.coalesce(api, c) for c, api in bounds.items()}).drop(*bounds.values())
+
 
+def ingest_batch(table: str, ledger_path: str, quarantine_path: str | None = None, files_root: str | None = None,
+                 first_epoch: int = 0):
+    """The ``foreachBatch`` body.
+
+    The ledger gets ``processing``, then ``completed`` with the counts or
+    ``failed`` with the error, which is raised again: the stream stops, and a
+    restart replays the epoch.  Malformed pages and postings that fail the
+    cleaning rules go to ``quarantine_path`` whole; with ``files_root`` the
+    stored rows are also kept as batch files (K06).  The last arrival of an id
+    in the batch is stored (D9).
+    """
+    quarantine = quarantine_path or ledger_path + "_quarantine"
 
-def ingest_batch(table: U.VersionedTable, ledger_path: str, quarantine_path: str | None = None):
-    """The ``foreachBatch`` body: set malformed pages apart, validate, dedupe (D9),
-    upsert, record the batch with the number of malformed pages."""
     def run(landed: DataFrame, epoch_id: int) -> None:
-        spark = landed.sparkSession
-        bad_path = f"{quarantine_path or ledger_path + '_quarantine'}/epoch={int(epoch_id)}"
-        API.malformed(landed).write.mode("overwrite").parquet(bad_path)
-        n_bad = spark.read.schema("page long, record string").parquet(bad_path).count()
-        batch = API.explode_envelopes(landed)
-        last = U.dedupe_batch(batch, "id", ["page", "position"])  # D9: the last arrival of an id
-        rows = to_table_rows(last, f"epoch-{epoch_id}")
-        valid = CO.validate_required(rows, ["id", "title"], nonblank=True).persist()
+        spark, epoch, began = landed.sparkSession, first_epoch + int(epoch_id), time.monotonic()
+
+        def event(seq: int, status: str, rows=None, error=None, bad=None, invalid=None) -> None:
+            row = (epoch, seq, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), status, rows,
+                   time.monotonic() - began if seq else None, error, bad, invalid)
+            # a folder for each event of an epoch: a replay overwrites its own
+            spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}/event={seq}")
+
+        event(0, "processing")
+        cleaned = clean_batch(landed, f"epoch-{epoch}").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            # The merge clock comes from the batch itself, so a replay writes the same rows.
-            stats = valid.agg(F.max("activation_time").alias("now"), F.count(F.lit(1)).alias("n")).first()
-            n = int(stats["n"])
-            if n:
-                table.merge(valid, stats["now"] if stats["now"] is not None else "1970-01-01 00:00:00", "id")
+            API.malformed(landed).write.mode("overwrite").parquet(f"{quarantine}/pages/epoch={epoch}")
+            cleaned.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{quarantine}/rows/epoch={epoch}")
+            valid = cleaned.where("is_valid").drop("is_valid", "reject_reason")
+            EP.append(valid, table, epoch, order=["_page", "_position"])
+            stored = spark.read.parquet(f"{table}/epoch={epoch}")
+            if files_root:
+                K.write_batch_triple(stored, f"{files_root}/epoch={epoch}", epoch, _dt.datetime.fromtimestamp(0), mode="overwrite")
+            bad, invalid = (spark.read.schema("page long").parquet(f"{quarantine}/{kind}/epoch={epoch}").count() for kind in ("pages", "rows"))
+            event(1, "completed", stored.count(), None, bad, invalid)
+        except Exception as error:
+            event(1, "failed", error=str(error))
+            raise
         finally:
-            valid.unpersist()
-        event = spark.createDataFrame([(int(epoch_id), "completed", n, n_bad)],
-                                      "batch_id long, status string, row_count long, malformed_pages long")
-        # a folder for each epoch: a replayed epoch overwrites its own row
-        event.write.mode("overwrite").parquet(f"{ledger_path}/epoch={int(epoch_id)}")
+            cleaned.unpersist()
     return run
 
 
-def stream_ingest(spark: SparkSession, landing: str, table: U.VersionedTable, checkpoint: str, ledger_path: str,
-                  max_files_per_trigger: int = 1, compact: bool = True):
-    """Landed pages -> micro-batches -> upsert + ledger; ``availableNow``
-    processes everything landed so far and stops (T03: a restart with the
-    same checkpoint only sees files that arrived since).
-
-    With a merge-on-read table each micro-batch writes only its rows; when the
-    run ends, ``compact`` folds the deltas into bases so later reads are plain
-    scans (a continuous stream relies on the table's ``max_deltas`` bound)."""
+def stream_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, ledger_path: str,
+                  max_files_per_trigger: int = 1, **batch):
+    """Landed pages -> micro-batches -> epochs of the table + ledger;
+    ``availableNow`` processes everything landed so far and stops (T03: a restart
+    with the same checkpoint only sees files that arrived since).  ``batch`` goes
+    to ``ingest_batch``.  Fold the epochs with ``epochs.rewrite`` when they get many."""
     landed = spark.readStream.schema(API.LANDED).option("maxFilesPerTrigger", max_files_per_trigger).json(landing)
     q = (landed.writeStream
-         .foreachBatch(ingest_batch(table, ledger_path))
+         .foreachBatch(ingest_batch(table, ledger_path, **batch))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if compact and table.mode == "merge_on_read" and table.current_version():
-        table.compact()
     return q
 
 
+def ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """The ledger events of all epochs; ``ledger.ledger_state`` folds them per batch."""
+    return spark.read.schema(LEDGER).parquet(ledger_path).select(*[c.split()[0] for c in LEDGER.split(", ")])
+
+
 def stream_dedupe(events: DataFrame, key: str = "id", time: str = "ts", delay: str = "7 days") -> DataFrame:
     """Drop ids seen earlier; the watermark bounds the state (it replaces
     the reference's 10,000-id cache).  ``time`` must be TIMESTAMP (not NTZ)."""

@@ -1,9 +1,10 @@
 """Merge and audit properties: a repeated batch is a no-op, counts add up,
-rows outside the batch are untouched; versioned commits are readable."""
+rows outside the batch are untouched; tables of epochs stay whole."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from jobsift.operators import epochs as EP
 from jobsift.operators import merge as U
 from jobsift.operators import rows as RW
 from jobsift.plans import binding as B
@@ -35,15 +36,6 @@ def test_audit_feed_counts(spark):
     assert by["UPDATE"] == p.where(F.col("id").cast("long") % 10 == 1).count()
 
 
-def test_versioned_table_commits(spark):
-    table = U.VersionedTable(spark, work_path(spark, "test", "table"))
-    p = B.postings(spark, SF_SMALL)
-    assert table.merge(p, "2024-01-01 00:00:00") == 1
-    assert table.merge(B.view(spark, SF_SMALL, "postings_v2"), "2024-01-02 00:00:00") == 2
-    assert table.read(1).count() == p.count()
-    assert table.read().count() == p.count() + p.where(F.col("id").cast("long") % 10 == 0).count()
-
-
 def test_dedupe_is_two_phase_aggregate(spark):
     arr = B.view(spark, SF_SMALL, "arrivals")
     plan = RW.dedupe_first(arr)._jdf.queryExecution().executedPlan().toString()
@@ -60,56 +52,12 @@ def test_prefix_agg_matches_global_window(spark):
     assert bad.count() == 0
 
 
-def test_merge_rewrites_only_touched_buckets(spark):
-    import os
-    from jobsift.session import local_path
-    root = work_path(spark, "test", "bucketed")
-    table = U.VersionedTable(spark, root, buckets=16)
-    p = B.postings(spark, SF_SMALL)
-    table.merge(p, "2024-01-01 00:00:00")
-    one = p.where(F.col("id") == "42").withColumn("title", F.lit("changed"))
-    v = table.merge(one, "2024-01-02 00:00:00")
-    written = [d for d in os.listdir(local_path(f"{root}/v={v:06d}")) if d.startswith("bucket=")]
-    assert len(written) == 1
-    cur = table.read()
-    assert cur.count() == p.count()
-    assert cur.where("id = '42'").first()["title"] == "changed"
-    assert table.read(1).where("id = '42'").first()["title"] != "changed"
-
-
-def test_delete_empties_bucket_without_resurrection(spark):
-    table = U.VersionedTable(spark, work_path(spark, "test", "deletes"), buckets=4)
-    p = B.postings(spark, SF_SMALL)
-    table.merge(p, "2024-01-01 00:00:00")
-    table.delete(p.select("id"))
-    assert table.read().count() == 0
-    table.insert_new(p.limit(3), "2024-01-03 00:00:00")
-    assert table.read().count() == 3
-
-
-def test_table_changes_reads_only_changed_buckets(spark):
-    table = U.VersionedTable(spark, work_path(spark, "test", "changes"), buckets=32)
-    p = B.postings(spark, SF_SMALL)
-    v1 = table.merge(p, "2024-01-01 00:00:00")
-    few = p.where(F.col("id").isin("3", "5", "8")).withColumn("title", F.lit("retitled"))
-    v2 = table.merge(few, "2024-01-02 00:00:00")
-    v3 = table.delete(p.where(F.col("id") == "13").select("id"))
-    assert len(U.changed_buckets(table, v1, v3)) <= 4
-    feed = U.table_changes(table, v1, v3, "2024-01-03 00:00:00")
-    full = U.audit_feed(table.read(v1).drop("created_at", "updated_at"),
-                        table.read(v3).drop("created_at", "updated_at"), "2024-01-03 00:00:00")
-    assert feed.exceptAll(full).count() == 0 and full.exceptAll(feed).count() == 0
-    by = {r["action"]: r["count"] for r in feed.groupBy("action").count().collect()}
-    assert by == {"UPDATE": 3, "DELETE": 1}
-    assert v2 == v1 + 1
-
-
 def test_list_exports(spark):
     from jobsift.sources import sinks as K
     root = work_path(spark, "test", "exports")
     p = B.postings(spark, SF_SMALL)
     K.write_csv(p, f"{root}/jobs.csv")
-    K.write_json(p, f"{root}/jobs.json", array=True, files=2)
+    K.write_json(p, f"{root}/jobs.json", array=True)
     K.write_sql_inserts(p.withColumn("company", F.col("company_name_en")), f"{root}/jobs.sql")
     got = {r["name"]: (r["format"], r["size"] > 0) for r in K.list_exports(spark, root).collect()}
     assert got == {"jobs.csv": ("csv", True), "jobs.json": ("json", True), "jobs.sql": ("sql", True)}
@@ -119,46 +67,6 @@ def _same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_merge_on_read_equals_copy_on_write(spark):
-    p = B.postings(spark, SF_SMALL)
-    v2 = B.view(spark, SF_SMALL, "postings_v2")
-    cow = U.VersionedTable(spark, work_path(spark, "test", "cow"), buckets=8)
-    mor = U.VersionedTable(spark, work_path(spark, "test", "mor"), buckets=8, mode="merge_on_read", max_deltas=3)
-    steps = [
-        lambda t: t.merge(p, "2024-01-01 00:00:00"),
-        lambda t: t.merge(v2, "2024-01-02 00:00:00"),
-        lambda t: t.delete(p.where(F.col("batch_id") == "b3").select("id")),
-        lambda t: t.insert_new(p.where(F.col("batch_id").isin("b3", "b4")), "2024-01-03 00:00:00"),
-        lambda t: t.merge(p.where(F.col("batch_id") == "b5").withColumn("title", F.lit("x")), "2024-01-04 00:00:00"),
-    ]
-    for step in steps:
-        step(cow)
-        step(mor)
-        assert _same(cow.read(), mor.read())
-    # older versions stay readable and equal
-    assert _same(cow.read(2), mor.read(2))
-    # deleted then re-inserted ids take the new creation time
-    b3 = mor.read().where(F.col("batch_id") == "b3").select("created_at").distinct().collect()
-    assert [r[0].isoformat() for r in b3] == ["2024-01-03T00:00:00"]
-
-
-def test_merge_on_read_compacts_and_writes_only_the_batch(spark):
-    import os
-    from jobsift.session import local_path
-    root = work_path(spark, "test", "mor2")
-    t = U.VersionedTable(spark, root, buckets=4, mode="merge_on_read", max_deltas=2)
-    p = B.postings(spark, SF_SMALL)
-    t.merge(p, "2024-01-01 00:00:00")
-    v = t.merge(p.where(F.col("id") == "42").withColumn("title", F.lit("one")), "2024-01-02 00:00:00")
-    files = [f for d, _, fs in os.walk(local_path(f"{root}/v={v:06d}")) for f in fs if f.endswith(".parquet")]
-    assert len(files) == 1
-    t.merge(p.where(F.col("id") == "42").withColumn("title", F.lit("two")), "2024-01-03 00:00:00")
-    state = t._load()[1]
-    assert all(len(i["deltas"]) < 2 for i in state.values())   # compacted at the bound
-    assert t.read().where("id = '42'").first()["title"] == "two"
-    assert t.read().count() == p.count()
-
-
 def test_exact_quantiles_split_a_hot_group(spark):
     from jobsift.operators.quantiles import exact_quantiles
     rows = [("hot", 5.0)] * 3000 + [("hot", float(i)) for i in range(1000)] + [("cold", float(i)) for i in range(10)]
@@ -175,48 +83,86 @@ def test_exact_quantiles_split_a_hot_group(spark):
         assert abs(got[("cold", p)] - q([float(i) for i in range(10)], p)) < 1e-9
 
 
-def test_manifest_checkpoint_reload(spark):
-    root = work_path(spark, "test", "ckpt-table")
-    p = B.postings(spark, SF_SMALL)
-    t = U.VersionedTable(spark, root, buckets=4, mode="merge_on_read", max_deltas=3, checkpoint_every=2)
-    t.merge(p, "2024-01-01 00:00:00")
-    for i in range(5):
-        t.merge(p.where(F.col("batch_id") == f"b{i}").withColumn("title", F.lit(f"t{i}")), f"2024-01-0{i + 2} 00:00:00")
-    t.delete(p.where(F.col("batch_id") == "b9").select("id"))
-    fresh = U.VersionedTable(spark, root, buckets=4, mode="merge_on_read", max_deltas=3, checkpoint_every=2)
-    assert fresh.current_version() == t.current_version()
-    assert fresh._load()[1] == t._load()[1]
-    assert _same(fresh.read(), t.read())
-    assert _same(fresh.read(3), t.read(3))
-    assert t._list_dirs(t._ckpt_path)
-
-
-def test_commit_after_a_failed_one(spark):
-    """A folder that a dead job left under the next version, and a checkpoint it did not finish, stop nothing."""
+def test_upsert_keeps_what_the_batch_lacks(spark):
+    target = U.with_audit_columns(spark.createDataFrame([("a", "t", "u"), ("b", "t", "u")], "id string, title string, url string"), "2024-01-01 00:00:00")
+    batch = spark.createDataFrame([("a", "Z first", 1), ("a", "A last", 2), ("c", "new", 1)], "id string, title string, arrival int")
+    rows = {r["id"]: r for r in U.upsert(target, batch, "2024-01-02 00:00:00", order=["arrival"]).collect()}
+    assert (rows["a"]["title"], rows["a"]["url"], rows["b"]["url"], rows["b"]["arrival"], rows["c"]["url"]) == ("A last", "u", "u", None, None)
+
+
+def test_epochs_equal_upserts(spark):
+    """Epochs, an insert-only one among them, against the frame-level merges; a rewrite changes no row and deletes."""
+    p, v2 = B.postings(spark, SF_SMALL), B.view(spark, SF_SMALL, "postings_v2")
+    root = work_path(spark, "test", "epochs")
+    with pytest.raises(FileNotFoundError):
+        EP.latest(spark, root)
+    days = [f"2024-01-0{i} 00:00:00" for i in range(1, 5)]
+    b5 = p.where(F.col("batch_id") == "b5").withColumn("title", F.lit("x"))
+    EP.append(p.where(F.col("batch_id") != "b3"), root, EP.next_epoch(spark, root), days[0])
+    EP.insert_new(p, root, EP.next_epoch(spark, root), days[1])
+    EP.append(v2, root, EP.next_epoch(spark, root), days[2])
+    EP.append(b5, root, EP.next_epoch(spark, root), days[3])
+    want = U.with_audit_columns(p.where(F.col("batch_id") != "b3"), days[0])
+    want = U.upsert(U.upsert(U.insert_only(want, p, days[1]), v2, days[2]), b5, days[3])
+    assert _same(EP.latest(spark, root), want)
+    assert EP.latest(spark, root, upto=2).count() == p.count()
+    gone = p.where(F.col("batch_id") == "b5").select("id")
+    fresh = EP.rewrite(spark, root, work_path(spark, "test", "fresh"), without=gone)
+    assert EP.finished(spark, fresh) == [4] and _same(EP.latest(spark, fresh), U.delete_by_id(want, gone))
+
+
+def test_epoch_of_a_dead_job_is_not_read(spark):
     import os
     from jobsift.session import local_path
-    root = work_path(spark, "test", "leftover")
+    root = work_path(spark, "test", "dead")
     p = B.postings(spark, SF_SMALL)
-    U.VersionedTable(spark, root, buckets=4).merge(p, "2024-01-01 00:00:00")
-    p.limit(5).write.parquet(f"{root}/v=000002/bucket=0")
-    os.makedirs(local_path(f"{root}/_manifest_ckpt/v=000001"))
-    table = U.VersionedTable(spark, root, buckets=4)
-    assert table.current_version() == 1 and table.read().count() == p.count()
+    EP.append(p, root, 1, "2024-01-01 00:00:00")
     changed = p.where(F.col("id") == "42").withColumn("title", F.lit("changed"))
-    assert table.merge(changed, "2024-01-02 00:00:00") == 2
-    assert table.read().count() == p.count() and table.read().where("id = '42'").first()["title"] == "changed"
+    EP.append(changed.withColumn("id", F.lit("dead")), root, 2, "2024-01-02 00:00:00")
+    os.remove(local_path(f"{root}/epoch=2/_SUCCESS"))
+    assert EP.latest(spark, root).count() == p.count() and EP.next_epoch(spark, root) == 2
+    for _ in range(2):  # the retry, and a replay of it
+        EP.append(changed, root, 2, "2024-01-02 00:00:00")
+    table = EP.latest(spark, root)
+    assert table.count() == p.count() and table.where("id = '42'").first()["title"] == "changed"
 
 
-def test_a_delta_carries_every_column(spark):
-    table = U.VersionedTable(spark, work_path(spark, "test", "delta"), buckets=4, mode="merge_on_read")
+def test_an_epoch_carries_every_column(spark):
+    root = work_path(spark, "test", "columns")
     p = B.postings(spark, SF_SMALL)
-    table.merge(p, "2024-01-01 00:00:00")
+    EP.append(p, root, 1, "2024-01-01 00:00:00")
     with pytest.raises(ValueError):
-        table.merge(p.select("id", "title"), "2024-01-02 00:00:00")
+        EP.append(p.select("id", "title"), root, 2, "2024-01-02 00:00:00")
+    EP.append(p.limit(3).withColumn("shift", F.lit("night")), root, 2, "2024-01-02 00:00:00")
+    assert {r["shift"]: r["count"] for r in EP.latest(spark, root).groupBy("shift").count().collect()} == {None: p.count() - 3, "night": 3}
 
 
-def test_upsert_keeps_what_the_batch_lacks(spark):
-    target = U.with_audit_columns(spark.createDataFrame([("a", "t", "u"), ("b", "t", "u")], "id string, title string, url string"), "2024-01-01 00:00:00")
-    batch = spark.createDataFrame([("a", "Z first", 1), ("a", "A last", 2), ("c", "new", 1)], "id string, title string, arrival int")
-    rows = {r["id"]: r for r in U.upsert(target, batch, "2024-01-02 00:00:00", order=["arrival"]).collect()}
-    assert (rows["a"]["title"], rows["a"]["url"], rows["b"]["url"], rows["b"]["arrival"], rows["c"]["url"]) == ("A last", "u", "u", None, None)
+def test_an_epoch_keeps_the_last_arrival(spark):
+    root = work_path(spark, "test", "arrivals")
+    batch = spark.createDataFrame([("a", "Z first", 1), ("a", "A last", 2)], "id string, title string, _arrival int")
+    EP.append(batch, root, 1, "2024-01-01 00:00:00", order=["_arrival"])
+    table = EP.latest(spark, root)
+    assert table.first()["title"] == "A last" and table.columns == ["id", "title", "created_at", "updated_at"]
+
+
+def test_changes_between_epochs(spark):
+    root = work_path(spark, "test", "changes")
+    p = B.postings(spark, SF_SMALL)
+    few = p.where(F.col("id").isin("3", "5", "8")).withColumn("title", F.lit("retitled"))
+    EP.append(p, root, 1, "2024-01-01 00:00:00")
+    EP.append(few, root, 2, "2024-01-02 00:00:00")
+    EP.append(few.withColumn("id", F.concat(F.lit("new"), "id")), root, 3, "2024-01-03 00:00:00")
+    feed = EP.changes(spark, root, 1, 3, "2024-01-03 00:00:00")
+    assert {r["action"]: r["count"] for r in feed.groupBy("action").count().collect()} == {"UPDATE": 3, "INSERT": 3}
+
+
+def test_array_exports_are_bounded(spark):
+    from jobsift.sources import readers as RD
+    from jobsift.sources import sinks as K
+    p = B.postings(spark, SF_SMALL)
+    path = K.write_json(p, work_path(spark, "test", "bounded.json"), rows_per_file=100)
+    sizes = [r["n"] for r in spark.read.text(path).select(F.json_array_length("value").alias("n")).collect()]
+    assert sum(sizes) == p.count() and max(sizes) <= 100
+    assert RD.count_import_records(spark, path, "json").first()[0] == p.count()
+    csv = K.write_csv(p, work_path(spark, "test", "all.csv"))
+    assert RD.count_import_records(spark, csv, "csv").first()[0] == p.count()

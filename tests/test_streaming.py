@@ -3,7 +3,8 @@
 
 from pyspark.sql import functions as F
 
-from jobsift.operators import merge as U
+from jobsift.operators import epochs as EP
+from jobsift.operators import ledger as L
 from jobsift.plans import binding as B
 from jobsift.session import work_path
 from jobsift.sources import api as API
@@ -48,32 +49,65 @@ def test_stream_pages_equals_batch_scan(spark):
     assert _rows(spark.read.parquet(out).select(*cols)) == _rows(API.scan_page_envelopes(spark, landing).select(*cols))
 
 
+def _valid(spark):
+    """The fixture's postings that pass the cleaning rules: those with a list of locations."""
+    return B.postings(spark, SF_SMALL).where(F.json_array_length("locations") > 0).count()
+
+
 def test_restart_adds_nothing(spark):
-    from jobsift.operators import merge as U
     landing = work_path(spark, "test", "landing")
     API.page_envelopes(API.api_records(B.postings(spark, SF_SMALL)), page_size=500).write.json(landing)
-    table = U.VersionedTable(spark, work_path(spark, "test", "jobs"), buckets=8)
-    ckpt, ledger = work_path(spark, "test", "ckpt"), work_path(spark, "test", "ledger")
+    table, ckpt, ledger = (work_path(spark, "test", n) for n in ("jobs", "ckpt", "ledger"))
     I.stream_ingest(spark, landing, table, ckpt, ledger, max_files_per_trigger=1)
-    v1 = table.current_version()
+    found = EP.finished(spark, table)
     I.stream_ingest(spark, landing, table, ckpt, ledger, max_files_per_trigger=1)
-    assert table.current_version() == v1
-    assert table.read().count() == B.postings(spark, SF_SMALL).count()
-    assert spark.read.parquet(ledger).agg(F.sum("row_count")).first()[0] == B.postings(spark, SF_SMALL).count()
+    assert EP.finished(spark, table) == found
+    assert EP.latest(spark, table).count() == _valid(spark)
+    assert I.ledger(spark, ledger).agg(F.sum("row_count")).first()[0] == _valid(spark)
 
 
-def test_replay_and_malformed_pages(spark):
-    """A replayed epoch adds nothing, to the table or the ledger; broken pages are kept and counted."""
+def _landed(spark):
     landing = work_path(spark, "test", "landing")
     API.page_envelopes(API.api_records(B.postings(spark, SF_SMALL)), page_size=50).coalesce(2).write.json(landing)
     spark.createDataFrame([('{"page": 7, "data": {"jobPo',), ('{"page": 8}',)], "value string").coalesce(1).write.mode("append").text(landing)
-    table = U.VersionedTable(spark, work_path(spark, "test", "table"), buckets=4, mode="merge_on_read")
-    ledger = work_path(spark, "test", "ledger")
-    body, landed = I.ingest_batch(table, ledger), spark.read.schema(API.LANDED).json(landing)
+    return spark.read.schema(API.LANDED).json(landing)
+
+
+def test_replay_and_malformed_pages(spark):
+    """A replayed epoch adds nothing, to the table, the files or the ledger; broken pages and rejected rows are kept and counted."""
+    landed, n, ok = _landed(spark), B.postings(spark, SF_SMALL).count(), _valid(spark)
+    table, ledger, files = (work_path(spark, "test", n) for n in ("table", "ledger", "files"))
+    body = I.ingest_batch(table, ledger, files_root=files)
+    body(landed, 0)
     body(landed, 0)
+    assert EP.latest(spark, table).count() == ok
+    state = L.ledger_state(I.ledger(spark, ledger), cols=(*L.LEDGER_COLUMNS, "malformed_pages", "invalid_rows")).collect()
+    assert [(r["status"], r["row_count"], r["malformed_pages"], r["invalid_rows"]) for r in state] == [("completed", ok, 2, n - ok)]
+    assert state[0]["start_time"] <= state[0]["end_time"] and state[0]["processing_time"] > 0
+    assert spark.read.parquet(ledger + "_quarantine/pages").count() == 2
+    assert spark.read.parquet(ledger + "_quarantine/rows").where("reject_reason IS NOT NULL").count() == n - ok
+    assert spark.read.json(f"{files}/epoch=0/raw_data/*").count() == ok
+
+
+def test_failed_epoch_is_recorded_and_can_be_replayed(spark, monkeypatch):
+    import pytest
+    landed, table, ledger = _landed(spark), work_path(spark, "test", "table"), work_path(spark, "test", "ledger")
+    body = I.ingest_batch(table, ledger)
+    with monkeypatch.context() as m:
+        m.setattr(EP, "append", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            body(landed, 0)
+    state = L.ledger_state(I.ledger(spark, ledger)).first()
+    assert state["status"] == "failed" and "division" in state["error_message"]
     body(landed, 0)
-    n = B.postings(spark, SF_SMALL).count()
-    assert table.read().count() == n
-    event = spark.read.parquet(ledger).collect()
-    assert [(r["row_count"], r["malformed_pages"]) for r in event] == [(n, 2)]
-    assert spark.read.parquet(ledger + "_quarantine").count() == 2
+    assert [r["status"] for r in L.ledger_state(I.ledger(spark, ledger)).collect()] == ["completed"]
+    assert EP.latest(spark, table).count() == _valid(spark)
+
+
+def test_unlisted_fields_survive(spark):
+    landing = work_path(spark, "test", "unlisted")
+    line = '{"page": 1, "data": {"jobPosts": [{"id": 5, "title": "t", "gender": "any", "extra": {"a": [1, 2.50]}}, 7]}}'
+    spark.createDataFrame([(line,)], "value string").write.text(landing)
+    rows = API.flatten_posting(API.scan_page_envelopes(spark, landing), "b").orderBy("raw_data").collect()
+    assert [(r["id"], r["gender"]) for r in rows] == [(None, None), ("5", "any")]
+    assert '"extra":{"a":[1,2.50]}' in rows[1]["raw_data"].replace(" ", "")
