@@ -44,24 +44,21 @@ WHERE json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0"""
 
 
 def _land_later(s, d, path):
-    """A second landing: each changed posting once with a title soon outdated and,
-    pages later, as it is in postings_v2; and two lines that are no pages."""
+    """A second landing: postings_v2 on later pages, and two lines that are no pages."""
     v2 = API.page_envelopes(API.api_records(B.view(s, d, "postings_v2")), page_size=1000)
-    stale = API.page_envelopes(API.api_records(B.view(s, d, "postings_v2").withColumn("title", F.lit("outdated"))), page_size=1000)
-    pages = stale.unionByName(v2.withColumn("page", F.col("page") + F.lit(1 << 40)))
-    pages.write.mode("append").json(path)
+    v2.withColumn("page", F.col("page") + F.lit(1 << 40)).write.mode("append").json(path)
     (s.range(2).select(F.format_string('{"page": %d, "data": {"jobPosts": [', "id").alias("value"))
      .write.mode("append").text(path))
 
 
-def _ingest(s, d):
-    """Two landings, a run after each from the same checkpoint; a run with nothing new between them."""
+def _ingest(s, d, runs: int):
+    """One run over both landings (each changed posting arrives twice in a batch), or a run after each from the same checkpoint."""
     landing = _land(s, d, page_size=1000)
     table, ledger, ckpt = work_path(s, "table", "jobs"), work_path(s, "ledger"), work_path(s, "ckpt", "ingest")
-    for _ in range(2):
-        I.stream_ingest(s, landing, table, ckpt, ledger, max_files_per_trigger=3)
+    if runs == 2:
+        I.stream_ingest(s, landing, table, ckpt, ledger, max_files_per_trigger=1000)
     _land_later(s, d, landing)
-    I.stream_ingest(s, landing, table, ckpt, ledger, max_files_per_trigger=1 << 30)
+    I.stream_ingest(s, landing, table, ckpt, ledger, max_files_per_trigger=1000)
     return table, ledger
 
 
@@ -70,20 +67,18 @@ def _stored(s, table):
                                       "activation_time", "salary")
 
 
-def _folded(s, d):
-    table, _ = _ingest(s, d)
-    return _stored(s, EP.rewrite(s, table, work_path(s, "table", "folded")))
-
-
-register("stream_ingest", _TABLE_SQL)(lambda s, d: _stored(s, _ingest(s, d)[0]))
-register("resume_state", _TABLE_SQL)(_folded)
-register("stream_ledger", with_views("postings", "postings_v2") + """, n AS (
-  SELECT count(*) AS n, count(*) FILTER (WHERE json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0) AS ok
-  FROM postings)
-SELECT 'completed' AS status, CAST(2 * ok AS BIGINT) AS row_count, CAST(2 AS BIGINT) AS malformed_pages,
-  CAST(3 * (n - ok) AS BIGINT) AS invalid_rows FROM n""")(
-    lambda s, d: L.ledger_state(I.ledger(s, _ingest(s, d)[1]), cols=(*L.LEDGER_COLUMNS, "malformed_pages", "invalid_rows"))
-    .groupBy("status").agg(*[F.sum(c).alias(c) for c in ("row_count", "malformed_pages", "invalid_rows")]))
+register("stream_ingest", _TABLE_SQL)(lambda s, d: _stored(s, _ingest(s, d, 1)[0]))
+register("resume_state", _TABLE_SQL)(
+    lambda s, d: _stored(s, EP.rewrite(s, _ingest(s, d, 2)[0], work_path(s, "table", "folded"))))
+register("stream_ledger", with_views("postings") + """SELECT CAST(0 AS BIGINT) AS batch_id, 'completed' AS status,
+  CAST(count(*) FILTER (WHERE json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0) AS BIGINT) AS row_count,
+  CAST(0 AS BIGINT) AS malformed_pages,
+  CAST(count(*) FILTER (WHERE NOT coalesce(json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0, false)) AS BIGINT)
+    AS invalid_rows FROM postings UNION ALL
+SELECT 1, 'completed', (SELECT count(*) FROM postings WHERE json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0), 2,
+  (SELECT count(*) FROM postings WHERE NOT coalesce(json_type(locations) = 'ARRAY' AND json_array_length(locations) > 0, false))""")(
+    lambda s, d: L.ledger_state(I.ledger(s, _ingest(s, d, 2)[1]), cols=("status", "row_count", "malformed_pages", "invalid_rows"))
+    .select("batch_id", "status", "row_count", "malformed_pages", "invalid_rows"))
 
 
 def _dedupe(s, d):
