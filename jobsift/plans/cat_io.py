@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derived as D
 from ..operators import epochs as EP
+from ..operators import filters as FL
 from ..operators import merge as U
 from ..operators import search as R
 from ..session import work_path
@@ -266,6 +267,24 @@ register("export_search", with_views("postings_text") + """SELECT id, title, com
 WHERE (title ILIKE '%high%' OR description ILIKE '%high%') AND locations ILIKE '%europe%'""")(_export_search)
 
 
+def _export_json(s, d):
+    hits = P(s, d).where(FL.title_keyword("high"))
+    path = K.export_search(hits, work_path(s, "export", "search.json"), "json")
+    back = RD.scan_json_array(s, path, "id string, locations string, tags string, salary struct<min: long, max: long>")
+    text = RD.scan_json_array(s, path, "id string, salary string").select("id", "salary")
+    return back.select("id", F.json_array_length("locations").alias("n_locations"), F.json_array_length("tags").alias("n_tags"),
+                       F.col("salary.min").alias("salary_min")).join(
+        text.select("id", F.when(~F.col("salary").startswith("{"), F.col("salary")).alias("salary_text")), "id")
+
+
+register("export_search_json", W + """SELECT id,
+  CASE WHEN json_type(locations) = 'ARRAY' THEN CAST(json_array_length(locations) AS INTEGER) END AS n_locations,
+  CASE WHEN json_type(tags) = 'ARRAY' THEN CAST(json_array_length(tags) AS INTEGER) END AS n_tags,
+  CASE WHEN json_valid(salary) THEN CAST(json_extract(salary, '$.min') AS BIGINT) END AS salary_min,
+  CASE WHEN NOT json_valid(salary) THEN salary END AS salary_text
+FROM postings WHERE title ILIKE '%high%'""")(_export_json)
+
+
 def _import(s, d, update_existing=True):
     """The counts of the import and the table after it."""
     table = work_path(s, "table", "jobs")

@@ -183,6 +183,8 @@ register("company_like_any", _filtered("company_name_en ILIKE '%fa customer#0000
     lambda s, d: _sel(P(s, d).where(FL.company_like("fa customer#0000001", both=True))))
 register("location_text", _filtered("locations ILIKE '%algeria%'"))(
     lambda s, d: _sel(P(s, d).where(FL.location_text("algeria"))))
+register("location_text_found", _filtered("locations ILIKE '%asia%'"))(
+    lambda s, d: _sel(P(s, d).where(FL.location_text("asia"))))
 register("category_like", _filtered("category ILIKE '%build%'"))(
     lambda s, d: _sel(PD(s, d).where(FL.category_like("build"))))
 register("flag_filters", _filtered("tag_remote = 1"))(
@@ -240,6 +242,8 @@ FROM (SELECT count(*) AS total FROM postings WHERE title ILIKE '%urgent%') t""")
     lambda s, d: R.page_info(R.search(P(s, d).withColumn("description", F.lit(None).cast("string")),
                                       keyword="urgent", page=3, limit=25)[1], 3, 25))
 register("limit_rows", W + "SELECT id FROM postings")(lambda s, d: R.limit_rows(P(s, d).select("id"), 0))
+register("limit_rows_some", W + "SELECT id, title FROM postings ORDER BY CAST(id AS BIGINT) LIMIT 25")(
+    lambda s, d: R.limit_rows(P(s, d).select("id", "title").orderBy(F.col("id").cast("long")), 25))
 register("parsed_json_columns", W + """SELECT id,
   json_valid(locations) AS locations_ok, json_valid(work_types) AS work_types_ok, json_valid(tags) AS tags_ok,
   json_valid(job_post_categories) AS job_post_categories_ok, json_valid(salary) AS salary_ok,

@@ -230,6 +230,16 @@ FROM postings o""")(
     lambda s, d: U.replace_or_patch(_target(s, d), V(s, d, "postings_v2").where(F.col("title").like("%(updated)%"))
                                     .select("id", "title", F.lit(None).cast("string").alias("url")), T1, mode="put"))
 
+# complete rows replace, those without a URL (every second) are ignored
+_PUT = "id, title, CASE WHEN CAST(id AS BIGINT) % 20 = 1 THEN 'https://new.example/' || id END AS url"
+register("replace_put_complete", _W2 + f""", ch AS (SELECT {_PUT} FROM postings_v2 WHERE title LIKE '%(updated)%')
+SELECT o.id, CASE WHEN ch.url IS NOT NULL THEN ch.title ELSE o.title END AS title, coalesce(ch.url, o.url) AS url,
+  o.salary, TIMESTAMP '{T0}' AS created_at, CASE WHEN ch.url IS NOT NULL THEN TIMESTAMP '{T1}' ELSE TIMESTAMP '{T0}' END AS updated_at
+FROM postings o LEFT JOIN ch ON ch.id = o.id""")(
+    lambda s, d: U.replace_or_patch(_target(s, d), V(s, d, "postings_v2").where(F.col("title").like("%(updated)%"))
+                                    .selectExpr("id", "title", _PUT.split(", ", 2)[2]), T1, mode="put")
+    .select("id", "title", "url", "salary", "created_at", "updated_at"))
+
 
 def _j(alias):
     inner = ", ".join(f"'{c}', CAST({alias}.{c} AS VARCHAR)" for c in B.POSTING_COLUMNS)

@@ -8,6 +8,8 @@ driver except counts and listing metadata.
 from __future__ import annotations
 
 import datetime as _dt
+import re
+import unicodedata
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from ..operators import cleaning as CO
 from ..operators import epochs as EP
 from ..operators import merge as U
+from ..operators.search import JSON_COLUMNS
 from . import readers as RD
 
 JSON_OPTS = {"ignoreNullFields": "false"}
@@ -265,11 +268,26 @@ def list_exports(spark: SparkSession, root: str) -> DataFrame:
     return per.select("name", "size", "created", fmt.alias("format")).orderBy(F.desc("created"), "name")
 
 
+def export_name(ts: _dt.datetime, keyword: str | None = None, location: str | None = None, company: str | None = None,
+                days: int | None = None) -> str:
+    """The name of an export, without its suffix, from the active filters;
+    what no file name should hold is left out."""
+    active = {"keyword": keyword, "loc": location, "company": company, "days": days}
+    name = "_".join(["jobs_export", *[f"{label}-{value}" for label, value in active.items() if value]])
+    ascii_only = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    return re.sub(r"[^\w.-]", "", re.sub(r"[\s/\\]+", "_", ascii_only)).strip("._") + ts.strftime("_%Y%m%d_%H%M%S")
+
+
 def export_search(hits: DataFrame, path: str, fmt: str = "csv") -> str:
-    """The whole search result (no paging) as CSV or JSON."""
+    """The whole search result (no paging) as CSV or JSON.
+
+    In JSON the five columns that hold JSON text become JSON values; text that
+    does not parse stays text.
+    """
     if fmt == "csv":
         return write_csv(hits, path)
-    return write_json(hits, path, array=True)
+    return write_json(hits.withColumns({c: F.coalesce(F.try_parse_json(c), F.col(c).cast("variant"))
+                                        for c in JSON_COLUMNS if c in hits.columns}), path)
 
 
 def import_postings(spark: SparkSession, path: str, table: str, now, fmt: str | None = None,

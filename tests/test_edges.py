@@ -109,3 +109,11 @@ def test_unparseable_activation_becomes_as_of(spark):
     df = spark.createDataFrame(rows, "id string, title string, url string, locations string, activation_time string")
     got = {r["id"]: r["activation_time"] for r in CO.validate_posting(df, as_of="2024-02-01 00:00:00").collect()}
     assert got == {"1": dt.datetime(2024, 1, 2, 3, 4, 5), "2": dt.datetime(2024, 2, 1), "3": None}
+
+
+def test_export_name():
+    import datetime as dt
+    from jobsift.sources.sinks import export_name
+    ts = dt.datetime(2024, 2, 1, 3, 4, 5)
+    assert export_name(ts) == "jobs_export_20240201_030405"
+    assert export_name(ts, keyword="data eng/ml?", company="Café", days=7) == "jobs_export_keyword-data_eng_ml_company-Cafe_days-7_20240201_030405"
