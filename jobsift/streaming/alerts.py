@@ -25,8 +25,15 @@ def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 
 
 def _windows(df: DataFrame, time: str, length: str, slide: str | None = None) -> DataFrame:
+    """Events per window.  A sliding window over a static frame counts each slide
+    once and adds those counts up, so no event is copied into the windows it falls
+    in; a stream counts the events themselves (its ``complete`` mode takes one aggregate)."""
+    n = F.count(F.lit(1))
+    if slide and not df.isStreaming:
+        df = df.groupBy(F.window(time, slide).start.alias("_slot")).agg(n.alias("_n"))
+        time, n = "_slot", F.sum("_n")
     w = F.window(time, length, slide) if slide else F.window(time, length)
-    return (df.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("errors"))
+    return (df.groupBy(w.alias("w")).agg(n.alias("errors"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "errors"))
 
