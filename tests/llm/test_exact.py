@@ -225,3 +225,10 @@ def test_pipeline_stages(spark, texts):
         before = set(rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == before
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, docs_of):
+    text = "a first line of it\nand one more line that says a little else\nthe end of the text"
+    rows = [(i, text) for i in range(20, 35)] + [(1, "another text of some words")]
+    docs = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs_of(rows), SF), SF)
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["text"]) == [(1, rows[-1][1]), (20, text)]
