@@ -21,7 +21,8 @@ between components that it has not joined yet.
 Defined results: null and empty texts, and texts without words, have the empty
 set and are linked with nothing; a text with fewer words than a shingle is one
 shingle; rows that share a doc_id are one document (linked if any of their
-texts is); a null doc_id is never linked and is kept; an empty table gives no
+texts is), of which a row goes only if links of its own text reach a lesser
+doc_id; a null doc_id is never linked and is kept; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.llm.catalog import register
-from jobsift.llm.common import by_value, documents, stored, whole_text
+from jobsift.llm.common import by_value, documents, on_key, stored, text_key, whole_text
 from jobsift.llm.word_ids import worker_memory
 
 SHINGLE = 5
@@ -49,8 +50,8 @@ LEAST_EQUAL = 0.6
 STEP_ELEMENTS = 2_000_000
 MAX_WORDS = 500_000
 
-SETS = "doc_id long, elements array<long>"
-CLASSES = "doc_id long, digest binary, n_shingles long, sketch array<tinyint>, bands array<long>"
+SETS = "node long, elements array<long>"
+CLASSES = "_op_id long, _op_h1 long, _op_h2 long, digest binary, n_shingles long, sketch array<tinyint>, bands array<long>"
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -119,44 +120,50 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), pa.array(flat, kind))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The row key and the whole text."""
+    return docs.select(*text_key(F.col("doc_id").cast("long"), whole_text()), whole_text().alias("text"))
+
+
 def classes_of(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the set (null: empty), n_shingles, sketch (8 bits of each coordinate) and band keys."""
+    """The row key, digest of the set (null: empty), n_shingles, sketch (8 bits of each coordinate) and band keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        def made(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def made(row_keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
             drawn = sketches(full) if full else np.empty((0, SKETCH), np.uint64)
             at = np.cumsum([bool(len(s)) for s in sets]) - 1
             short = (mix(drawn) >> np.uint64(56)).astype(np.uint8).view(np.int8)
             keys = band_keys(drawn).view(np.int64)
             index = pa.array(np.maximum(at, 0), mask=np.array([not len(s) for s in sets], bool))
+            ids, h1, h2 = zip(*row_keys, strict=True)
             return pa.record_batch({
-                "doc_id": pa.array(ids, pa.int64()),
+                "_op_id": pa.array(ids, pa.int64()), "_op_h1": pa.array(h1, pa.int64()), "_op_h2": pa.array(h2, pa.int64()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "sketch": _lists(short, pa.int8()).take(index), "bands": _lists(keys, pa.int64()).take(index)})
 
-        ids: list = []
+        row_keys: list = []
         sets: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(doc_id)
+            for *row_key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                row_keys.append(row_key)
                 sets.append(shingle_set(text, n))
                 held += len(sets[-1])
-                if held >= STEP_ELEMENTS or len(ids) >= 4000:
-                    yield made(ids, sets)
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield made(ids, sets)
+                if held >= STEP_ELEMENTS or len(row_keys) >= 4000:
+                    yield made(row_keys, sets)
+                    row_keys, sets, held = [], [], 0
+        if row_keys:
+            yield made(row_keys, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(rows, CLASSES)
+    return keyed(docs).mapInArrow(rows, CLASSES)
 
 
-def sets_of(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id and the full set of each row."""
+def sets_of(wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """The full set of each row (node, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,10 +171,10 @@ def sets_of(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 part = batch.slice(start, 500)
                 sets = [shingle_set(x, n) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.record_batch({"doc_id": part.column(0), "elements": pa.ListArray.from_arrays(
+                yield pa.record_batch({"node": part.column(0), "elements": pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(rows, SETS)
+    return wanted.select("node", "text").mapInArrow(rows, SETS)
 
 
 def joined_components(nodes: DataFrame, links: DataFrame, spark: SparkSession) -> DataFrame:
@@ -240,19 +247,26 @@ def equal_share(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / float(SKETCH)
 
 
-def components(classes: DataFrame, docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(node, comp) for the nodes that share a bucket: a node is the least doc_id of a class of equal sets."""
+def numbered(classes: DataFrame) -> DataFrame:
+    """A node for each class of equal sets: its number, and a row with the class's least doc_id.
+
+    A doc_id that is the least of several classes has several nodes.
+    """
+    reps = classes.where("digest is not null and _op_id is not null").groupBy("digest").agg(F.min("_op_id").alias("_op_id"))
+    nodes = classes.join(reps, ["digest", "_op_id"]).dropDuplicates(["digest", "_op_id"])
+    return stored(classes.sparkSession, nodes.select(F.monotonically_increasing_id().alias("node"), *classes.columns), "nodes")
+
+
+def components(nodes: DataFrame, docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(node, comp) for the nodes that share a bucket."""
     spark = docs.sparkSession
-    reps = classes.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stored(spark, classes.join(reps, ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select(
-        F.col("doc_id").alias("node"), "n_shingles", "sketch", "bands"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     members = stored(spark, keys.join(shared, "key").select("key", "node"), "members")
     own = members.select("node").distinct()
-    facts = stored(spark, nodes.join(own, "node"), "facts")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(own.withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = stored(spark, sets_of(wanted, n).withColumnRenamed("doc_id", "node"), "sets")
+    facts = stored(spark, nodes.select("node", "n_shingles", "sketch", "bands").join(own, "node"), "facts")
+    places = nodes.select("node", "_op_id", "_op_h1", "_op_h2").join(own, "node")
+    sets = stored(spark, sets_of(keyed(docs).join(places, ["_op_id", "_op_h1", "_op_h2"]), n), "sets")
     comps = stored(spark, own.select("node", F.col("node").alias("comp")), "components")
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
     pairs = (members.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -277,23 +291,46 @@ def components(classes: DataFrame, docs: DataFrame, n: int = SHINGLE, percent: i
     return join_links(spark, comps, links)
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach) and kept (doc_id = component_id), a row per input row."""
+def decided(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The row key, n_shingles, component_id and kept, a row per input row."""
     spark = docs.sparkSession
     classes = stored(spark, classes_of(docs, n), "classes")
-    comps = components(classes, docs, n, percent)
-    # a class's node is its least doc_id; rows that share a doc_id share its node
-    reps = classes.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    of_class = reps.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    rows = classes.select("doc_id", "digest", "n_shingles").join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    nodes = numbered(classes)
+    comps = components(nodes, docs, n, percent)
+    # what the links of a text reach goes by its least doc_id
+    at = nodes.select("node", "_op_id")
+    least = comps.join(at, "node").groupBy("comp").agg(F.min("_op_id").alias("reached"))
+    reached = comps.join(least, "comp").select("node", "reached")
+    of_class = nodes.select("node", "digest", "_op_id").join(reached, "node", "left").select("digest", F.coalesce("reached", "_op_id").alias("reached"))
+    rows = classes.select("_op_id", "_op_h1", "_op_h2", "digest", "n_shingles").join(of_class, "digest", "left").drop("digest")
+    rows = stored(spark, rows.withColumn("reached", F.when(F.col("_op_id").isNotNull(), F.coalesce("reached", "_op_id"))), "rows")
+    # texts of one doc_id that reach different documents link these
+    several = rows.where("_op_id is not null").groupBy("_op_id").agg(F.min("reached").alias("a"), F.max("reached").alias("b")).where("a <> b")
+    links = stored(spark, rows.join(several.select("_op_id", "a"), "_op_id").where("reached <> a").select("a", F.col("reached").alias("b")).distinct(), "shared")
+    component = F.col("reached")
+    if not links.isEmpty():
+        ends = links.select(F.col("a").alias("comp")).union(links.select("b")).distinct()
+        joined = joined_components(ends.select(F.col("comp").alias("node"), "comp"), links, spark)
+        rows = rows.join(joined.withColumnRenamed("node", "reached"), "reached", "left")
+        component = F.coalesce("comp", "reached")
+    return rows.select("_op_id", "_op_h1", "_op_h2", "n_shingles", component.alias("component_id"),
+                       F.coalesce(F.col("reached") == F.col("_op_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach) and kept, a row per input row.
+
+    A row is kept if links of its own text reach no lesser doc_id: where no
+    rows share a doc_id, if doc_id = component_id.
+    """
+    return decided(docs, n, percent).select(F.col("_op_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The input's rows whose document is kept: one document of each group of near-duplicates."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("_op_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_op_id"), "left_anti")
+    """The input's rows that are kept: one document of each group of near-duplicates."""
+    gone = decided(docs, n, percent).where("not kept").select("_op_id", "_op_h1", "_op_h2").distinct()
+    rows = docs.select("*", *text_key(F.col("doc_id").cast("long"), whole_text()))
+    return rows.alias("d").join(gone.alias("g"), on_key("d", "g"), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 @register("op4_near_dedup")

@@ -144,6 +144,21 @@ def test_blocks_of_one_bucket(spark, docs_of, monkeypatch):
     test_a_hot_group_of_chained_copies(spark, docs_of)
 
 
+def test_different_texts_under_one_id(spark, docs_of):
+    """Components join the documents; a row goes only if its own text is alike with one of a lesser id."""
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(size)) for size in (40, 90, 400, 60, 75, 200)]
+    near = [f"{b} end" for b in base]
+    rows = [(5, base[0]), (5, base[1]), (3, near[1]), (7, base[2]), (7, base[3]), (8, near[3]), (9, near[2]), (12, base[4]), (12, ""), (4, base[5]), (4, base[5]), (11, base[4])]
+    rng.shuffle(rows)
+    got = {(r["_op_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in o4.decided(docs_of(rows), 2).collect()}
+    size = [len(shingles(b, 2)) for b in base]
+    assert got == {(5, size[0]): (3, True), (5, size[1]): (3, False), (3, size[1] + 1): (3, True), (7, size[2]): (7, True), (7, size[3]): (7, True),
+                   (8, size[3] + 1): (7, False), (9, size[2] + 1): (7, False), (12, size[4]): (11, False), (12, 0): (11, True), (4, size[5]): (4, True), (11, size[4]): (11, True)}
+    left = sorted((r["doc_id"], r["text"]) for r in o4.one_of_each(docs_of(rows), 2).collect())
+    assert left == sorted([(3, near[1]), (5, base[0]), (7, base[2]), (7, base[3]), (12, ""), (4, base[5]), (4, base[5]), (11, base[4])])
+
+
 def test_sketch_estimates_concentrate():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)
