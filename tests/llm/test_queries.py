@@ -98,3 +98,10 @@ def test_licenses(spark, docs_of):
     rows = [(1, mit), (2, "text\n  released under the mit licence!\nmore"), (3, "Released under the MIT License, I think."), (4, "")]
     got = {r["doc_id"]: r for r in o9.scan_licenses(docs_of(rows)).collect()}
     assert got[1].license == "MIT" and got[2].license is None and got[2].notices == ["MIT"] and got[3].notices == [] and got[4].digest is None
+
+
+def test_further_known_texts(spark, docs_of):
+    full = "Some Public License\nVersion 9\n\nEveryone may copy this text.\nNo warranty."
+    rows = [(1, full.upper()), (2, "Released under the MIT License."), (3, "before\n" + full)]
+    got = {r["doc_id"]: r["license"] for r in o9.scan_licenses(docs_of(rows), [*o9.KNOWN_TEXTS, ("SPL-9", full)]).collect()}
+    assert got == {1: "SPL-9", 2: "MIT", 3: None}
