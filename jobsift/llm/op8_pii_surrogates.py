@@ -40,8 +40,14 @@ ADDRESS = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? +{_NAME}(?: {_NAME}){{
 _MALE_ADDRESS = rf"^(?:{'|'.join(MALE)})\.? "
 
 _KEYWORD = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key)"
-_OPENING = _KEYWORD + r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
-SECRET = rf"(?<![\p{{L}}\p{{N}}]){_OPENING}(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{{8,}}"
+_ASSIGNED = _KEYWORD + r"[\"']?[ \t]{0,3}[=:]"
+_OPENING = _ASSIGNED + r"[ \t]{0,3}[\"']?"
+#: Eight characters at least: a quoted value up to its closing quote, another one up to white space or the punctuation before it.
+_QUOTED = r"""(?:(?<=")(?:[^"\\\n]|\\[^\n]){8,}+(?=")|(?<=')(?:[^'\\\n]|\\[^\n]){8,}+(?='))"""
+_BARE = r"""[^\s"'=][^\s]{6,}[^\s.,;:!?)\]}>"']"""
+#: Without a digit, a call or an index is code, and one word after a colon and blank is prose.
+_NO_SECRET = r"""(?!\S*[0-9])(?:[\p{L}_$][\p{L}_$.]*+[(\[]|(?<=:[ \t]{1,3})\p{L}[\p{Ll}'’-]*+(?![\p{L}\p{N}@#$%^&*+=/_~|\\]|[.,;:!?]\S))"""
+SECRET = rf"(?<![\p{{L}}\p{{N}}]){_OPENING}(?:{_QUOTED}|(?!{_NO_SECRET}){_BARE})"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 PHONE = (r"(?<![\p{L}\p{N}.+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
@@ -54,7 +60,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 ENTITY = "|".join([SECRET, ACCESS_KEY, EMAIL, SSN, PHONE, IBAN, CARD, IP])
 #: Every entity has one of these; a cheap look before the pattern.
-GATE = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE)})\.? "
+GATE = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE)})\.? |{_ASSIGNED}"
 
 #: Syllables and endings that made-up names are put together from, by script.
 SYLLABLES = {

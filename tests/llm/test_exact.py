@@ -220,6 +220,21 @@ def test_pii(spark, docs_of):
     assert re.search(r"г-жа [А-Я][а-я]+ и κύριος [Α-Ω][α-ως]+", got[4]["text"])
 
 
+def test_whole_credentials(spark, docs_of):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKx-wRJ_SMeKK"
+    rows = [(1, "password=CorrectHorseBattery"), (2, "password: p@ssw0rd!2024, then"), (3, f"a token: {token}."), (4, 'secret = "abcd1234!restOfIt99" and'),
+            (5, """pwd: 'correct horse \\' battery' end"""), (6, '{"api_key": "AB12cd34EF56"}'), (7, "password: CorrectHorse"), (8, 'secret="abcd1234!open')]
+    rows += [(20, "the secret: patience, they say"), (21, "token = tokenizer.next()"), (22, "no password here: none"), (23, 'password = ""'), (24, "The secret: well-meaning people.")]
+    got = {r["doc_id"]: r for r in o8.replace_pii(docs_of(rows)).collect()}
+    around = {1: "password=(.+)", 2: "password: (.+), then", 3: r"a token: (.+)\.", 4: 'secret = "([^"]+)" and', 5: "pwd: '(.+)' end", 6: r'\{"api_key": "(\w+)"\}',
+              7: "password: (.+)", 8: 'secret="(.+)'}
+    for i, form in around.items():
+        old, new = re.fullmatch(form, dict(rows)[i])[1], re.fullmatch(form, got[i]["text"])[1]
+        assert [x["kind"] for x in got[i]["pii"]] == ["secret"] and len(new) == len(old), got[i]
+        assert not [p for p in re.findall(r"\w{4,}", old) if p in new], got[i]["text"]
+    assert all(got[i]["text"] == t and got[i]["pii"] == [] for i, t in rows if i >= 20)
+
+
 def test_surrogates_are_distinct(spark):
     entities = spark.createDataFrame([("email", f"{a}@{b}.de") for a in "abcdefgh" for b in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"10.0.{i}.1") for i in range(200)], "kind string, norm string")
     rows = o8.surrogates(entities).collect()
