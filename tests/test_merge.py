@@ -9,7 +9,7 @@ from jobsift.operators import merge as U
 from jobsift.operators import rows as RW
 from jobsift.plans import binding as B
 from jobsift.session import work_path
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 
 def test_upsert_idempotent_and_counts(spark):

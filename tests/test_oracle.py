@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from compare import compare, duck
-from conftest import SF_SMALL
+from compare import SF_SMALL, compare, duck
 from jobsift.plans import registry
 
 # the catalog of this library's own operators; the training-data operators have tests of their own

@@ -10,7 +10,7 @@ from jobsift.operators import rows as RW
 from jobsift.plans import binding as B
 from jobsift.session import work_path
 from jobsift.sources import readers as RD
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 
 def _plan(df):

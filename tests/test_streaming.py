@@ -10,7 +10,7 @@ from jobsift.session import work_path
 from jobsift.sources import api as API
 from jobsift.streaming import alerts as T
 from jobsift.streaming import ingest as I
-from conftest import SF_SMALL
+from compare import SF_SMALL
 
 
 def _rows(df):
