@@ -35,4 +35,7 @@ def load_all() -> None:
         op8_pii_surrogates,
         op9_license_digests,
         op10_bounded_packing,
+        op11_exact_dedup,
+        op12_filter_audit,
+        op13_collocations,
     )
