@@ -19,7 +19,7 @@ from odd import ODD
 
 catalog.load_all()
 SF_SMALL = "/root/testdata/sf0.001"
-NATIVE = ["op2_quality_rules", "op3_fingerprints", "op5_line_dedup", "op8_pii_surrogates", "op9_license_digests"]
+NATIVE = ["op2_quality_rules", "op3_fingerprints", "op5_line_dedup", "op8_pii_surrogates", "op9_license_digests", "op11_exact_dedup"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
