@@ -9,13 +9,15 @@ ordered by their first ``depth`` words only, which is all that phrases of so
 many words need.  A phrase is an interval of each; extending all phrases of a
 length by a word on either side is one pass over the intervals' symbols.
 
-First pass: each shard counts its words and, by left extension, its pairs; the
-sums over shards give the words and pairs found ``min_count`` times or more.
-Second pass: each shard gets those of its own pairs back, cuts its words where
-no such pair lies, and extends pairs to the right and then to the left, to three
-and four words; no phrase with fewer occurrences of a pair inside can reach
-``min_count``, so nothing is lost.  Scores, cuts and the drop rule are joins and
-aggregates over phrases, in exact decimals.
+First pass: each shard counts its words and, by left extension, its pairs, under
+64-bit hashes; the sums over shards tell which hashes are found ``min_count``
+times or more.  Phrases that share a hash only add to its sum, so none is lost.
+Second pass: each shard gets those of its own words and pairs back, cuts its
+words where no such pair lies, and extends pairs to the right and then to the
+left, to three and four words: a phrase cannot be found more often than a pair
+inside.  Now the phrases themselves and their counts are summed across shards,
+which decides.  Scores, cuts and the drop rule are joins and aggregates over
+phrases, in exact decimals.
 
 Defined results: a null text has no words, a null lang is ``und``; rows that
 repeat count again; a language without candidates has no rows, an empty table
@@ -27,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,17 +44,19 @@ TOP = 2000
 COVER_PERCENT = 80
 SCALE = 2_000_000
 #: Text of one language that a task gathers before it builds an index.
-SHARD_BYTES = 12_000_000
-#: Word numbers in one stored row.
-TOKENS_PER_ROW = 65_536
-ROWS_PER_BATCH = 50_000
+SHARD_BYTES = 4_000_000
+#: Rows of texts that are taken from a batch at a time.
+SLICE = 500
+ROWS_PER_BATCH = 100_000
 #: Characters between pieces, all mapped to the first; and those between words, to a blank.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_MARKS = bytes.maketrans(PIECE_ENDS + b"\t", b"." * len(PIECE_ENDS) + b" ")
 
-GRAMS = "shard long, lang string, phrase string, a int, b int, n long"
-FIRST = f"kind string, {GRAMS}, part int, tokens binary"
-FOUND = "lang string, phrase string, words int, n long"
+#: A shard: its language, its words (joined by blanks, the first is the mark between pieces) and its text as their numbers.
+SHARD = "shard long, lang string, n long, words binary, numbers binary"
+#: Counts under a hash; a, b are the shard's numbers of the words, b is 0 for a single word.
+COUNTS = pa.schema([("shard", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
+FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 
 class Direction:
@@ -120,50 +125,44 @@ class WordIndex:
         return owner, word, at, back, n
 
 
-def _numbered(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _numbered(data: bytes) -> tuple[np.ndarray, pa.Array]:
     """Word numbers from 1, 0 between pieces and at the end; and the words (the first is the mark)."""
-    numbers: dict[bytes, int] = {b".": 0}
-    found = [numbers.setdefault(w, len(numbers)) for w in data.replace(b".", b" . ").split()]
-    words = np.array([*found, 0], np.int32)
+    text = pa.array([b". " + data.replace(b".", b" . ").strip(b" ")], pa.large_binary()).cast(pa.large_string())
+    coded = pc.ascii_split_whitespace(text).values.dictionary_encode()
+    numbers = np.append(coded.indices.to_numpy(), 0).astype(np.int32)
     # of marks in a row one is enough
-    return words[np.concatenate([[True], (words[1:] > 0) | (words[:-1] > 0)])], list(numbers)
-
-
-def _batches(kind: str, columns: dict[str, pa.Array | object], size: int):
-    """Record batches of FIRST; columns left out are null, scalars repeat."""
-    schema = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int32()),
-                        ("b", pa.int32()), ("n", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary())])
-    columns = {"kind": kind, **columns}
-    for low in range(0, size, ROWS_PER_BATCH):
-        rows = min(ROWS_PER_BATCH, size - low)
-        arrays = []
-        for field in schema:
-            value = columns.get(field.name)
-            if isinstance(value, (pa.Array, pa.ChunkedArray)):
-                value = value.slice(low, rows)
-                value = value.combine_chunks() if isinstance(value, pa.ChunkedArray) else value
-                arrays.append(value.cast(field.type))
-            else:
-                arrays.append(pa.repeat(pa.scalar(value, field.type), rows) if value is not None else pa.nulls(rows, field.type))
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
-def _shard_rows(shard: int, lang: str, data: bytes):
-    """A shard's words, its pairs by left extension, and its word numbers."""
-    numbers, names = _numbered(data)
-    if not numbers.any():
-        return
-    index = WordIndex(numbers, 2, both=False)
-    ids, at, back, n = index.single()
-    text = pa.array(names, pa.binary()).cast(pa.string())
-    yield from _batches("word", {"shard": shard, "lang": lang, "phrase": text.take(pa.array(ids)), "a": pa.array(ids), "n": pa.array(n)}, len(ids))
-    owner, word, _, _, n = index.extend_left(at, back, n)
-    second = ids[owner]
-    phrase = pc.binary_join_element_wise(text.take(pa.array(word)), text.take(pa.array(second)), " ")
-    yield from _batches("pair", {"shard": shard, "lang": lang, "phrase": phrase, "a": pa.array(word), "b": pa.array(second), "n": pa.array(n)}, len(n))
-    parts = [numbers[k:k + TOKENS_PER_ROW].astype("<i4").tobytes() for k in range(0, len(numbers), TOKENS_PER_ROW)]
-    for part, tokens in enumerate(parts):
-        yield from _batches("tokens", {"shard": shard, "lang": lang, "part": part, "tokens": pa.array([tokens], pa.binary())}, 1)
+    return numbers[np.append(True, (numbers[1:] > 0) | (numbers[:-1] > 0))], coded.dictionary
+
+
+def _hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
+def _counts(hash_bits: int):
+    """For each shard the counts of its words, and of its pairs by left extension, under hashes."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, lang, words, numbers = (batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "numbers"))
+                names = np.array([lang, *words.decode().split(" ")], object)
+                word_hash = hash_array(names, categorize=False).astype(np.uint64)
+                lang_hash, word_hash = word_hash[:1], word_hash[1:]
+                index = WordIndex(np.frombuffer(numbers, "<i4"), 2, both=False)
+                ids, at, back, n = index.single()
+                owner, before, _, _, pairs = index.extend_left(at, back, n)
+                a, b, n = np.append(ids, before), np.append(np.zeros_like(ids), ids[owner]), np.append(n, pairs)
+                del index, owner, before, pairs
+                h = _hashes(word_hash[a], np.where(b > 0, word_hash[b], lang_hash)) ^ lang_hash
+                h = (h & np.uint64((1 << hash_bits) - 1)).view(np.int64)
+                for low in range(0, len(h), ROWS_PER_BATCH):
+                    part = slice(low, low + ROWS_PER_BATCH)
+                    columns = [np.full(len(h[part]), shard), h[part], a[part], b[part], n[part]]
+                    yield pa.record_batch([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, COUNTS, strict=True)], schema=COUNTS)
+
+    return run
 
 
 def _shards(shard_bytes: int):
@@ -179,41 +178,54 @@ def _shards(shard_bytes: int):
                 cut = len(data) if len(data) <= shard_bytes else data.rfind(b".", 0, shard_bytes)
                 cut = (data.find(b".", shard_bytes) if cut < 0 else cut)
                 cut = len(data) if cut < 0 else cut
-                yield from _shard_rows((task << 24) + made, lang, data[:cut])
+                numbers, names = _numbered(data[:cut])
+                if numbers.any():
+                    yield pa.record_batch([
+                        pa.array([(task << 24) + made], pa.int64()), pa.array([lang], pa.string()), pa.array([int((numbers > 0).sum())], pa.int64()),
+                        pa.array([" ".join(names.to_pylist()).encode()], pa.binary()), pa.array([numbers.astype("<i4").tobytes()], pa.binary())],
+                        names=["shard", "lang", "n", "words", "numbers"])
                 made, data = made + 1, data[cut + 1:]
             if data:
                 waiting[lang] = ([data], len(data))
 
         for batch in batches:
-            langs, texts = batch.column("lang"), batch.column("text").cast(pa.large_binary())
-            for lang in pc.unique(langs).to_pylist():
-                parts = [t.lower().translate(TO_MARKS) for t in texts.filter(pc.equal(langs, lang)).to_pylist()]
-                kept, size = waiting.get(lang, ([], 0))
-                waiting[lang] = (kept + parts, size + sum(map(len, parts)))
-                if waiting[lang][1] >= shard_bytes:
-                    yield from flush(lang, False)
-            while sum(size for _, size in waiting.values()) > 2 * shard_bytes:
-                yield from flush(max(waiting, key=lambda x: waiting[x][1]), True)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                langs, texts = part.column(0), part.column(1).cast(pa.binary())
+                for lang in pc.unique(langs).to_pylist():
+                    found = [t.lower().translate(TO_MARKS) for t in texts.filter(pc.equal(langs, lang)).to_pylist()]
+                    kept, size = waiting.get(lang, ([], 0))
+                    waiting[lang] = (kept + found, size + sum(map(len, found)))
+                    if waiting[lang][1] >= shard_bytes:
+                        yield from flush(lang, False)
+                while sum(size for _, size in waiting.values()) > 4 * shard_bytes:
+                    yield from flush(max(waiting, key=lambda x: waiting[x][1]), True)
         for lang in list(waiting):
             yield from flush(lang, True)
 
     return run
 
 
-def _longer(key, tokens: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Phrases of three and four words of one shard whose pairs are all given."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-    lang = key[1].as_py()
-    if not tokens.num_rows or not pairs.num_rows:
-        return schema.empty_table()
-    tokens = tokens.sort_by("part")
-    words = np.frombuffer(b"".join(tokens.column("tokens").to_pylist()), "<i4").astype(np.int64)
-    a, b = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
-    names = {}
-    for x, y, phrase in zip(a.tolist(), b.tolist(), pairs.column("phrase").to_pylist()):
-        names[x], names[y] = phrase.split(" ")
+def _phrases(key, shards: pa.Table, counts: pa.Table) -> pa.Table:
+    """The phrases of one shard: the words and pairs given, with their counts, and those of three and four words made of such pairs."""
+    if not shards.num_rows or not counts.num_rows:
+        return FOUND.empty_table()
+    lang, words = shards.column("lang")[0], np.frombuffer(shards.column("numbers")[0].as_py(), "<i4").astype(np.int64)
+    names = pa.array(shards.column("words")[0].as_py().decode().split(" "), pa.string())
+    a, b, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
+    tables = []
+
+    def add(gram: np.ndarray, n: np.ndarray) -> None:
+        phrase = pc.binary_join_element_wise(*[names.take(pa.array(g)) for g in gram], " ")
+        tables.append(pa.table([pa.repeat(lang, len(n)), phrase, pa.repeat(pa.scalar(len(gram), pa.int32()), len(n)), pa.array(n, pa.int64())], schema=FOUND))
+
+    add(a[None, b == 0], n[b == 0])
+    a, b, n = a[b > 0], b[b > 0], n[b > 0]
+    add(np.stack([a, b]), n)
+    if not len(a):
+        return tables[0]
     # number the words of these pairs anew, and cut where no such pair lies
-    old = np.array(sorted(names))
+    old = np.unique(np.append(a, b))
     base = len(old) + 1
     new = np.zeros(max(int(words.max()), int(old[-1])) + 1, np.int64)
     new[old] = np.arange(1, base)
@@ -236,43 +248,36 @@ def _longer(key, tokens: pa.Table, pairs: pa.Table) -> pa.Table:
     ids, at, back, n = index.single()
     owner, w1, at, back, n = index.extend_left(at, back, n)
     gram = np.stack([w1, ids[owner]])
-    out = []
+    back_to_old = np.append(0, old)
     for right in (True, False):
         owner, word, at, back, n = (index.extend_right if right else index.extend_left)(at, back, n)
         gram = np.vstack([gram[:, owner], word]) if right else np.vstack([word, gram[:, owner]])
-        out.append((gram, n))
-    text = pa.array(["", *[names[x] for x in old.tolist()]], pa.string())
-    tables = []
-    for gram, n in out:
-        phrase = pc.binary_join_element_wise(*[text.take(pa.array(g)) for g in gram], " ")
-        tables.append(pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase, pa.repeat(pa.scalar(len(gram), pa.int32()), len(n)),
-                                pa.array(n, pa.int64())], schema=schema))
+        add(back_to_old[gram], n)
     return pa.concat_tables(tables)
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to MAX_WORDS words found ``min_count`` times or more (lang, phrase, words, n); and all words per lang (lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = work_path(spark, "llm", "shards")
-    texts.mapInArrow(_shards(shard_bytes), FIRST).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    first = spark.read.schema(FIRST).parquet(path)
-    grams = first.where(F.col("kind").isin("word", "pair"))
-    sums = grams.groupBy("lang", "phrase", F.when(F.col("kind") == "word", 1).otherwise(2).alias("words")).agg(F.sum("n").alias("n"))
-    short = stored(spark, sums.where(F.col("n") >= min_count), "short-phrases")
-    total = first.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("n"))
-    pairs = first.where("kind = 'pair'").join(short.where("words = 2").select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    tokens = spark.read.schema(FIRST).parquet(path).where("kind = 'tokens'").select("shard", "lang", "part", "tokens")
-    longer = (tokens.groupBy("shard", "lang")
-              .cogroup(pairs.select("shard", "lang", "phrase", "a", "b").groupBy("shard", "lang")).applyInArrow(_longer, FOUND))
-    long_sums = longer.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return stored(spark, short.select("lang", "phrase", "words", "n").unionByName(long_sums), "phrases"), total
-
-
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    # a row is a whole shard: few of them make a row group, so that readers hold few at a time
+    texts.mapInArrow(_shards(shard_bytes), SHARD).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    shards, again = (spark.read.schema(SHARD).parquet(path) for _ in range(2))
+    total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = shards.select("shard", "lang", "words", "numbers").mapInArrow(_counts(hash_bits), "shard long, h long, a int, b int, n int")
+    # a hash has at most one row of each shard for each of its phrases
+    enough = counts.withColumn("sum", F.sum(F.col("n").cast("long")).over(Window.partitionBy("h"))).where(F.col("sum") >= min_count)
+    found = (again.select("shard", "lang", "words", "numbers").groupBy("shard").cogroup(enough.select("shard", "a", "b", "n").groupBy("shard"))
+             .applyInArrow(_phrases, "lang string, phrase string, words int, n long"))
+    sums = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    return stored(spark, sums, "phrases"), total
+
+
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **how) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
-    found, total = phrase_counts(docs, min_count, shard_bytes)
+    found, total = phrase_counts(docs, min_count, **how)
     f = found.select("lang", "phrase", F.col("n").alias("f"))
     long = found.where("words > 1").select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     # every contiguous part of two words or more inside a longer candidate, with that candidate's count

@@ -162,16 +162,16 @@ def found_phrases(frame, **how):
     return {(r["lang"], r["rank"]): tuple(r[c] for c in ("phrase", "a", "l", "r", "n", "score")) for r in o13.collocations(frame, **how).collect()}
 
 
-@pytest.mark.parametrize("shard_bytes", [300, 5000, 12_000_000])
-def test_collocations(spark, shard_bytes):
-    """One shard or hundreds, also shards smaller than a text: the same counts."""
+@pytest.mark.parametrize(("shard_bytes", "hash_bits"), [(300, 64), (5000, 5), (12_000_000, 64)])
+def test_collocations(spark, shard_bytes, hash_bits):
+    """One shard or hundreds, also shards smaller than a text and hashes that many phrases share: the same counts."""
     rng = random.Random(2)
     words = ["The", "cat", "of", "it", "a", "ÄB", "\x00", "\x1f", "ß", "e"]
     rows = [(rng.choice(["en", "de", None]), "".join(rng.choice(words) + rng.choice([" "] * 9 + ["\t ", ", ", "\n", "!"]) for _ in range(rng.randint(0, 300))))
             for _ in range(150)] + [("en", None), ("en", ""), (None, " \t"), ("fr", "once only"), ("en", "New York Times " * 40), ("en", "alone " * 100)]
     docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 AS n", "'s' AS shard", "2 AS phrase").repartition(5)
     want = brute_phrases(rows)
-    assert len(want) > 100 and found_phrases(docs, shard_bytes=shard_bytes) == want
+    assert len(want) > 100 and found_phrases(docs, shard_bytes=shard_bytes, hash_bits=hash_bits) == want
 
 
 def test_collocations_top_and_ties(spark):
