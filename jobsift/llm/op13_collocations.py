@@ -9,15 +9,16 @@ ordered by their first ``depth`` words only, which is all that phrases of so
 many words need.  A phrase is an interval of each; extending all phrases of a
 length by a word on either side is one pass over the intervals' symbols.
 
-First pass: each shard counts its words and, by left extension, its pairs, under
-64-bit hashes; the sums over shards tell which hashes are found ``min_count``
-times or more.  Phrases that share a hash only add to its sum, so none is lost.
-Second pass: each shard gets those of its own words and pairs back, cuts its
-words where no such pair lies, and extends pairs to the right and then to the
-left, to three and four words: a phrase cannot be found more often than a pair
-inside.  Now the phrases themselves and their counts are summed across shards,
-which decides.  Scores, cuts and the drop rule are joins and aggregates over
-phrases, in exact decimals.
+First, words are counted; a word found ``min_count`` times or more in its language
+gets a number of its own, the place where its first shard holds it.  Then each
+shard, its other words taken for cuts, counts its pairs by left extension, and
+the sums over shards tell the pairs found often enough.  At last each shard gets
+back those of its own pairs, cuts its words where no such pair lies, and extends
+pairs to the right and then to the left, to three and four words: a phrase
+cannot be found more often than a word or a pair inside it, so nothing is lost.
+Scores, cuts and the drop rule are joins and aggregates over phrases, in exact
+decimals.  A word or pair has at most one row for each shard, so that no key
+holds more rows than there are shards.
 
 Defined results: a null text has no words, a null lang is ``und``; rows that
 repeat count again; a language without candidates has no rows, an empty table
@@ -29,7 +30,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +44,9 @@ TOP = 2000
 COVER_PERCENT = 80
 SCALE = 2_000_000
 #: Text of one language that a task gathers before it builds an index.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 6_000_000
+#: Room for the words of one shard in a number (place of the shard, place of the word there).
+WORD_BITS = 24
 #: Rows of texts that are taken from a batch at a time.
 SLICE = 500
 ROWS_PER_BATCH = 100_000
@@ -54,9 +56,9 @@ TO_MARKS = bytes.maketrans(PIECE_ENDS + b"\t", b"." * len(PIECE_ENDS) + b" ")
 
 #: A shard: its language, its words (joined by blanks, the first is the mark between pieces) and its text as their numbers.
 SHARD = "shard long, lang string, n long, words binary, numbers binary"
-#: Counts under a hash; a, b are the shard's numbers of the words, b is 0 for a single word.
-COUNTS = pa.schema([("shard", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
-FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+COUNTS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("n", pa.int64())])
+PAIRS = pa.schema([("shard", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("n", pa.int64())])
+GRAMS = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("g3", pa.int64()), ("g4", pa.int64()), ("n", pa.int64())])
 
 
 class Direction:
@@ -134,35 +136,27 @@ def _numbered(data: bytes) -> tuple[np.ndarray, pa.Array]:
     return numbers[np.append(True, (numbers[1:] > 0) | (numbers[:-1] > 0))], coded.dictionary
 
 
-def _hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as 32-bit bytes, compressed, with their count in front."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
 
-def _counts(hash_bits: int):
-    """For each shard the counts of its words, and of its pairs by left extension, under hashes."""
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                shard, lang, words, numbers = (batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "numbers"))
-                names = np.array([lang, *words.decode().split(" ")], object)
-                word_hash = hash_array(names, categorize=False).astype(np.uint64)
-                lang_hash, word_hash = word_hash[:1], word_hash[1:]
-                index = WordIndex(np.frombuffer(numbers, "<i4"), 2, both=False)
-                ids, at, back, n = index.single()
-                owner, before, _, _, pairs = index.extend_left(at, back, n)
-                a, b, n = np.append(ids, before), np.append(np.zeros_like(ids), ids[owner]), np.append(n, pairs)
-                del index, owner, before, pairs
-                h = _hashes(word_hash[a], np.where(b > 0, word_hash[b], lang_hash)) ^ lang_hash
-                h = (h & np.uint64((1 << hash_bits) - 1)).view(np.int64)
-                for low in range(0, len(h), ROWS_PER_BATCH):
-                    part = slice(low, low + ROWS_PER_BATCH)
-                    columns = [np.full(len(h[part]), shard), h[part], a[part], b[part], n[part]]
-                    yield pa.record_batch([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, COUNTS, strict=True)], schema=COUNTS)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<i4")
 
-    return run
+
+def _word_counts(batches):
+    """The words of each shard with their numbers there and their counts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, lang, words, numbers = (batch.column(c)[k].as_py() for c in ("shard", "lang", "words", "numbers"))
+            names = pa.array(words.decode().split(" "), pa.string())
+            n = np.bincount(_unpacked(numbers), minlength=len(names))
+            ids = np.flatnonzero(n)
+            ids = ids[ids > 0]
+            rows = pa.table([pa.repeat(shard, len(ids)), pa.repeat(pa.scalar(lang), len(ids)), names.take(pa.array(ids)), pa.array(ids), pa.array(n[ids])],
+                            schema=COUNTS)
+            yield from rows.to_batches(max_chunksize=ROWS_PER_BATCH)
 
 
 def _shards(shard_bytes: int):
@@ -179,10 +173,12 @@ def _shards(shard_bytes: int):
                 cut = (data.find(b".", shard_bytes) if cut < 0 else cut)
                 cut = len(data) if cut < 0 else cut
                 numbers, names = _numbered(data[:cut])
+                if len(names) >> WORD_BITS or made >> 16:
+                    raise ValueError("too many words in a shard or shards in a partition")
                 if numbers.any():
                     yield pa.record_batch([
-                        pa.array([(task << 24) + made], pa.int64()), pa.array([lang], pa.string()), pa.array([int((numbers > 0).sum())], pa.int64()),
-                        pa.array([" ".join(names.to_pylist()).encode()], pa.binary()), pa.array([numbers.astype("<i4").tobytes()], pa.binary())],
+                        pa.array([(task << 16) + made], pa.int64()), pa.array([lang], pa.string()), pa.array([int((numbers > 0).sum())], pa.int64()),
+                        pa.array([" ".join(names.to_pylist()).encode()], pa.binary()), pa.array([_packed(numbers)], pa.binary())],
                         names=["shard", "lang", "n", "words", "numbers"])
                 made, data = made + 1, data[cut + 1:]
             if data:
@@ -206,73 +202,96 @@ def _shards(shard_bytes: int):
     return run
 
 
-def _phrases(key, shards: pa.Table, counts: pa.Table) -> pa.Table:
-    """The phrases of one shard: the words and pairs given, with their counts, and those of three and four words made of such pairs."""
-    if not shards.num_rows or not counts.num_rows:
-        return FOUND.empty_table()
-    lang, words = shards.column("lang")[0], np.frombuffer(shards.column("numbers")[0].as_py(), "<i4").astype(np.int64)
-    names = pa.array(shards.column("words")[0].as_py().decode().split(" "), pa.string())
-    a, b, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
-    tables = []
-
-    def add(gram: np.ndarray, n: np.ndarray) -> None:
-        phrase = pc.binary_join_element_wise(*[names.take(pa.array(g)) for g in gram], " ")
-        tables.append(pa.table([pa.repeat(lang, len(n)), phrase, pa.repeat(pa.scalar(len(gram), pa.int32()), len(n)), pa.array(n, pa.int64())], schema=FOUND))
-
-    add(a[None, b == 0], n[b == 0])
-    a, b, n = a[b > 0], b[b > 0], n[b > 0]
-    add(np.stack([a, b]), n)
-    if not len(a):
-        return tables[0]
-    # number the words of these pairs anew, and cut where no such pair lies
-    old = np.unique(np.append(a, b))
-    base = len(old) + 1
-    new = np.zeros(max(int(words.max()), int(old[-1])) + 1, np.int64)
-    new[old] = np.arange(1, base)
-    allowed = np.sort(new[a] * base + new[b])
-    words = new[words]
-
-    def is_pair(x, y):
-        code = x * base + y
-        place = np.minimum(np.searchsorted(allowed, code), len(allowed) - 1)
-        return allowed[place] == code
-
-    joined = is_pair(words[:-1], words[1:])
+def _without_runs(words: np.ndarray) -> np.ndarray:
+    """One 0 for each run of them, and one at the end."""
+    words = np.append(words, 0)
+    return words[np.append(True, (words[1:] > 0) | (words[:-1] > 0))]
+
+
+def _recoded(shards: pa.Table, places: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's text in numbers from 1 that follow the order of the common words' numbers ``g``, 0 for all else; and g in order."""
+    words = _unpacked(shards.column("numbers")[0].as_py())
+    order = np.argsort(g)
+    new = np.zeros(max(int(words.max()), int(places.max())) + 1, np.int64)
+    new[places[order]] = np.arange(1, len(g) + 1)
+    return _without_runs(new[words]), g[order]
+
+
+def _pairs(shards: pa.Table, feed: pa.Table) -> pa.Table:
+    """The pairs of common words in one shard and their counts, by left extension."""
+    if not shards.num_rows or not feed.num_rows:
+        return PAIRS.empty_table()
+    words, g = _recoded(shards, feed.column("a").to_numpy(), feed.column("g").to_numpy())
+    index = WordIndex(words, 2, both=False)
+    ids, at, back, n = index.single()
+    owner, before, _, _, n = index.extend_left(at, back, n)
+    return pa.table([pa.repeat(shards.column("shard")[0], len(n)), pa.array(g[before - 1]), pa.array(g[ids[owner] - 1]), pa.array(n)], schema=PAIRS)
+
+
+def _longer(shards: pa.Table, feed: pa.Table) -> pa.Table:
+    """Phrases of three and four words of one shard whose pairs are all common; the feed has words (a, g) and pairs (a, b of the kind g)."""
+    if not shards.num_rows or not feed.num_rows:
+        return GRAMS.empty_table()
+    a, b, g = (feed.column(c).to_numpy() for c in ("a", "b", "g"))
+    is_word = b == 0
+    words, g = _recoded(shards, a[is_word], g[is_word])
+    base = len(g) + 1
+    common = np.sort((np.searchsorted(g, a[~is_word]) + 1) * base + np.searchsorted(g, b[~is_word]) + 1)
+    if not len(common):
+        return GRAMS.empty_table()
+    code = words[:-1] * base + words[1:]
+    joined = common[np.minimum(np.searchsorted(common, code), len(common) - 1)] == code
     links = np.concatenate([[False], joined, [False]])
-    keep = np.where(links[:-1] | links[1:], words, 0)
-    # a cut between two kept words without a pair: a 0 before the second
-    cut = np.flatnonzero(~joined & (keep[:-1] > 0) & (keep[1:] > 0)) + 1
-    keep = np.insert(keep, cut, 0)
-    keep = np.concatenate([keep[np.concatenate([[True], (keep[1:] > 0) | (keep[:-1] > 0)])], [0]])
-    index = WordIndex(keep, MAX_WORDS)
+    words = np.where(links[:-1] | links[1:], words, 0)
+    # a 0 between two kept words that are no common pair
+    words = _without_runs(np.insert(words, np.flatnonzero(~joined & (words[:-1] > 0) & (words[1:] > 0)) + 1, 0))
+    index = WordIndex(words, MAX_WORDS)
     ids, at, back, n = index.single()
-    owner, w1, at, back, n = index.extend_left(at, back, n)
-    gram = np.stack([w1, ids[owner]])
-    back_to_old = np.append(0, old)
+    owner, before, at, back, n = index.extend_left(at, back, n)
+    gram, tables, g = np.stack([before, ids[owner]]), [], np.append(0, g)
     for right in (True, False):
         owner, word, at, back, n = (index.extend_right if right else index.extend_left)(at, back, n)
         gram = np.vstack([gram[:, owner], word]) if right else np.vstack([word, gram[:, owner]])
-        add(back_to_old[gram], n)
+        columns = [*(g[x] for x in gram), *[np.zeros(len(n), np.int64)] * (4 - len(gram)), n]
+        tables.append(pa.table([pa.array(c) for c in columns], schema=GRAMS))
     return pa.concat_tables(tables)
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to MAX_WORDS words found ``min_count`` times or more (lang, phrase, words, n); and all words per lang (lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = work_path(spark, "llm", "shards")
     # a row is a whole shard: few of them make a row group, so that readers hold few at a time
-    texts.mapInArrow(_shards(shard_bytes), SHARD).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    shards, again = (spark.read.schema(SHARD).parquet(path) for _ in range(2))
+    texts.mapInArrow(_shards(shard_bytes), SHARD).write.option("parquet.block.size", 16 << 20).parquet(path)
+    shards, second, third = (spark.read.schema(SHARD).parquet(path) for _ in range(3))
     total = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = shards.select("shard", "lang", "words", "numbers").mapInArrow(_counts(hash_bits), "shard long, h long, a int, b int, n int")
-    # a hash has at most one row of each shard for each of its phrases
-    enough = counts.withColumn("sum", F.sum(F.col("n").cast("long")).over(Window.partitionBy("h"))).where(F.col("sum") >= min_count)
-    found = (again.select("shard", "lang", "words", "numbers").groupBy("shard").cogroup(enough.select("shard", "a", "b", "n").groupBy("shard"))
-             .applyInArrow(_phrases, "lang string, phrase string, words int, n long"))
-    sums = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return stored(spark, sums, "phrases"), total
+
+    place, same = F.col("shard") * (1 << WORD_BITS) + F.col("a"), Window.partitionBy("lang", "word")
+    counted = shards.select("shard", "lang", "words", "numbers").mapInArrow(_word_counts, "shard long, lang string, word string, a long, n long")
+    often = counted.select("*", F.sum("n").over(same).alias("total"), F.min(place).over(same).alias("g")).where(F.col("total") >= min_count)
+    first = F.col("g") == place
+    words = stored(spark, often.select("shard", "a", "g", *[F.when(first, F.col(c)).alias(c) for c in ("lang", "word", "total")]), "common-words")
+    vocabulary = words.where(F.col("word").isNotNull()).select("g", "lang", "word", F.col("total").alias("n"))
+    feed = words.select("shard", "a", F.lit(0).cast("long").alias("b"), "g")
+
+    found = (second.select("shard", "numbers").groupBy("shard").cogroup(feed.groupBy("shard"))
+             .applyInArrow(_pairs, "shard long, g1 long, g2 long, n long"))
+    both = Window.partitionBy("g1", "g2")
+    often = found.select("shard", "g1", "g2", F.sum("n").over(both).alias("n"), F.min("shard").over(both).alias("least")).where(F.col("n") >= min_count)
+    pairs = stored(spark, often, "common-pairs")
+
+    feed = feed.unionByName(pairs.select("shard", F.col("g1").alias("a"), F.col("g2").alias("b"), F.lit(0).cast("long").alias("g")))
+    longer = (third.select("shard", "numbers").groupBy("shard").cogroup(feed.groupBy("shard"))
+              .applyInArrow(_longer, "g1 long, g2 long, g3 long, g4 long, n long"))
+    longer = longer.groupBy("g1", "g2", "g3", "g4").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    grams = (pairs.where(F.col("least") == F.col("shard")).select(F.array("g1", "g2").alias("gram"), "n")
+             .unionByName(longer.select(F.filter(F.array("g1", "g2", "g3", "g4"), lambda x: x > 0).alias("gram"), "n")))
+    named = (grams.select("gram", "n", F.posexplode("gram").alias("pos", "g")).join(vocabulary.select("g", "lang", "word"), "g")
+             .groupBy("gram", "n", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")))
+    phrases = named.select("lang", F.array_join("w.word", " ").alias("phrase"), F.size("gram").alias("words"), "n")
+    return stored(spark, vocabulary.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n").unionByName(phrases), "phrases"), total
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, **how) -> DataFrame:
