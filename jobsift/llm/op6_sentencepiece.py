@@ -7,7 +7,9 @@ its encoding.  For a unigram model an arc's weight is the negative score.  For
 a BPE model arcs weigh nothing, and the state also remembers the last piece: a
 piece may follow another (weight 0) only where merging the two pieces'
 characters by score gives just these two, else the weight is infinite; the
-merges at the pieces' touching edges tell.  That leaves exactly one path of finite weight, the one that merging gives.
+merges at the pieces' touching edges tell.  That leaves exactly one path of finite weight, the one that merging gives,
+to each place of a text; so the search goes on from one place at a time, by the longest arc first, and takes back what
+leads nowhere.
 
 A composed text splits where no piece can cross: before a run of U+2581 and
 between characters that no piece has side by side.  The parts' paths are
@@ -163,8 +165,6 @@ class PieceTransducer:
 
     def may_follow(self, last: int, piece: int) -> bool:
         """Whether the transition from the state of ``last`` (-1: none, or bytes) by ``piece`` has finite weight."""
-        if not self.merges:
-            return True
         known = self.follows.get((last, piece))
         if known is None:
             if len(self.follows) >= MAX_PAIRS:
@@ -173,34 +173,69 @@ class PieceTransducer:
             self.follows[last, piece] = known
         return known
 
+    def only_path(self, text: str) -> list[int]:
+        """Ids on the one path of finite weight of a part, where arcs weigh nothing."""
+        n, arcs, follows = len(text), self.arcs, self.follows
+        dead = bytearray(n + 1)
+        trail: list[tuple] = []  # (place, last piece, ids up to here, arcs still to try)
+        ids: list[int] = []
+        i, last = 0, -1
+        while i < n:
+            options, next_, j = [], arcs, i
+            while j < n and (node := next_.get(text[j])) is not None:
+                j += 1
+                next_ = node[1]
+                if node[0] >= 0:
+                    options.append((node[0], j))
+            if not options or options[0][1] > i + 1:  # no piece of this character alone: its bytes
+                options.insert(0, (-1, i + 1))
+            while True:
+                while options:
+                    piece, j = options.pop()
+                    if dead[j]:
+                        continue
+                    if piece < 0 or (self.may_follow(last, piece) if (known := follows.get((last, piece))) is None else known):
+                        break
+                else:  # nothing leads on: back to the place before
+                    dead[i] = 1
+                    if not trail:
+                        raise AssertionError(f"no path for {text!r}")
+                    i, last, size, options = trail.pop()
+                    del ids[size:]
+                    continue
+                trail.append((i, last, len(ids), options))
+                if piece < 0:
+                    ids.extend([self.byte_ids.get(b, self.unknown) for b in text[i].encode()] if self.byte_ids else [self.unknown])
+                else:
+                    ids.append(piece)
+                i, last = j, piece
+                break
+        return ids
+
     def path(self, text: str) -> list[int]:
         """Ids on the shortest path of a part."""
-        n, merges, arcs, follows = len(text), self.merges, self.arcs, self.follows
-        weight, back = [0.0] + [INFINITE] * n, [(-1, (), -1)] * (n + 1)  # (last piece, ids of the arc, from)
+        if self.merges:
+            return self.only_path(text)
+        n, arcs = len(text), self.arcs
+        weight, back = [0.0] + [INFINITE] * n, [((), -1)] * (n + 1)  # (ids of the arc, from)
         for i in range(n):
-            w = weight[i]
-            if w == INFINITE:
-                continue
-            last, next_, j, alone = back[i][0], arcs, i, False
+            w, next_, j, alone = weight[i], arcs, i, False
             while j < n and (node := next_.get(text[j])) is not None:
                 piece, next_ = node
                 j += 1
                 if piece >= 0:
                     alone |= j == i + 1
-                    to = w if merges else w - self.pieces[self.strings[piece]][1]
-                    if to < weight[j] and (self.may_follow(last, piece) if (known := follows.get((last, piece))) is None else known):
-                        weight[j], back[j] = to, (piece, (piece,), i)
+                    to = w - self.pieces[self.strings[piece]][1]
+                    if to < weight[j]:
+                        weight[j], back[j] = to, ((piece,), i)
             if not alone:  # no piece of this character alone: its bytes
                 ids = tuple(self.byte_ids.get(b, self.unknown) for b in text[i].encode()) if self.byte_ids else (self.unknown,)
-                to = w if merges else w + 1e6
-                if to < weight[i + 1]:
-                    weight[i + 1], back[i + 1] = to, (-1, ids, i)
-        if weight[n] == INFINITE:
-            raise AssertionError(f"no path for {text!r}")
+                if w + 1e6 < weight[i + 1]:
+                    weight[i + 1], back[i + 1] = w + 1e6, (ids, i)
         out, j = [], n
         while j:
-            out.append(back[j][1])
-            j = back[j][2]
+            out.append(back[j][0])
+            j = back[j][1]
         return [i for ids in reversed(out) for i in ids]
 
     def part(self, text: str) -> bytes:
@@ -210,14 +245,15 @@ class PieceTransducer:
             return np.array(self.path(text), "<i4").tobytes()
         return b"".join([self.parts[text[a:b]] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)])
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as 32-bit little-endian bytes."""
         if not text:
-            return np.empty(0, "<i4")
+            return b""
         if self.prefix and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
             found = map(self.words.__getitem__, text.split(" "))  # one blank before each word: the common case
         else:
             found = map(self.parts.__getitem__, self.cuts.findall(self.prefix + text.replace(" ", SPACE)))
-        return np.frombuffer(b"".join(found), "<i4")
+        return b"".join(found)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
@@ -238,7 +274,7 @@ def transducer(path: str) -> PieceTransducer:
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids of the whole text, and whether the ids decode to it."""
+    """doc_id and the ids of the whole text; ``decode_pieces`` is the way back."""
     path = model or default_model()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +282,14 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = part.column(1).to_pylist()
-                ids = [t.encode(x) for x in texts]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                ids = [t.encode(x) for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
                 yield pa.record_batch({
                     "doc_id": part.column(0),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())),
-                    "round_trip": pa.array([t.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)])})
+                    "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(
-        rows, "doc_id long, ids array<int>, round_trip boolean")
+        rows, "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -272,7 +306,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 @register("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(documents(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+    return encode_pieces(documents(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 by_value(__name__)
