@@ -60,6 +60,14 @@ def on_key(left: str, right: str) -> Column:
             & F.col(f"{left}._op_id").eqNullSafe(F.col(f"{right}._op_id")))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A name for a result's own column: ``name``, with as many ``_`` after it as it takes to differ from the input's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,8 +14,7 @@ Defined results: a null text counts as empty, all empty texts are equal; of
 equal texts the row with the largest doc_id stays (a null doc_id is less than
 any other), and of rows that share doc_id and text one stays, all being
 counted; an empty table gives no rows; extra columns stay as they are, the
-verdict comes as one struct column ``copies`` (or under the name given), which
-may not be a name of the input.
+verdict comes as one struct column ``copies`` (``copies_`` if the input has one).
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsift.llm.catalog import register
-from jobsift.llm.common import documents, let, stored, whole_text
+from jobsift.llm.common import documents, free_name, let, stored, whole_text
 
 #: A unit ends after a line feed or a sentence mark.
 UNIT_END = r"(?<=[\n.!?])"
@@ -90,10 +89,8 @@ def recipes(docs: DataFrame, text_col: str = "text", hashed=chunk_hash, **cut) -
         .select(*base.columns), "recipes-numbered")
 
 
-def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "copies", **how) -> DataFrame:
-    """The input's columns without the text, and the struct ``out``: keep_id, group_size, kept, text_sha256, n_chunks."""
-    if out in docs.columns:
-        raise ValueError(f"the input has a column {out}: name another one")
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The input's columns without the text, and the struct ``copies``: keep_id, group_size, kept, text_sha256, n_chunks."""
     found = recipes(docs, text_col, **how)
     row = F.struct(F.col(f"`{id_col}`").alias("id"), F.col("_op_row").alias("row"))
     groups = (found.groupBy("_op_recipe").agg(F.max(row).alias("_op_keep"), F.count(F.lit(1)).alias("_op_n"))
@@ -105,7 +102,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("_op_n", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("_op_keep.row") == F.col("_op_row"))).alias("kept"),
         F.col("_op_sha").alias("text_sha256"), F.size("_op_recipe").alias("n_chunks"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], verdict.alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], verdict.alias(free_name(docs.columns, "copies")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

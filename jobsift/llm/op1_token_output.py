@@ -82,6 +82,16 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
+def number_kind(tokenizer: str, capacity: int, closing_id: int, wide: bool | None) -> str:
+    """The numpy kind that holds every id of the tokenizer and every place in a row."""
+    from tokenizers import Tokenizer
+
+    most = max(*Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), closing_id, capacity - 1)
+    if wide is False and most >= 1 << 16:
+        raise ValueError(f"numbers up to {most} do not fit into 16 bits")
+    return "<u4" if wide or most >= 1 << 16 else "<u2"
+
+
 def pack_block(texts: list[tuple], capacity: int, fill: int, kind: str) -> Iterator[tuple]:
     """Rows (ids, position_ids, n_tokens, cu_seqlens, doc_ids, starts) of (doc_id, ids) texts."""
     pieces = [(doc_id, start, ids[start:start + capacity]) for doc_id, ids in texts for start in range(0, len(ids), capacity)]
@@ -96,16 +106,18 @@ def pack_block(texts: list[tuple], capacity: int, fill: int, kind: str) -> Itera
 
 
 def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, closing_id: int = CLOSING_ID,
-                  block_tokens: int = BLOCK_TOKENS, wide: bool = False) -> DataFrame:
+                  block_tokens: int = BLOCK_TOKENS, wide: bool | None = None) -> DataFrame:
     """One row per packed sequence.
 
-    ids, position_ids: ``capacity`` little-endian unsigned numbers of 16 bits
-    (32 if ``wide``, for vocabularies or capacities above 65,536); cu_seqlens:
+    ids, position_ids: ``capacity`` little-endian unsigned numbers of 16 bits, or
+    32 where the vocabulary, the closing id or the capacity need more (or if
+    ``wide``; ``wide=False`` raises where 16 bits are too few); cu_seqlens:
     cumulative segment lengths from 0; doc_ids, starts: each segment's document
     and its first id there.  Ids of all segments of a document, by start, are
     its whole text's ids and the closing id.
     """
-    path, kind = tokenizer or default_tokenizer(), "<u4" if wide else "<u2"
+    path = tokenizer or default_tokenizer()
+    kind = number_kind(path, capacity, closing_id, wide)
     schema = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary()), ("position_ids", pa.binary()), ("n_tokens", pa.int32()),
                         ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
@@ -147,6 +159,16 @@ def write_matrices(packed: DataFrame, path: str) -> None:
     packed.write.option("compression", "zstd").parquet(path)
 
 
+def matrix(rows: pa.Table | list, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The id and position matrices (one line a row, ``capacity`` numbers each) of rows of a written file."""
+    out = []
+    for name in ("ids", "position_ids"):
+        data = [r[name] for r in (rows.to_pylist() if isinstance(rows, pa.Table) else rows)]
+        kind = f"<u{len(data[0]) // capacity}" if data else "<u2"
+        out.append(np.frombuffer(b"".join(data), kind).reshape(len(data), capacity))
+    return out[0], out[1]
+
+
 @register("op1_token_output")
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.llm.catalog import register
-from jobsift.llm.common import WS, documents, let, strip_ws, whole_text, words
+from jobsift.llm.common import WS, documents, free_name, let, strip_ws, whole_text, words
 
 #: Frequent words of the languages read, in lower case.
 STOP_WORDS = {
@@ -106,8 +106,8 @@ def compiled(m: dict[str, Column], rules: list[Rule]) -> Column:
 
 def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """The input's columns and a struct ``quality``: measures, base_failed, failed_rules, kept."""
-    text = whole_text()
+    """The input's columns and a struct ``quality`` (``quality_`` if the input has one): measures, base_failed, failed_rules, kept."""
+    text, name = whole_text(), free_name(docs.columns, "quality")
     cut = docs.withColumns({"_op_words": words(text),
                             "_op_lines": F.filter(F.split(text, "\n"), lambda x: strip_ws(x) != "")})
     by = measures(text, F.col("_op_words"), F.col("_op_lines"))
@@ -117,7 +117,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, min_words: i
     failed = compiled(m, RULES if rules is None else rules)
     return counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         *[c.alias(k) for k, c in m.items()], base.alias("base_failed"), failed.alias("failed_rules"),
-        (~base & (F.size(failed) == 0)).alias("kept")).alias("_op_quality")).withColumnRenamed("_op_quality", "quality")
+        (~base & (F.size(failed) == 0)).alias("kept")).alias(name))
 
 
 def oracle() -> str:

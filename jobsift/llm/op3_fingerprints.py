@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsift.llm.catalog import register
-from jobsift.llm.common import documents, let, shuffle_partitions, whole_text, words
+from jobsift.llm.common import documents, free_name, let, shuffle_partitions, whole_text, words
 
 K = 64
 SHINGLE = 5
@@ -115,8 +115,8 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """The input's columns and ``sketch``."""
-    return docs.withColumn("sketch", sketch(whole_text(), k, n))
+    """The input's columns and ``sketch`` (``sketch_`` if the input has one)."""
+    return docs.withColumn(free_name(docs.columns, "sketch"), sketch(whole_text(), k, n))
 
 
 def oracle() -> str:

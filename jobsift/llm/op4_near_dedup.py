@@ -292,7 +292,7 @@ def components(nodes: DataFrame, docs: DataFrame, n: int = SHINGLE, percent: int
 
 
 def decided(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The row key, n_shingles, component_id and kept, a row per input row."""
+    """The row key, n_shingles, component_id and stays (links of the row's own text reach no lesser doc_id), a row per input row."""
     spark = docs.sparkSession
     classes = stored(spark, classes_of(docs, n), "classes")
     nodes = numbered(classes)
@@ -314,21 +314,23 @@ def decided(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
         rows = rows.join(joined.withColumnRenamed("node", "reached"), "reached", "left")
         component = F.coalesce("comp", "reached")
     return rows.select("_op_id", "_op_h1", "_op_h2", "n_shingles", component.alias("component_id"),
-                       F.coalesce(F.col("reached") == F.col("_op_id"), F.lit(True)).alias("kept"))
+                       F.coalesce(F.col("reached") == F.col("_op_id"), F.lit(True)).alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach) and kept, a row per input row.
+    """doc_id, n_shingles, component_id (least doc_id that links reach), kept (doc_id = component_id, null for a null doc_id)
+    and stays, a row per input row.
 
-    A row is kept if links of its own text reach no lesser doc_id: where no
-    rows share a doc_id, if doc_id = component_id.
+    A row stays if links of its own text reach no lesser doc_id: where no rows
+    share a doc_id, that is the same as kept.
     """
-    return decided(docs, n, percent).select(F.col("_op_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    return decided(docs, n, percent).select(F.col("_op_id").alias("doc_id"), "n_shingles", "component_id",
+                                            (F.col("_op_id") == F.col("component_id")).alias("kept"), "stays")
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The input's rows that are kept: one document of each group of near-duplicates."""
-    gone = decided(docs, n, percent).where("not kept").select("_op_id", "_op_h1", "_op_h2").distinct()
+    """The input's rows that stay: one document of each group of near-duplicates."""
+    gone = decided(docs, n, percent).where("not stays").select("_op_id", "_op_h1", "_op_h2").distinct()
     rows = docs.select("*", *text_key(F.col("doc_id").cast("long"), whole_text()))
     return rows.alias("d").join(gone.alias("g"), on_key("d", "g"), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsift.llm.catalog import register
-from jobsift.llm.common import LOWER, UPPER, documents, let, on_key, stored, text_key
+from jobsift.llm.common import LOWER, UPPER, documents, free_name, let, on_key, stored, text_key
 
 KEY = "surrogate-key"
 WIDEN_AT = 4
@@ -211,12 +211,12 @@ def rendered(value: Column, kind: Column, surrogate: Column) -> Column:
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The input with surrogates in ``text``, and ``pii``: the replaced values as array of (kind, surrogate), in order."""
-    spark, text = docs.sparkSession, F.col("text")
+    """The input with surrogates in ``text``, and ``pii`` (``pii_`` if the input has one): the replaced values as array of (kind, surrogate), in order."""
+    spark, text, name = docs.sparkSession, F.col("text"), free_name(docs.columns, "pii")
     has = F.coalesce(text.rlike(GATE) & (text.rlike(ENTITY) | text.rlike(ADDRESS)), F.lit(False))
     empty = F.array().cast("array<struct<kind:string,surrogate:string>>")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = docs.where(~has).select(*columns, empty.alias("pii"))
+    plain = docs.where(~has).select(*columns, empty.alias(name))
     hits = docs.where(has).select(*columns, *text_key(F.col("doc_id"), text), name_parts(text).alias("_op_parts"))
     hits = hits.withColumn("_op_pattern", pattern(F.col("_op_parts")))
     found = hits.select("_op_id", "_op_h1", "_op_h2", "_op_parts", F.posexplode(F.regexp_extract_all("text", F.col("_op_pattern"), F.lit(0))).alias("pos", "value"))
@@ -231,7 +231,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     put = let(F.coalesce(F.col("f._op_new"), F.array().cast("array<struct<pos:int,kind:string,new:string>>")), lambda n: F.array_join(
         F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(n, i)["new"], F.lit("")))), ""))
     replaced = F.transform(F.filter("f._op_new", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate")))
-    changed = joined.select(*[(put.alias("text") if c == "text" else F.col(f"d.`{c}`")) for c in docs.columns], F.coalesce(replaced, empty).alias("pii"))
+    changed = joined.select(*[(put.alias("text") if c == "text" else F.col(f"d.`{c}`")) for c in docs.columns], F.coalesce(replaced, empty).alias(name))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast("long"))
     return plain.unionByName(changed)

@@ -71,11 +71,9 @@ def test_drop_copies(spark, docs_of):
     assert out[0]["comp"] == "comp"
 
 
-def test_a_clashing_name_is_refused(spark, docs_of):
-    with pytest.raises(ValueError):
-        o11.exact_copies(docs_of([(1, "a")]).selectExpr("*", "1 AS copies"))
-    named = o11.exact_copies(docs_of([(1, "a")]).selectExpr("*", "1 AS copies"), out="verdict").first()
-    assert named["copies"] == 1 and named["verdict"]["kept"]
+def test_a_clashing_name_stays(spark, docs_of):
+    named = o11.exact_copies(docs_of([(1, "a")]).selectExpr("*", "1 AS copies")).first()
+    assert named["copies"] == 1 and named["copies_"]["kept"]
 
 
 # ---------------------------------------------------------------- 12

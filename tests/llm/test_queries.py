@@ -40,7 +40,7 @@ OPERATORS = {
     "4": lambda spark, d: o4.near_duplicates(d),
     "5": lambda spark, d: o5.drop_lines(d, min_docs=2),
     "6": lambda spark, d: o6.encode_pieces(d),
-    "7": lambda spark, d: o7.scored(d.drop("score"), o7.fit([("bad awful", 1, "en"), ("fine good", 0, "en")] * 8, 0.5)),
+    "7": lambda spark, d: o7.scored(d, o7.fit([("bad awful", 1, "en"), ("fine good", 0, "en")] * 8, 0.5)),
     "8": lambda spark, d: o8.replace_pii(d),
     "9": lambda spark, d: o9.scan_licenses(d),
     "10": lambda spark, d: o10.pack_windows(d),
