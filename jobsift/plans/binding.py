@@ -140,6 +140,15 @@ SELECT event_id AS page, ts,
        event_type <> 'signup' AS has_next
 FROM events
 """
+# Pages by source, with empty, last and failed ones, for the stop rule on a stream.
+SOURCE_PAGES_SQL = """
+SELECT concat('s', CAST(user_id % 40 AS STRING)) AS source, event_id AS page, ts,
+       CASE WHEN event_id % 13 = 0 OR (user_id % 4 = 0 AND event_id % 100 >= 50) THEN 0 ELSE user_id % 50 + 1 END AS n_postings,
+       event_id % 61 <> 60 AS has_next, event_type = 'error' OR user_id % 5 = 2 AS failed
+FROM events
+"""
+# New postings by source, sparse enough for days without any.
+SOURCE_NEW_SQL = "SELECT concat('s', CAST(user_id % 60 AS STRING)) AS source, ts, event_id FROM events WHERE event_type = 'signup' AND event_id % 3 = 0"
 # --- end of fixed values --------------------------------------------------
 
 DERIVED_VIEWS = {
@@ -156,6 +165,8 @@ DERIVED_VIEWS = {
     "searches": SEARCHES_SQL,
     "search_results": SEARCH_RESULTS_SQL,
     "page_log": PAGE_LOG_SQL,
+    "source_pages": SOURCE_PAGES_SQL,
+    "source_new": SOURCE_NEW_SQL,
 }
 
 # Which derived views each view reads (to build CTE chains for the oracle).

@@ -3,6 +3,9 @@ extraction (S09, S13, T01-T09)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import epochs as EP
@@ -10,8 +13,10 @@ from ..operators import ledger as L
 from ..session import work_path
 from ..sources import api as API
 from ..sources import html as H
+from ..sources import listings as LI
 from ..streaming import alerts as T
 from ..streaming import ingest as I
+from ..streaming import state as ST
 from . import binding as B
 from .oracle import with_views
 from .registry import register
@@ -161,6 +166,30 @@ register("extract_links", """SELECT page_id, CAST(i - 1 AS INTEGER) AS position,
 FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages) t,
      range(1, len(l) + 1) r(i)""")(lambda s, d: H.extract_links(B.table(s, d, "pages")))
 
+#: Navigation entries are listings with a title and a link; paragraphs and advertisements have a description alone.
+LISTINGS = {"nav": LI.Selectors(job_list="nav", item="li", title="a", url="a[href]"),
+            "article": LI.Selectors(job_list="article", item="p", description=":scope"),
+            "ad": LI.Selectors(item="div.ad", description=":scope")}
+
+
+_HREF = "regexp_extract(x, 'href=\"([^\"]*)\"', 1)"
+
+
+def _listing_items(s, d):
+    found = [LI.extract_listing_items(B.table(s, d, "pages"), sel).select(F.lit(kind).alias("kind"), "*") for kind, sel in LISTINGS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+register("extract_listing_items", f"""WITH li AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1), '(?is)<li>(.*?)</li>', 1) AS l FROM pages),
+p AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<p[^>]*>')[2:] AS l FROM pages),
+ad AS (SELECT page_id, regexp_extract_all(html, '(?is)<div class="ad">(.*?)</div>', 1) AS l FROM pages),
+r AS (SELECT 'nav' AS kind, page_id, unnest(range(len(l))) AS position, unnest(l) AS x FROM li UNION ALL
+      SELECT 'article', page_id, unnest(range(len(l))), unnest(list_transform(l, lambda x: string_split(x, '</p>')[1])) FROM p UNION ALL
+      SELECT 'ad', page_id, unnest(range(len(l))), unnest(l) FROM ad)
+SELECT kind, page_id, CAST(position AS INTEGER) AS position, CASE WHEN kind = 'nav' THEN {_unesc(_strip("x"))} END AS title,
+  CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS location, CASE WHEN kind <> 'nav' THEN {_unesc(_strip("x"))} END AS description,
+  CASE WHEN kind = 'nav' THEN {_unesc(_HREF)} END AS url, CAST(NULL AS VARCHAR) AS salary, CAST(NULL AS VARCHAR) AS posted_date FROM r""")(_listing_items)
+
 
 def _no_new_stream(s, d):
     src = work_path(s, "landing", "signups")
@@ -186,3 +215,40 @@ def _errors_1h_stream(s, d):
 register("errors_1h_stream", _WE + f""", w AS ({_win_sql(60, 10)})
 SELECT c.window_start, c.window_end, c.errors, c.errors > 10 AND coalesce(p.errors, 0) > 10 AS alert
 FROM w c LEFT JOIN w p ON p.window_start + INTERVAL 10 MINUTE = c.window_start""")(_errors_1h_stream)
+
+# ---------------------------------------------------------------- rules with state
+
+
+def _in_three_runs(s, rows, order, name, transform):
+    """Rows landed in three parts by ``order``, the stream restarted for each from one checkpoint."""
+    cuts = rows.select(F.percentile(order, [1 / 3, 2 / 3])).first()[0]
+    src, out, ckpt = work_path(s, "landing", name), work_path(s, "sink", name), work_path(s, "ckpt", name)
+    part = F.when(F.col(order) <= cuts[0], 0).when(F.col(order) <= cuts[1], 1).otherwise(2)
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(src)
+        stream = s.readStream.schema(rows.schema).parquet(src)
+        I.run_to_parquet(transform(stream), out, ckpt)
+    return s.read.parquet(out)
+
+
+def _stop_sql(ends: str) -> str:
+    """A source's pages up to its first end are kept; streaks by gaps and islands over all its pages."""
+    return with_views("source_pages") + f""", e AS (SELECT *, rank - max(CASE WHEN n_postings > 0 THEN rank ELSE 0 END) OVER w AS empties, rank - max(CASE WHEN NOT failed THEN rank ELSE 0 END) OVER w AS fails
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) AS rank FROM source_pages) WINDOW w AS (PARTITION BY source ORDER BY page)),
+k AS (SELECT *, page <= coalesce(min(CASE WHEN {ends} THEN page END) OVER (PARTITION BY source), page) AS kept FROM e)
+SELECT source, page, n_postings, CASE WHEN kept THEN 'kept' ELSE 'after_stop' END AS status, CASE WHEN kept THEN empties ELSE 0 END AS empty_streak,
+  CASE WHEN kept THEN fails ELSE 0 END AS failure_streak, kept AND fails >= 5 AS alert FROM k"""
+
+
+for _name, _max, _ends in (("stream_stop", None, "n_postings = 0 OR NOT has_next"), ("stream_stop_streak", 3, "empties >= 3")):
+    register(_name, _stop_sql(_ends))(
+        lambda s, d, name=_name, most=_max: _in_three_runs(s, B.view(s, d, "source_pages").drop("ts"), "page", name, lambda x: ST.stop_pages(x, most)))
+
+register("no_new_timer", with_views("source_new") + """, n AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS following,
+  max(ts) OVER () - INTERVAL 1 HOUR AS watermark FROM (SELECT DISTINCT source, ts FROM source_new)),
+g AS (SELECT * FROM n WHERE coalesce(following > ts + INTERVAL 25 HOUR, ts + INTERVAL 25 HOUR < watermark))
+SELECT source, 'fired' AS event, ts + INTERVAL 25 HOUR AS at, ts AS last_seen FROM g
+UNION ALL SELECT source, 'cleared', following, ts FROM g WHERE following IS NOT NULL""")(
+    lambda s, d: _in_three_runs(s, B.view(s, d, "source_new").select("source", F.col("ts").cast("timestamp").alias("ts"), F.col("ts").cast("timestamp").cast("double").alias("t")),
+                                "t", "no_new_timer", ST.no_new_alerts)
+    .select("source", "event", F.col("at").cast("timestamp_ntz").alias("at"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen")))
