@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derived as D
 from . import filters as FL
-from .quantiles import exact_quantiles, quantiles_and_ranked
+from .quantiles import summarised_quantiles
 
 
 def _c(c) -> Column:
@@ -219,22 +219,12 @@ def salary_values(df: DataFrame, key: Column, name: str) -> DataFrame:
 def salary_summary(df: DataFrame, key: Column, name: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Count, min, mean, max and exact quartiles of the salary value per group.
 
-    Quartiles come from a range-partitioned distributed selection
-    (``exact_quantiles``), so a category holding a third of all rows is
-    spread over many tasks instead of being buffered in one.  The other
-    statistics are read from the same checkpointed values (one derivation).
+    Quartiles come from ``summarised_quantiles``: brackets by sketches, then
+    counts, so that no full set of values is shuffled or held by one task.
     """
-    base = salary_values(df, key, name)
-    q, vals = quantiles_and_ranked(base, [name], "salary_value", probs)
-    stats = vals.groupBy(name).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("min_salary"),
-        F.round(F.avg("_v"), 2).alias("mean_salary"),
-        F.max("_v").alias("max_salary"))
-    q = q.groupBy(name).pivot("p", list(probs)).agg(F.first("q"))
-    labels = {p: f"p{int(round(p * 100))}_salary" for p in probs}
-    q = q.select(name, *[F.round(F.col(f"`{p}`"), 2).alias(labels[p]) for p in probs])
-    return stats.join(q, on=name, how="left")
+    out = summarised_quantiles(salary_values(df, key, name), [name], "salary_value", probs)
+    return out.select(name, "n", F.col("least").alias("min_salary"), F.round("mean", 2).alias("mean_salary"), F.col("most").alias("max_salary"),
+                      *[F.round(F.get("q", F.lit(i)), 2).alias(f"p{int(round(p * 100))}_salary") for i, p in enumerate(probs)])
 
 
 def salary_by_category(df: DataFrame) -> DataFrame:
@@ -253,11 +243,8 @@ def salary_trend(df: DataFrame, col: str = "activation_time") -> DataFrame:
     """Monthly mean and median salary."""
     month = F.date_trunc("MONTH", F.col(col)).cast("timestamp_ntz")
     base = salary_values(df.where(F.col(col).isNotNull()), month, "month")
-    stats = base.groupBy("month").agg(F.count(F.lit(1)).alias("n"),
-                                      F.round(F.avg("salary_value"), 2).alias("mean_salary"))
-    med = exact_quantiles(base, ["month"], "salary_value", (0.5,)).select(
-        "month", F.round("q", 2).alias("median_salary"))
-    return stats.join(med, on="month", how="left")
+    out = summarised_quantiles(base, ["month"], "salary_value", (0.5,))
+    return out.select("month", "n", F.round("mean", 2).alias("mean_salary"), F.round(F.get("q", F.lit(0)), 2).alias("median_salary"))
 
 
 def activity_7d(df: DataFrame, as_of, days: int = 7, col: str = "activation_time") -> DataFrame:

@@ -19,7 +19,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, work_path
+
+#: Of percentile_approx: a quantile's rank is off by at most 1 / ACCURACY of the group's rows.
+ACCURACY = 10_000
 
 
 def _null_safe_on(left: str, right: str, cols: list[str]):
@@ -93,3 +96,72 @@ def quantiles_and_ranked(df: DataFrame, keys: list[str], value: str, probs, num_
         F.max("frac").alias("_frac"))
     q = out.select(*keys, "p", (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("q"))
     return q, ranked.select(*keys, "_v")
+
+
+def summarised_quantiles(df: DataFrame, keys: list[str], value: str, probs, accuracy: int = ACCURACY) -> DataFrame:
+    """A row per group of non-null values: ``keys``, n, least, mean, most and the array ``q`` of exact quantiles, as ``probs``.
+
+    First pass: sketches (combined map-side) give for each quantile a bracket of
+    two values that holds it.  Second pass: values outside all brackets of their
+    group are only counted, by the brackets above them; those inside are counted
+    by value.  So what is shuffled is a row per group and task, and the distinct
+    values inside brackets, some 4 / ``accuracy`` of a group for each quantile;
+    running counts over these find the wanted ranks, and linear interpolation
+    the quantiles.  A rank that no bracket holds (a sketch off by more than its
+    bound) is found by ``exact_quantiles`` instead.  The result is written and
+    reread: it has a row per group.
+    """
+    spark, probs = df.sparkSession, [float(p) for p in probs]
+    base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)  # two passes; lost blocks are derived again, to the same values
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        path = work_path(spark, "quantiles", name)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    margin = 2.0 / accuracy
+    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    stats = stored(base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.avg("_v").alias("mean"), F.max("_v").alias("most"),
+        F.percentile_approx("_v", edges, accuracy).alias("_edges")), "stats")
+    low = [F.when(F.lit(edges[2 * i] > 0), F.get("_edges", F.lit(2 * i))).otherwise(F.col("least")) for i in range(len(probs))]
+    high = [F.when(F.lit(edges[2 * i + 1] < 1), F.get("_edges", F.lit(2 * i + 1))).otherwise(F.col("most")) for i in range(len(probs))]
+    brackets = stats.select(*keys, F.array(*low).alias("_low"), F.array(*high).alias("_high"))
+    joined = base.alias("b").join(brackets.alias("k"), _null_safe_on("b", "k", keys)).select(
+        *[F.col(f"b.`{k}`").alias(k) for k in keys], "_v", "_low", "_high")
+    inside = functools.reduce(operator.or_, [(F.col("_v") >= F.get("_low", F.lit(i))) & (F.col("_v") <= F.get("_high", F.lit(i))) for i in range(len(probs))])
+    below = [F.sum(F.when(F.col("_w").isNull() & (F.col("_v") < F.get("_low", F.lit(i))), 1).otherwise(0)).alias(f"_b{i}") for i in range(len(probs))]
+    counted = joined.withColumn("_w", F.when(inside, F.col("_v"))).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_c"), *below)
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(F.asc_nulls_first("_w")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_before", F.coalesce(F.sum(F.when(F.col("_w").isNotNull(), F.col("_c"))).over(upto), F.lit(0)))
+    ranked = ranked.withColumns({f"_b{i}": F.max(f"_b{i}").over(group) for i in range(len(probs))})
+    with_n = ranked.where(F.col("_w").isNotNull()).alias("b").join(stats.alias("k"), _null_safe_on("b", "k", keys)).select(
+        *[F.col(f"b.`{k}`").alias(k) for k in keys], "_w", "_c", "_before", *[f"_b{i}" for i in range(len(probs))], "n", "least", "mean", "most",
+        F.array(*low).alias("_low"), F.array(*high).alias("_high"))
+
+    def at(i: int, rank):
+        """The value of that rank (from 0) where its bracket holds it."""
+        start = F.col(f"_b{i}") + F.col("_before")  # outside all brackets and below this one, and inside any bracket and below
+        held = (F.col("_w") >= F.get("_low", F.lit(i))) & (F.col("_w") <= F.get("_high", F.lit(i)))
+        return F.max(F.when(held & (start <= rank) & (rank < start + F.col("_c")), F.col("_w")))
+
+    found = []
+    for i, p in enumerate(probs):
+        position = F.lit(p) * (F.col("n") - 1)
+        found += [at(i, F.floor(position)).alias(f"_lo{i}"), at(i, F.ceil(position)).alias(f"_hi{i}")]
+    found = with_n.groupBy(*keys).agg(*found)
+    by = stats.drop("_edges").alias("b").join(found.alias("k"), _null_safe_on("b", "k", keys), "left").select(
+        *[F.col(f"b.`{k}`") for k in keys], "n", "least", "mean", "most", *[f"_{e}{i}" for i in range(len(probs)) for e in ("lo", "hi")])
+    q = [F.col(f"_lo{i}") + (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, p in enumerate(probs)]
+    out = stored(by.select(*keys, "n", "least", "mean", "most", F.array(*q).alias("q")), "result")
+    missed = out.where(F.exists("q", lambda x: x.isNull()))
+    if not missed.isEmpty():
+        again = base.alias("b").join(missed.select(*keys).alias("k"), _null_safe_on("b", "k", keys), "left_semi")
+        exact = exact_quantiles(again, keys, "_v", probs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("_pq"))
+        fixed = missed.drop("q").alias("b").join(exact.alias("k"), _null_safe_on("b", "k", keys)).select(
+            *[F.col(f"b.`{c}`") for c in out.columns if c != "q"], F.col("_pq.q").alias("q"))
+        out = stored(out.where(~F.exists("q", lambda x: x.isNull())).unionByName(fixed), "mended")
+    base.unpersist()
+    return out
