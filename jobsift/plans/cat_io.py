@@ -16,6 +16,7 @@ from ..operators import search as R
 from ..session import work_path
 from ..sources import api as API
 from ..sources import readers as RD
+from ..sources import records as RC
 from ..sources import sinks as K
 from . import binding as B
 from .oracle import with_views
@@ -319,3 +320,29 @@ register("migrate_postings", W + """SELECT id AS source_id, coalesce(title, '')
         "id", "title", F.col("company_name_en").alias("company"), D.primary_city().alias("location"), "url",
         F.col("raw_data").alias("metadata"))))
 register("read_legacy_table", _P_SQL)(lambda s, d: (P(s, d), RD.read_legacy_table(s, "postings"))[1])
+
+
+# ---------------------------------------------------------------- files of any size, by lines
+
+
+def _csv_records(s, d):
+    path = work_path(s, "csv", "texts")
+    docs = B.table(s, d, "documents").select("doc_id", "lang", "text")
+    docs.write.options(header="true", quoteAll="true", escape='"', nullValue=K.NULL_MARK, emptyValue="", ignoreLeadingWhiteSpace="false",
+                       ignoreTrailingWhiteSpace="false").csv(path)
+    return RC.scan_csv_records(s, path, "doc_id long, lang string, text string", null_value=K.NULL_MARK)
+
+
+def _json_records(s, d):
+    """Pretty-printed arrays of 500 documents each."""
+    path = work_path(s, "json", "arrays")
+    one = F.to_json(F.struct("doc_id", "lang", "text"), {"pretty": "true"})
+    arrays = B.table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / 500)).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list(one), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return RC.scan_json_records(s, path, "doc_id long, lang string, text string")
+
+
+register("scan_csv_records", "SELECT doc_id, lang, coalesce(text, '') AS text FROM documents")(
+    lambda s, d: _csv_records(s, d).withColumn("text", F.coalesce("text", F.lit(""))))
+register("scan_json_records", "SELECT doc_id, lang, text FROM documents")(_json_records)

@@ -33,7 +33,9 @@ CLOSES = {"li": (["li"], ["ul", "ol"]), "dt": (["dt", "dd"], ["dl"]), "dd": (["d
 P_STOPS = ["button", "td", "th", "table"]
 # --- end of fixed values --------------------------------------------------
 
-_TAG = r"</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"
+# Possessive repeats of groups loop; plain ones would nest a call for each sign of a long tag.
+_TAG = r"</?[a-zA-Z][^\s/>]*+(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
+_PAIR = r"""(?<=[\s"'/])([^\s"'>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)"""
 #: Comments, scripts and styles (to the end of the page where they are not closed), declarations, tags, text, lone signs.
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[!?][^>]*>|{_TAG}|[^<]+|<"
 
@@ -67,9 +69,10 @@ def _let(value: Column, body) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value (quoted either way or bare), null where the tag has none."""
-    found = rf"""(?is)^<[^\s/>]+(?:[^>"']|"[^"]*"|'[^']*')*?[\s"'/]{re.escape(name)}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    value = F.regexp_extract(tag, found, 1)
-    return F.when(value != "", unescape(F.regexp_replace(value, r"""^["']|["']$""", "")))
+    names = F.regexp_extract_all(tag, F.lit(_PAIR), F.lit(1))
+    at = F.array_position(F.transform(names, F.lower), name)
+    value = F.get(F.regexp_extract_all(tag, F.lit(_PAIR), F.lit(2)), (at - 1).cast("int"))
+    return F.when(at > 0, unescape(F.regexp_replace(value, r"""^["']|["']$""", "")))
 
 
 def matches(tag: Column, selector: str) -> Column:
@@ -86,7 +89,8 @@ def matches(tag: Column, selector: str) -> Column:
             elif part[0] == "#":
                 both &= F.coalesce(attribute(tag, "id") == part[1:], F.lit(False))
             elif part[0] == "[":
-                both &= tag.rlike(rf"""(?is)^<[^\s/>]+(?:[^>"']|"[^"]*"|'[^']*')*?[\s"'/]{re.escape(part[1:-1])}[\s=/>]""")
+                bare = F.regexp_replace(tag, r"""=\s*(?:"[^"]*"|'[^']*')""", "= ")
+                both &= bare.rlike(rf"""(?i)[\s/]{re.escape(part[1:-1])}[\s=/>]""")
             else:
                 both &= F.lower(F.regexp_extract(tag, r"^<([^\s/>]+)", 1)) == part.lower()
         hit |= both

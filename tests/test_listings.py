@@ -61,3 +61,11 @@ def test_a_long_page(spark):
     got = rows.select(F.count("*"), F.count_distinct("position"), F.sum((F.col("title") == F.concat(F.lit("t"), F.col("position"))).cast("int")),
                       F.sum((F.col("url") == F.concat(F.lit("/"), F.col("position"))).cast("int"))).first()
     assert tuple(got) == (2000, 2000, 2000, 2000)
+
+
+def test_very_long_tags_and_texts(spark):
+    """A hundred thousand signs in a tag, a quoted value, a comment, a text."""
+    big = "x" * 100_000
+    page = f"<!-- {big} --><li class='a' {big} title=\"{big}\" " + "k=v " * 20_000 + f">{big}</li><li {'y ' * 50_000} class=a>two</li><li class='a"
+    got = items(spark, page, LI.Selectors(item="li.a", title=":scope"))
+    assert [len(r["title"]) for r in got] == [100_000, 3]
