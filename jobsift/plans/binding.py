@@ -74,12 +74,17 @@ SELECT CAST(floor(event_id / 4) AS BIGINT) AS batch_id,
 FROM events
 """
 
+# A quarter of the errors come together at the start of their day: bursts, so that alert rules see both outcomes.
 ERRORS_SQL = """
-SELECT event_id, ts, concat('type', CAST(user_id % 3 AS STRING)) AS error_type, value, props
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) ELSE CAST(ts AS TIMESTAMP) END AS ts,
+       concat('type', CAST(user_id % 3 AS STRING)) AS error_type, value, props
 FROM events WHERE event_type = 'error'
 """
 
-SIGNUPS_SQL = "SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'signup'"
+# No signups on three days of each ten: gaps in which the absence alert holds.
+SIGNUPS_SQL = """
+SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'signup' AND extract(DAY FROM ts) % 10 NOT IN (4, 5, 6)
+"""
 
 # Second version of the postings for merge / audit: every tenth id removed,
 # ids ending in 1 retitled, the removed rows re-appearing under new ids.
