@@ -17,6 +17,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("jobsift-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g")  # one session runs all tests
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
          .getOrCreate())

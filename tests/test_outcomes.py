@@ -17,4 +17,4 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(RULES))
 def test_both_outcomes(con, name):
-    assert con.sql(f"SELECT count(DISTINCT {RULES[name]}) FROM ({registry.ORACLE[name]})").fetchone()[0] > 1
+    assert con.sql(f"SELECT count(DISTINCT {RULES[name]}) FROM ({registry.ORACLE[name]})").fetchall()[0][0] > 1
