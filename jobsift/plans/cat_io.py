@@ -247,14 +247,45 @@ register("restore_snapshot", W + """SELECT *, TIMESTAMP '2024-02-01 00:00:00' AS
   TIMESTAMP '2024-02-01 00:00:00' AS updated_at FROM postings""")(_snapshot_restore)
 
 
+def _text_files(s, d):
+    """The texts of ``documents`` as files, a hundred documents each."""
+    path = work_path(s, "files", "texts")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))), lambda r: r["t"])
+    B.table(s, d, "documents").groupBy(F.floor(F.col("doc_id") / 100)).agg(F.array_join(texts, "\n").alias("value")).select(
+        "value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_FILES_SQL = """SELECT sha256(t) AS sha256, CAST(octet_length(encode(t)) AS BIGINT) AS size
+FROM (SELECT string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY doc_id // 100)"""
+
+
 def _list_snapshots(s, d):
     root = work_path(s, "backups")
     K.snapshot(P(s, d), root, TS)
-    K.snapshot(P(s, d).where("batch_id = 'b1'"), root, TS + _dt.timedelta(hours=1), include_files=True)
-    return K.list_snapshots(s, root)
+    K.snapshot(P(s, d), root, TS + _dt.timedelta(hours=1), files_root=_text_files(s, d))
+    return K.list_snapshots(s, root).select(
+        "name", "location", "metadata.backup_type", "metadata.files_included", "metadata.n_rows",
+        # beside the texts the folder holds the success mark and its checksum files
+        (F.col("metadata.file_bytes") > 0).alias("has_files"), (F.col("size_bytes") > F.col("metadata.file_bytes")).alias("sized"))
+
+
+register("list_snapshots", W + """, n AS (SELECT count(*) AS n_rows FROM postings)
+SELECT '20240201_000000' AS name, 'local' AS location, 'database_only' AS backup_type, false AS files_included, n_rows,
+  false AS has_files, true AS sized FROM n
+UNION ALL SELECT '20240201_010000', 'local', 'full', true, n_rows, true, true FROM n""")(_list_snapshots)
+
+
+def _snapshot_files(s, d):
+    """The text files after a snapshot and its restore, by their bytes."""
+    path = K.snapshot(P(s, d).select("id"), work_path(s, "backups"), TS, files_root=_text_files(s, d))
+    to = work_path(s, "files", "restored")
+    K.restore_snapshot_files(s, path, to)
+    return s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(to).select(
+        F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
-register("list_snapshots")(_list_snapshots)
+register("snapshot_files", _FILES_SQL)(_snapshot_files)
 
 
 def _export_search(s, d):

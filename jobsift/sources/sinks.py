@@ -20,6 +20,7 @@ from ..operators import cleaning as CO
 from ..operators import epochs as EP
 from ..operators import merge as U
 from ..operators.search import JSON_COLUMNS
+from . import files as FI
 from . import readers as RD
 
 JSON_OPTS = {"ignoreNullFields": "false"}
@@ -194,30 +195,59 @@ def quarantine_sample(df: DataFrame, n: int = 5, order: str = "id") -> tuple[Dat
     return sample, df.select(*scalars)
 
 
-def snapshot(df: DataFrame, root: str, ts: _dt.datetime, include_files: bool = False) -> str:
-    """Full dump + one metadata row (backup_date, backup_type, db_included, files_included)."""
+_SNAPSHOT_META = ("backup_date timestamp_ntz, backup_type string, db_included boolean, files_included boolean, "
+                  "n_rows long, n_files long, file_bytes long")
+
+
+def snapshot(df: DataFrame, root: str, ts: _dt.datetime, files_root: str | None = None) -> str:
+    """Full dump, with ``files_root`` also a copy of every file below it and
+    their manifest (name, size, sha256), and last one metadata row, so that a
+    snapshot without metadata is one that did not finish.  Counts come from
+    what was written."""
     spark = df.sparkSession
     path = f"{root}/snapshot={ts.strftime('%Y%m%d_%H%M%S')}"
     write_parquet(df, f"{path}/data")
-    meta = spark.createDataFrame([(ts, "full" if include_files else "database_only", True, include_files)],
-                                 "backup_date timestamp_ntz, backup_type string, db_included boolean, "
-                                 "files_included boolean")
+    n_rows = spark.read.parquet(f"{path}/data").count()
+    n_files = n_bytes = 0
+    if files_root:
+        copied = FI.copy_files(spark, files_root, f"{path}/files", f"{path}/manifest")
+        n_files, n_bytes = copied.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    meta = spark.createDataFrame([(ts, "full" if files_root else "database_only", True, bool(files_root), n_rows, n_files,
+                                   n_bytes)], _SNAPSHOT_META)
     meta.coalesce(1).write.mode("errorifexists").json(f"{path}/metadata")
     return path
 
 
+def _snapshot_metadata(spark: SparkSession, path: str):
+    row = spark.read.schema(_SNAPSHOT_META).json(f"{path}/metadata").first()
+    if row is None:
+        raise FileNotFoundError(f"snapshot {path} has no metadata")
+    return row
+
+
 def restore_snapshot(spark: SparkSession, path: str, table: str, now, key: str = "id") -> int:
     """Metadata required, then upsert every row into the table of epochs
     under ``table``; returns the new epoch."""
-    meta = spark.read.schema("backup_date timestamp_ntz, backup_type string, db_included boolean, "
-                             "files_included boolean").json(f"{path}/metadata")
-    if meta.limit(1).count() == 0:
-        raise FileNotFoundError(f"snapshot {path} has no metadata")
+    _snapshot_metadata(spark, path)
     return EP.append(spark.read.parquet(f"{path}/data"), table, EP.next_epoch(spark, table), now, key)
 
 
+def restore_snapshot_files(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """The files of a snapshot, verified against its manifest and its metadata, copied to ``to``."""
+    meta = _snapshot_metadata(spark, path)
+    if not meta["files_included"]:
+        raise ValueError(f"snapshot {path} holds no files")
+    manifest = spark.read.schema(FI.MANIFEST).parquet(f"{path}/manifest")
+    recorded = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if tuple(recorded) != (meta["n_files"], meta["file_bytes"]):
+        raise ValueError(f"the manifest of {path} is not the one its metadata counts")
+    return FI.restore_files(spark, manifest, f"{path}/files", to)
+
+
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Per snapshot: name, path, size_bytes, size_mb, created_at; newest first.
+    """Per snapshot: name, path, size_bytes, size_mb, created_at, location
+    (``local`` or the scheme of its path) and its metadata row (null where the
+    snapshot did not finish); newest first.
 
     File sizes come from the ``binaryFile`` source with the content column
     pruned, so only listing metadata is read.
@@ -227,9 +257,16 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     snap = F.regexp_extract("path", r"(.*/snapshot=[^/]+)", 1)
     per = files.where(snap != "").groupBy(snap.alias("path")).agg(
         F.sum("length").alias("size_bytes"), F.min("modificationTime").alias("created_at"))
-    return per.select(F.regexp_extract("path", r"snapshot=([^/]+)$", 1).alias("name"), "path", "size_bytes",
-                      F.round(F.col("size_bytes") / 1048576, 2).alias("size_mb"), "created_at").orderBy(
-        F.desc("created_at"), F.desc("name"))
+    name = F.regexp_extract("path", r"snapshot=([^/]+)", 1)
+    scheme = F.regexp_extract("path", "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    fields = [f.split()[0] for f in _SNAPSHOT_META.split(", ")]
+    meta = spark.read.schema(_SNAPSHOT_META).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.json").json(root).select(
+        F.col("_metadata.file_path").alias("path"), F.struct(*fields).alias("metadata")).where(
+        F.col("path").rlike(r"/snapshot=[^/]+/metadata/[^/]+$")).select(name.alias("name"), "metadata")
+    return per.select(name.alias("name"), "path", "size_bytes", F.round(F.col("size_bytes") / 1048576, 2).alias("size_mb"),
+                      "created_at", F.when(scheme.isin("", "file"), "local").otherwise(scheme).alias("location")).join(
+        meta, "name", "left").orderBy(F.desc("created_at"), F.desc("name"))
 
 
 def store_postings(df: DataFrame, path: str, compression: str = "zstd") -> str:
