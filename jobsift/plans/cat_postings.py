@@ -8,6 +8,8 @@ from ..functions import derived as D
 from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import search as R
+from ..operators import textindex as X
+from ..session import work_path
 from . import binding as B
 from .oracle import AS_OF, salary_value, with_views
 from .registry import register
@@ -271,3 +273,18 @@ def _keyset_page2(s, d):
 
 register("search_keyset", _TW + f"""SELECT * FROM postings_text WHERE {_SEARCH_WHERE}
 ORDER BY activation_time DESC NULLS LAST, id ASC LIMIT 25 OFFSET 25""")(_keyset_page2)
+
+
+def _indexed(s, d):
+    """The postings stored with their texts, and the index of the table."""
+    table = work_path(s, "table", "texts")
+    B.view(s, d, "postings_text").write.parquet(table)
+    return table, X.build_index(s, table, work_path(s, "index", "texts"))
+
+
+register("search_indexed", _TW + f"""SELECT * FROM postings_text WHERE {_SEARCH_WHERE}
+ORDER BY activation_time DESC NULLS LAST, id ASC LIMIT 25 OFFSET 25""")(
+    lambda s, d: X.search_indexed(s, *_indexed(s, d), keyword="high", location="europe", company="customer", page=2)[0])
+register("search_indexed_hits", _TW + """SELECT id, title, company_name_fa FROM postings_text
+WHERE (title ILIKE '%_rgent%build%' OR description ILIKE '%_rgent%build%') AND (company_name_en ILIKE '%0001%' OR company_name_fa ILIKE '%0001%')""")(
+    lambda s, d: X.matching_rows(s, *_indexed(s, d), keyword="_rgent%build", company="0001").select("id", "title", "company_name_fa"))
