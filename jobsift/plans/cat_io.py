@@ -350,6 +350,39 @@ register("migrate_postings", W + """SELECT id AS source_id, coalesce(title, '')
     lambda s, d: K.migrate_postings(P(s, d).select(
         "id", "title", F.col("company_name_en").alias("company"), D.primary_city().alias("location"), "url",
         F.col("raw_data").alias("metadata"))))
+# Old tables: some jobs share a source, tag types share a name, and the bridge names jobs and tags that are gone.
+_OLD_SQL = with_views("postings", "tags", "posting_tags") + """,
+oj AS (SELECT id, title, coalesce(CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN concat('S', CAST(CAST(id AS BIGINT) // 4 AS VARCHAR)) END, id) AS source_id,
+  CAST(id AS BIGINT) % 5 = 0 AS early FROM postings WHERE CAST(id AS BIGINT) % 9 <> 4),
+ot AS (SELECT name AS id, split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 3) AS name FROM tags WHERE name NOT LIKE 'STANDARD%'),
+jn AS (SELECT source_id, row_number() OVER (ORDER BY NOT early, source_id) AS number
+  FROM (SELECT source_id, bool_or(early) AS early FROM oj GROUP BY 1)),
+tn AS (SELECT name, row_number() OVER (ORDER BY name) AS number FROM (SELECT DISTINCT name FROM ot)),
+br AS (SELECT b.posting_id AS job_id, b.tag_name AS tag_id, jn.number AS j, tn.number AS t FROM posting_tags b
+  LEFT JOIN oj ON oj.id = b.posting_id LEFT JOIN jn ON jn.source_id = oj.source_id
+  LEFT JOIN ot ON ot.id = b.tag_name LEFT JOIN tn ON tn.name = ot.name)
+"""
+
+
+def _migrate(s, d):
+    """Two runs, the second over all rows: what the first numbered keeps its number."""
+    n = F.col("id").cast("long")
+    jobs = P(s, d).where(n % 9 != 4).select("id", "title", F.when(n % 7 == 0, F.concat(F.lit("S"), F.floor(n / 4).cast("string"))).alias("job_id"))
+    tags = B.view(s, d, "tags").where(~F.col("name").startswith("STANDARD")).select(
+        F.col("name").alias("id"), F.concat_ws(" ", F.split_part("name", F.lit(" "), F.lit(1)), F.split_part("name", F.lit(" "), F.lit(3))).alias("name"))
+    bridge = B.view(s, d, "posting_tags").select(F.col("posting_id").alias("job_id"), F.col("tag_name").alias("tag_id"))
+    root = work_path(s, "table", "numbers")
+    K.migrate_tables(jobs.where(n % 5 == 0), tags, bridge, root)
+    return K.migrate_tables(jobs, tags, bridge, root)
+
+
+register("migrate_jobs", _OLD_SQL + """SELECT number AS id, source_id, arg_max(title, id) AS title
+FROM oj JOIN jn USING (source_id) GROUP BY number, source_id""")(lambda s, d: _migrate(s, d)["jobs"].select("id", "source_id", "title"))
+register("migrate_tags", _OLD_SQL + "SELECT number AS id, name, '' AS description FROM tn")(lambda s, d: _migrate(s, d)["tags"])
+register("migrate_job_tags", _OLD_SQL + "SELECT DISTINCT j AS job_id, t AS tag_id FROM br WHERE j IS NOT NULL AND t IS NOT NULL")(
+    lambda s, d: _migrate(s, d)["job_tags"])
+register("migrate_orphans", _OLD_SQL + """SELECT DISTINCT job_id, tag_id, concat_ws(' ', CASE WHEN j IS NULL THEN 'job' END,
+  CASE WHEN t IS NULL THEN 'tag' END) AS lacks FROM br WHERE j IS NULL OR t IS NULL""")(lambda s, d: _migrate(s, d)["orphans"])
 register("read_legacy_table", _P_SQL)(lambda s, d: (P(s, d), RD.read_legacy_table(s, "postings"))[1])
 
 

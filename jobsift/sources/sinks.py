@@ -12,13 +12,14 @@ import re
 import unicodedata
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import cleaning as CO
 from ..operators import epochs as EP
 from ..operators import merge as U
+from ..operators import numbering as NU
 from ..operators.search import JSON_COLUMNS
 from . import files as FI
 from . import readers as RD
@@ -361,9 +362,10 @@ def import_postings(spark: SparkSession, path: str, table: str, now, fmt: str |
                                  "status string, total long, inserted long, updated long, errors long")
 
 
-def migrate_postings(old: DataFrame) -> DataFrame:
+def migrate_postings(old: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Old -> new schema: ``source_id = coalesce(job_id, id)``; defaults
-    ``''``, ``USD``, ``unknown``, ``{}``; ``still_active = true``."""
+    ``''``, ``USD``, ``unknown``, ``{}``; ``still_active = true``.  ``keep`` are
+    further columns of the old rows."""
     def c(name, default=None, dtype="string"):
         if name in old.columns:
             return F.coalesce(F.col(name).cast(dtype), F.lit(default)) if default is not None else F.col(name).cast(dtype)
@@ -372,8 +374,16 @@ def migrate_postings(old: DataFrame) -> DataFrame:
     src_id = F.coalesce(F.col("job_id").cast("string"), F.col("id").cast("string")) if "job_id" in old.columns \
         else F.col("id").cast("string")
     return old.select(
-        src_id.alias("source_id"), c("title", "").alias("title"), c("company", "").alias("company"),
+        *keep, src_id.alias("source_id"), c("title", "").alias("title"), c("company", "").alias("company"),
         c("location", "").alias("location"), c("description", "").alias("description"), c("url", "").alias("url"),
         c("salary_currency", "USD").alias("salary_currency"), c("job_type", "unknown").alias("job_type"),
         c("source_website", "unknown").alias("source_website"), c("metadata", "{}").alias("metadata"),
         F.lit(True).alias("still_active"))
+
+
+def migrate_tables(jobs: DataFrame, tags: DataFrame, job_tags: DataFrame, root: str) -> dict[str, DataFrame]:
+    """The old jobs, tags and job_tags as new tables, numbered under ``root``; see ``numbering.migrate_tables``."""
+    def migrated(old: DataFrame) -> DataFrame:
+        return migrate_postings(old, keep=(F.col("id").cast("string").alias("old_id"),))
+
+    return NU.migrate_tables(jobs, tags, job_tags, root, migrated)
