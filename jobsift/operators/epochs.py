@@ -17,7 +17,7 @@ One root has one numbering: a stream's epochs (from its checkpoint, see
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .merge import audit_feed, dedupe_batch, delete_by_id, with_audit_columns
@@ -51,7 +51,8 @@ def read(spark: SparkSession, root: str, after: int | None = None, upto: int | N
             .parquet(*[_folder(root, e) for e in found]))
 
 
-def append(rows: DataFrame, root: str, epoch: int, now=None, key: str = "id", order: list[str] | None = None) -> int:
+def append(rows: DataFrame, root: str, epoch: int, now=None, key: str = "id", order: list[str] | None = None,
+           counted: Observation | None = None) -> int:
     """Store a batch as an epoch; a matched key keeps its ``created_at``.
 
     ``order`` tells the last arrival among rows of one key; those of its columns
@@ -59,6 +60,7 @@ def append(rows: DataFrame, root: str, epoch: int, now=None, key: str = "id", or
     every column of the table (new ones may join); a lacking one is an error,
     since it could not be told from one set to NULL.  ``now`` is by default the
     time of writing: a replay replaces the epoch, so it need not repeat it.
+    ``counted`` observes the rows as they are written (``n``).
     """
     spark = rows.sparkSession
     earlier = finished(spark, root, upto=epoch - 1)
@@ -70,22 +72,41 @@ def append(rows: DataFrame, root: str, epoch: int, now=None, key: str = "id", or
             raise ValueError(f"an epoch carries every column of the table; the batch lacks {lacking}")
     now = F.current_timestamp() if now is None else now
     unique = dedupe_batch(given, key, order).drop(*[c for c in order or () if c.startswith("_")])
-    with_audit_columns(unique, now).write.mode("overwrite").parquet(_folder(root, epoch))
+    stored = with_audit_columns(unique, now)
+    if counted is not None:
+        stored = stored.observe(counted, F.count(F.lit(1)).alias("n"))
+    stored.write.mode("overwrite").parquet(_folder(root, epoch))
     return epoch
 
 
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the row of its newest epoch, ``created_at`` of its first: a two-phase aggregate on the key."""
+    columns = [c for c in rows.columns if c != "epoch"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c not in (key, "created_at")])
+    newest = rows.groupBy(key).agg(F.max_by(whole, "epoch").alias("_r"), F.min_by("created_at", "epoch").alias("created_at"))
+    return newest.select(*[F.col(f"`{c}`") if c in (key, "created_at") else F.col(f"_r.`{c}`").alias(c) for c in columns])
+
+
 def latest(spark: SparkSession, root: str, after: int | None = None, upto: int | None = None, key: str = "id") -> DataFrame:
     """The table: per key the row of its newest epoch, ``created_at`` of its first.
 
-    A two-phase aggregate on the key; with one epoch, which holds a key once, a scan.
+    The first epoch, the large one after a ``rewrite``, holds a key once: of it
+    the rows stay whose key no later epoch has.  Only the later epochs are
+    aggregated; against their keys the first is joined, so where they are few
+    (AQE measures them) its rows are not shuffled.  One epoch is a scan.
     """
     rows = read(spark, root, after, upto)
-    if len(finished(spark, root, after, upto)) == 1:
+    found = finished(spark, root, after, upto)
+    if len(found) == 1:
         return rows.drop("epoch")
-    columns = [c for c in rows.columns if c != "epoch"]
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns if c not in (key, "created_at")])
-    newest = rows.groupBy(key).agg(F.max_by(whole, "epoch").alias("_r"), F.min_by("created_at", "epoch").alias("created_at"))
-    return newest.select(*[F.col(f"`{c}`") if c in (key, "created_at") else F.col(f"_r.`{c}`").alias(c) for c in columns])
+    base = rows.where(F.col("epoch") == found[0]).drop("epoch")
+    later = _newest(rows.where(F.col("epoch") > found[0]), key)
+    replaced = later.select(F.col(f"`{key}`").alias("_key"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_key"))
+    first_stamps = base.join(replaced, same).select("_key", F.col("created_at").alias("_first"))
+    kept = base.join(replaced, same, "left_anti")
+    restamped = later.join(first_stamps, same, "left").withColumn("created_at", F.coalesce("_first", "created_at"))
+    return kept.unionByName(restamped.drop("_key", "_first"))
 
 
 def insert_new(rows: DataFrame, root: str, epoch: int, now=None, key: str = "id", order: list[str] | None = None) -> int:

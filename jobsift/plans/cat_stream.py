@@ -16,6 +16,7 @@ from ..sources import html as H
 from ..sources import listings as LI
 from ..streaming import alerts as T
 from ..streaming import ingest as I
+from ..streaming import resume as RE
 from ..streaming import state as ST
 from . import binding as B
 from .oracle import with_views
@@ -100,6 +101,57 @@ def _dedupe(s, d):
 register("stream_dedupe", with_views("arrivals") + "SELECT DISTINCT id FROM arrivals")(_dedupe)
 
 
+def _arrivals_in_order(s, d):
+    """Arrivals in four files by arrival order: page 1 brings each id again, long after its state is gone,
+    and every seventh row of it is a new id that is far behind the watermark."""
+    src = work_path(s, "landing", "arrivals")
+    day = F.make_dt_interval(F.col("position") % 40 + 60 * F.col("page"))
+    arr = B.view(s, d, "arrivals")
+    behind = (F.col("page") == 1) & (F.col("position") % 7 == 0)
+    arr = arr.select(F.when(behind, F.concat(F.lit("late"), "id")).otherwise(F.col("id")).alias("id"), "page",
+                     F.when(behind, F.lit("2020-01-01").cast("timestamp")).otherwise(F.lit("2024-01-01").cast("timestamp") + day).alias("ts"),
+                     (F.col("page") * 2 + F.col("position") % 2).alias("part"))
+    for part in range(4):
+        arr.where(F.col("part") == part).select("id", "ts").coalesce(1).write.mode("append").parquet(src)
+    return src
+
+
+def _dedupe_exact(s, d):
+    src = _arrivals_in_order(s, d)
+    stream = s.readStream.schema("id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    table, late = work_path(s, "table", "unique"), work_path(s, "table", "late")
+    I.stream_dedupe_exact(stream, table, work_path(s, "ckpt", "unique"), delay="7 days", late=late)
+    I.settle_late(s.read.parquet(src), table, late)
+    kinds = [EP.read(s, root).select("id", F.lit(kind).alias("kind")) for root, kind in ((table, "in time"), (late, "late"))]
+    return kinds[0].unionByName(kinds[1])
+
+
+register("stream_dedupe_exact", with_views("arrivals") + """SELECT DISTINCT
+  CASE WHEN page = 1 AND position % 7 = 0 THEN concat('late', id) ELSE id END AS id,
+  CASE WHEN page = 1 AND position % 7 = 0 THEN 'late' ELSE 'in time' END AS kind FROM arrivals""")(_dedupe_exact)
+
+
+_RESUME_AT = ("2024-01-03 06:00:00", "2024-01-20 00:00:00", "2024-12-31 00:00:00")
+
+
+def _resume(s, d):
+    """Three restarts: early, in the middle, and long after the last page."""
+    index = B.view(s, d, "source_pages").withColumnRenamed("ts", "arrival")
+    runs = []
+    for now in _RESUME_AT:
+        plan = RE.resume_plan(index, now)
+        again = RE.pages_to_replay(index, plan, now).groupBy("source").agg(F.count(F.lit(1)).alias("n_replayed"))
+        runs.append(plan.join(again, "source").withColumn("run_at", F.lit(now)))
+    return reduce(DataFrame.unionByName, runs)
+
+
+register("resume_plan", with_views("source_pages") + " UNION ALL ".join(f"""SELECT source, last_page, last_updated, resumed, first_page,
+  (SELECT count(*) FROM source_pages q WHERE q.source = t.source AND q.ts <= TIMESTAMP '{at}' AND q.page >= t.first_page) AS n_replayed, '{at}' AS run_at
+FROM (SELECT source, max(page) AS last_page, max(ts) AS last_updated, max(ts) >= TIMESTAMP '{at}' - INTERVAL 24 HOUR AS resumed,
+        CASE WHEN max(ts) >= TIMESTAMP '{at}' - INTERVAL 24 HOUR THEN greatest(max(page) - 5, 1) ELSE 1 END AS first_page
+      FROM source_pages WHERE ts <= TIMESTAMP '{at}' GROUP BY source) t""" for at in _RESUME_AT))(_resume)
+
+
 def _win_sql(length_min: int, slide_min: int) -> str:
     k = length_min // slide_min
     return f"""SELECT ws AS window_start, ws + INTERVAL {length_min} MINUTE AS window_end, count(*) AS errors

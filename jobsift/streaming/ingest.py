@@ -15,11 +15,12 @@ import datetime as _dt
 import time
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as CO
 from ..operators import epochs as EP
+from ..operators.merge import delete_by_id
 from ..sources import api as API
 from ..sources import sinks as K
 
@@ -58,6 +59,7 @@ def ingest_batch(table: str, ledger_path: str, quarantine_path: str | None = Non
     in the batch is stored (D9).
     """
     quarantine = quarantine_path or ledger_path + "_quarantine"
+    counted = F.count(F.lit(1)).alias("n")
 
     def run(landed: DataFrame, epoch_id: int) -> None:
         spark, epoch, began = landed.sparkSession, first_epoch + int(epoch_id), time.monotonic()
@@ -71,15 +73,15 @@ def ingest_batch(table: str, ledger_path: str, quarantine_path: str | None = Non
         event(0, "processing")
         cleaned = clean_batch(landed, f"epoch-{epoch}").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            API.malformed(landed).write.mode("overwrite").parquet(f"{quarantine}/pages/epoch={epoch}")
-            cleaned.where(~F.col("is_valid")).write.mode("overwrite").parquet(f"{quarantine}/rows/epoch={epoch}")
+            stored, bad, invalid = Observation(), Observation(), Observation()  # counted by the writes themselves
+            API.malformed(landed).observe(bad, counted).write.mode("overwrite").parquet(f"{quarantine}/pages/epoch={epoch}")
+            cleaned.where(~F.col("is_valid")).observe(invalid, counted).write.mode("overwrite").parquet(f"{quarantine}/rows/epoch={epoch}")
             valid = cleaned.where("is_valid").drop("is_valid", "reject_reason")
-            EP.append(valid, table, epoch, order=["_page", "_position"])
-            stored = spark.read.parquet(f"{table}/epoch={epoch}")
+            EP.append(valid, table, epoch, order=["_page", "_position"], counted=stored)
             if files_root:
-                K.write_batch_triple(stored, f"{files_root}/epoch={epoch}", epoch, _dt.datetime.fromtimestamp(0), mode="overwrite")
-            bad, invalid = (spark.read.schema("page long").parquet(f"{quarantine}/{kind}/epoch={epoch}").count() for kind in ("pages", "rows"))
-            event(1, "completed", stored.count(), None, bad, invalid)
+                K.write_batch_triple(spark.read.parquet(f"{table}/epoch={epoch}"), f"{files_root}/epoch={epoch}", epoch,
+                                     _dt.datetime.fromtimestamp(0), mode="overwrite")
+            event(1, "completed", stored.get["n"], None, bad.get["n"], invalid.get["n"])
         except Exception as error:
             event(1, "failed", error=str(error))
             raise
@@ -114,6 +116,35 @@ def stream_dedupe(events: DataFrame, key: str = "id", time: str = "ts", delay: s
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def stream_dedupe_exact(events: DataFrame, table: str, checkpoint: str, key: str = "id", time: str = "ts", delay: str = "7 days",
+                        late: str | None = None):
+    """T02 without forgetting: the watermark's state, bounded by ``delay``, drops
+    the duplicates that come soon; what it lets through is stored only if no
+    epoch of ``table`` (nor of ``late``) holds its key, so one that comes after
+    its state is gone is dropped too.  Rows behind the watermark do not pass;
+    ``settle_late`` takes them.
+    """
+    def store(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        if late and EP.finished(spark, late):
+            batch = delete_by_id(batch, EP.read(spark, late), key)
+        EP.insert_new(batch, table, int(epoch_id) + 1, key=key, order=[time])
+
+    q = (stream_dedupe(events, key, time, delay).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def settle_late(landed: DataFrame, table: str, late: str, key: str = "id", time: str = "ts") -> int:
+    """Rows of ``landed`` whose key neither ``table`` nor ``late`` holds become an epoch of ``late``: those that the
+    watermark left out before their key was stored.  ``landed`` is what came since the last call, or more; run it
+    while the stream is down.  Returns the epoch."""
+    spark = landed.sparkSession
+    missing = delete_by_id(landed, EP.read(spark, table), key) if EP.finished(spark, table) else landed
+    return EP.insert_new(missing.where(F.col(key).isNotNull()), late, EP.next_epoch(spark, late), key=key, order=[time])
+
+
 def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append"):
     """Drain a streaming frame into parquet with ``availableNow`` and wait."""
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
