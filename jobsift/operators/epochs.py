@@ -99,8 +99,9 @@ def latest(spark: SparkSession, root: str, after: int | None = None, upto: int |
     found = finished(spark, root, after, upto)
     if len(found) == 1:
         return rows.drop("epoch")
-    base = rows.where(F.col("epoch") == found[0]).drop("epoch")
-    later = _newest(rows.where(F.col("epoch") > found[0]), key)
+    # read apart, so that each side's size is that of its own files when the join is planned
+    base = spark.read.schema(rows.drop("epoch").schema).parquet(_folder(root, found[0]))
+    later = _newest(read(spark, root, after=found[0], upto=upto), key)
     replaced = later.select(F.col(f"`{key}`").alias("_key"))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_key"))
     first_stamps = base.join(replaced, same).select("_key", F.col("created_at").alias("_first"))
