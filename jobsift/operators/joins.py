@@ -35,9 +35,20 @@ def search_hits(searches: DataFrame, results: DataFrame, postings: DataFrame) ->
 
 
 def run_postings(postings: DataFrame, runs: DataFrame, posting_run: str = "batch_id",
-                 run_key: str = "run_id") -> DataFrame:
-    """Each posting with its run (1:N, left join on the run id)."""
-    return postings.join(runs, postings[posting_run] == runs[run_key], "left")
+                 run_key: str = "run_id", broadcast_rows: int = 100_000, pieces: int = 64) -> DataFrame:
+    """Each posting with its run (1:N, left join on the run id).
+
+    Runs are counted first (up to the bound): at most ``broadcast_rows`` are
+    broadcast and no posting moves.  More are copied ``pieces`` times and each
+    posting meets one copy, by the hash of its whole row, so that a run holding
+    most postings is spread over as many tasks.
+    """
+    if runs.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return postings.join(F.broadcast(runs), postings[posting_run] == runs[run_key], "left")
+    copies = runs.withColumn("_piece_run", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    cut = postings.withColumn("_piece", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in postings.columns]), F.lit(pieces)).cast("int"))
+    same = (cut[posting_run] == copies[run_key]) & (cut["_piece"] == copies["_piece_run"])
+    return cut.join(copies, same, "left").drop("_piece", "_piece_run")
 
 
 def has_tag(postings: DataFrame, bridge: DataFrame, tag_filter, key: str = "id",

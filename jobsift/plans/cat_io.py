@@ -15,6 +15,7 @@ from ..operators import merge as U
 from ..operators import search as R
 from ..session import work_path
 from ..sources import api as API
+from ..sources import fallback as FB
 from ..sources import readers as RD
 from ..sources import records as RC
 from ..sources import sinks as K
@@ -104,6 +105,52 @@ register("scan_with_fallback", with_views("arrivals") + f"""SELECT {_ARR_COLS} F
   WHERE id IS NOT NULL) t WHERE rn = 1""")(_fallback)
 
 
+_ARRIVAL_SCHEMA = POSTINGS_SCHEMA + ", page int, position int"
+_TORN = "length(id) > 0 AND page % 3 = 1 AND position % 4 = 2"
+
+
+def _land_arrivals(s, d, fmt):
+    """Arrivals as text in folders by lot (page modulo 8); every twelfth or so is cut off in its middle."""
+    root = work_path(s, "landing")
+    rows = B.view(s, d, "arrivals").select(*[c.strip() for c in _ARR_COLS.split(",")])
+    lot = F.pmod("page", F.lit(8)).alias("lot")
+    torn = rows.where(_TORN)
+    whole = rows.where(f"({_TORN}) IS NOT TRUE")
+    if fmt == "json":
+        path = f"{root}/raw_data/arrivals.json"
+        whole.select(F.to_json(F.struct(*rows.columns)).alias("value"), lot).write.partitionBy("lot").text(path)
+        torn.select(F.format_string('{"id": "%s", "page": %d, "position": %d, "title":', "id", "page", "position").alias("value"),
+                    lot).write.mode("append").partitionBy("lot").text(path)
+    else:
+        s.range(1).select(F.lit("[]").alias("value")).write.text(f"{root}/raw_data/none.json")
+        path = f"{root}/processed_data/arrivals.csv"
+        opts = {"header": True, "escape": '"', "nullValue": K.NULL_MARK}
+        whole.select("*", lot).write.options(**opts).partitionBy("lot").csv(path)
+        torn.select("id", "page", lot).write.options(**opts).mode("append").partitionBy("lot").csv(path)
+    return FB.scan_fallback(s, root, _ARRIVAL_SCHEMA, whole_files=False, null_value=K.NULL_MARK, json_lines=True)
+
+
+_KEPT_SQL = with_views("arrivals").rstrip("\n") + f""",
+whole AS (SELECT * FROM arrivals WHERE ({_TORN}) IS NOT TRUE),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page DESC, position DESC) AS rn FROM whole
+  WHERE id IS NOT NULL) t WHERE rn = 1)
+"""
+register("scan_fallback_json", _KEPT_SQL + f"SELECT {_ARR_COLS} FROM kept")(lambda s, d: _land_arrivals(s, d, "json").rows)
+register("scan_fallback_csv", _KEPT_SQL + f"SELECT {_ARR_COLS} FROM kept")(lambda s, d: _land_arrivals(s, d, "csv").rows)
+_BY_LOT = """SELECT page % 8 AS lot, count(*) AS records, count(*) FILTER ({torn}) AS malformed,
+  count(*) FILTER (id IS NULL) AS no_key FROM arrivals GROUP BY 1"""
+register("scan_fallback_report", _KEPT_SQL + f"""SELECT CAST(a.lot AS INTEGER) AS lot, records, malformed, no_key,
+  records - malformed - no_key - coalesce(k.n, 0) AS superseded, coalesce(k.n, 0) AS kept
+FROM ({_BY_LOT.format(torn=_TORN)}) a LEFT JOIN (SELECT page % 8 AS lot, count(*) AS n FROM kept GROUP BY 1) k ON a.lot = k.lot""")(
+    lambda s, d: _land_arrivals(s, d, "json").report
+    .groupBy(F.regexp_extract("_file", "/lot=([0-9]+)/", 1).cast("int").alias("lot"))
+    .agg(*[F.sum(c).cast("long").alias(c) for c in ("records", "malformed", "no_key", "superseded", "kept")]))
+register("scan_fallback_set_apart", with_views("arrivals") + f"""SELECT CAST(page % 8 AS INTEGER) AS lot, 'malformed' AS reason,
+  '{{"id": "' || id || '", "page": ' || page || ', "position": ' || position || ', "title":' AS record FROM arrivals WHERE {_TORN}""")(
+    lambda s, d: _land_arrivals(s, d, "json").set_apart.where("reason = 'malformed'")
+    .select(F.regexp_extract("_file", "/lot=([0-9]+)/", 1).cast("int").alias("lot"), "reason", "record"))
+
+
 def _land_pages(s, d):
     pages = API.page_envelopes(API.api_records(P(s, d)), page_size=50)
     path = work_path(s, "landing", "pages")
@@ -227,6 +274,20 @@ register("write_batch_compact", with_views("postings_text") + """SELECT coalesce
   left(coalesce(description, ''), 500) AS description, coalesce(url, '') AS url,
   coalesce(CAST(activation_time AS VARCHAR), '') AS posted_date, '' AS job_type, false AS remote FROM postings_text""")(
     lambda s, d: K.compact_columns(B.view(s, d, "postings_text")))
+
+
+def _compact_files(s, d):
+    paths = K.write_batch_compact(B.view(s, d, "postings_text"), work_path(s, "batches"), "batch_0007")
+    stored, text = RD.scan_parquet(s, paths["parquet"]), RC.scan_csv_records(s, paths["csv"], "id string, title string, company string, "
+        "location string, description string, url string, posted_date string, job_type string, remote boolean", K.NULL_MARK)
+    return stored.select(F.lit("parquet").alias("form"), "*").unionByName(text.select(F.lit("csv").alias("form"), "*")).select(
+        "form", "id", "title", "company", F.length("description").cast("long").alias("n_description"), "posted_date", "remote")
+
+
+register("write_batch_compact_files", with_views("postings_text") + """SELECT f.form, coalesce(id, '') AS id, coalesce(title, '') AS title,
+  coalesce(nullif(company_name_en, ''), company_name_fa, '') AS company, CAST(length(left(coalesce(description, ''), 500)) AS BIGINT) AS n_description,
+  coalesce(CAST(activation_time AS VARCHAR), '') AS posted_date, false AS remote
+FROM postings_text, (VALUES ('parquet'), ('csv')) f(form)""")(_compact_files)
 register("quarantine_sample", with_views("postings_text") + """SELECT id, title, CASE WHEN length(description) > 100
   THEN concat(left(description, 100), '...') ELSE description END AS description
 FROM postings_text ORDER BY id LIMIT 5""")(

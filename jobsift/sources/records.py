@@ -67,13 +67,21 @@ def scan_csv_records(spark: SparkSession, path: str, schema: str, null_value: st
     As ``scan_csv(multiline=True)`` with a schema: values by position, the first
     record of each file left out as its header, empty lines skipped.
     """
+    options = csv_options(null_value)
+    return csv_texts(spark, path, header).select(F.from_csv("text", schema, options).alias("_row")).select("_row.*")
+
+
+def csv_options(null_value: str | None = None) -> dict:
+    return {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"} | ({"nullValue": null_value} if null_value is not None else {})
+
+
+def csv_texts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Records of CSV files as text, with the place of each: the header and empty lines left out."""
     text = F.col("value")
     quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
     found = glued_records(numbered_lines(spark, path), quotes, lambda n: n % 2 == 0, lambda n: n % 2 == 0)
     record = F.regexp_replace("text", r"\r$", "")
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"} | ({"nullValue": null_value} if null_value is not None else {})
-    rows = found.where(~F.col("first") if header else F.lit(True)).where(F.trim(record) != "")
-    return rows.select(F.from_csv(record, schema, options).alias("_row")).select("_row.*")
+    return found.where(~F.col("first") if header else F.lit(True)).where(F.trim(record) != "").withColumn("text", record)
 
 
 def scan_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -81,15 +89,19 @@ def scan_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     A line may hold several objects, an object several lines; an array on one line is one task.
     """
+    rows = json_texts(spark, path).where("text <> ''")
+    return rows.select(F.explode(F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), f"array<struct<{_fields(schema)}>>")).alias("_row")).select("_row.*")
+
+
+def json_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of JSON arrays or JSON lines as text (several with commas between them; empty at a bracket alone), with their place and the depths around them."""
     bare = F.regexp_replace("value", _STRINGS, "")
     depth = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
     found = glued_records(numbered_lines(spark, path), depth, lambda n: n <= 1, lambda n: n <= 1)
     text = F.trim(F.regexp_replace("text", r"\s+$", ""))
     text = F.when(F.col("before") == 0, F.regexp_replace(text, r"^\s*\[", "")).otherwise(text)
     text = F.when((F.col("after") == 0), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
-    objects = F.regexp_replace(F.regexp_replace(text, r"^[\s,]+", ""), r"[\s,]+$", "")
-    rows = found.select(objects.alias("_objects")).where("_objects <> ''")
-    return rows.select(F.explode(F.from_json(F.concat(F.lit("["), F.col("_objects"), F.lit("]")), f"array<struct<{_fields(schema)}>>")).alias("_row")).select("_row.*")
+    return found.withColumn("text", F.regexp_replace(F.regexp_replace(text, r"^[\s,]+", ""), r"[\s,]+$", ""))
 
 
 def _fields(schema: str) -> str:

@@ -80,10 +80,12 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None, null_val
               mode: str = "errorifexists") -> str:
     """Header, no index; nested columns serialised to JSON text first.
 
-    NULL is written as ``\\N`` so that it stays distinct from the empty string.
+    NULL is written as ``\\N`` so that it stays distinct from the empty string;
+    blanks at either end of a value stay.
     """
     flat = CO.flatten_nested(df, null_literal=False)
     w = (flat.write.mode(mode).option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .option("nullValue", null_value))
     if compression:
         w = w.option("compression", compression)
@@ -173,6 +175,16 @@ def compact_columns(df: DataFrame) -> DataFrame:
         col_or("remote", False, "boolean").alias("remote"))
 
 
+def write_batch_compact(df: DataFrame, root: str, name: str, mode: str = "errorifexists") -> dict:
+    """The fallback batch as ``processed_data/<name>.parquet`` and ``.csv``; returns the paths.
+
+    The CSV is written from the Parquet files, so the batch is computed once.
+    """
+    path = write_parquet(compact_columns(df), f"{root}/processed_data/{name}.parquet", mode=mode)
+    stored = RD.scan_parquet(df.sparkSession, path)
+    return {"name": name, "parquet": path, "csv": write_csv(stored, f"{root}/processed_data/{name}.csv", mode=mode)}
+
+
 def batch_manifest(spark: SparkSession, manifest_path: str, batch_no: int, name: str, ts: _dt.datetime,
                    row_count: int, paths: dict) -> DataFrame:
     """Append one manifest row per written batch; returns the row."""
