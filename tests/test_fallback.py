@@ -133,3 +133,18 @@ def test_runs_too_many_to_broadcast(spark):
     assert sorted(map(str, near.collect())) == sorted(map(str, far.collect())) and far.count() == 3000
     assert "Broadcast" in near._jdf.queryExecution().executedPlan().toString()
     assert "_piece" in far._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_small_runs_are_neither_broadcast_nor_all_copied(spark):
+    """Small files hide how many rows the runs have; only the run with most postings is copied, and nothing is broadcast."""
+    postings = spark.range(2000).selectExpr("CAST(id AS STRING) AS id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 = 9 THEN NULL ELSE concat('r', id) END AS batch_id")
+    path = work_path(spark, "runs")
+    spark.range(1, 3000).selectExpr("concat('r', id) AS run_id", "id AS n").union(spark.range(2).selectExpr("'hot' AS run_id", "-id AS n")).write.parquet(path)
+    runs = spark.read.parquet(path)
+    far = J.run_postings(postings, runs, broadcast_rows=100, pieces=5)
+    want = postings.join(runs, postings["batch_id"] == runs["run_id"], "left")
+    assert sorted(map(str, far.collect())) == sorted(map(str, want.collect())) and far.count() == 3400
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert "BroadcastHashJoin" not in far._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")[0]
+    assert "SortMergeJoin" in far._jdf.queryExecution().sparkPlan().toString()
