@@ -26,12 +26,25 @@ SUFFIXES = {
 # --- end of fixed values --------------------------------------------------
 
 
-def scan_json_array(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Files that each hold one JSON array of objects -> one row per object."""
-    r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+def scan_json_array(spark: SparkSession, path: str, schema: T.StructType | str | None = None, exact: bool = True) -> DataFrame:
+    """UTF-8 files that each hold one JSON array of objects -> one row per object; a file that does not parse is a row of NULLs.
+
+    A string column takes an object or a list as its text.  For that the
+    multi-line reader goes back to the file once for each, and so reads a file
+    many times over.  Where the text need not be the one in the file, blanks
+    included, ``exact=False`` reads a file once and parses it in memory.
+    """
+    if exact or schema is None:
+        r = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+        if schema is not None:
+            r = r.schema(schema)
+        return r.json(path)
+    row = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    objects = F.from_json("value", T.ArrayType(row), {"mode": "PERMISSIVE"})
+    none = F.array().cast(T.ArrayType(row))
+    files = spark.read.text(path, wholetext=True).select(
+        F.when(F.col("value").rlike(r"^\s*$"), none).otherwise(F.coalesce(objects, F.array(F.lit(None).cast(row)))).alias("_objects"))
+    return files.select(F.explode("_objects").alias("_o")).select(*[F.col(f"_o.`{f.name}`") for f in row.fields])
 
 
 def scan_json_lines(spark: SparkSession, path: str, schema=None) -> DataFrame:
