@@ -78,7 +78,7 @@ class WordHashes(dict):
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; A-Z are lower-cased, words are cut at ASCII white space."""
-    hashes = worker_memory().setdefault("word_hashes", WordHashes())
+    hashes = worker_memory("word_hashes").setdefault("word_hashes", WordHashes())
     found = (text or b"").lower().split()
     if not found:
         return np.empty(0, np.uint64)

@@ -267,7 +267,7 @@ def default_model() -> str:
 
 
 def transducer(path: str) -> PieceTransducer:
-    memory = worker_memory()
+    memory = worker_memory("sentencepiece")
     if ("pieces", path) not in memory:
         memory["pieces", path] = PieceTransducer(path)
     return memory["pieces", path]
