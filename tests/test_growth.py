@@ -69,3 +69,12 @@ def test_landings_are_written_compressed(spark):
     registry.QUERIES["scan_fallback_json"](spark, SF_SMALL).count()
     landed = [f for d in set(os.listdir(root)) - before if d.startswith("landing-") for f in _files(f"{root}/{d}")]
     assert landed and sum(f.endswith(".txt.gz") for f in landed) >= len(landed) / 2
+
+
+def test_an_exploded_posting_does_not_carry_its_page(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"page": 1, "data": {"jobPosts": [{"id": "1"}, {"id": "2", "x": 3}], "hasNextPage": true}}\n{"page": 2, "jobs": [{"id": "3"}]}\n')
+    found = API.scan_page_envelopes(spark, str(tmp_path))
+    explode = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate posexplode" in x]
+    assert len(explode) == 1 and "has_next" in explode[0] and "data#" not in explode[0], explode
+    assert [tuple(r) for r in found.select("page", "position", "has_next", "record", "id").orderBy("id").collect()] == [
+        (1, 0, True, '{"id": "1"}', "1"), (1, 1, True, '{"id": "2", "x": 3}', "2"), (2, 0, None, '{"id": "3"}', "3")]
