@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from compare import SF_SMALL
+from jobsift.operators import cleaning as CO
 from jobsift.operators import textindex as X
-from jobsift.plans import registry
+from jobsift.plans import cat_stream, registry
 from jobsift.session import local_path, work_path
 from jobsift.sources import api as API
 from jobsift.sources import readers as RD
@@ -78,3 +79,25 @@ def test_an_exploded_posting_does_not_carry_its_page(spark, tmp_path):
     assert len(explode) == 1 and "has_next" in explode[0] and "data#" not in explode[0], explode
     assert [tuple(r) for r in found.select("page", "position", "has_next", "record", "id").orderBy("id").collect()] == [
         (1, 0, True, '{"id": "1"}', "1"), (1, 1, True, '{"id": "2", "x": 3}', "2"), (2, 0, None, '{"id": "3"}', "3")]
+
+
+def test_cleaning_parses_a_text_once(spark):
+    rows = [("1", '{"min": 1, "max": "2"}', '["a"]'), ("2", "text", "Berlin"), ("3", None, None), ("4", "[1]", '{"a": 1}'), ("5", "", "[]"), ("6", "null", "null"), ("7", '{"min": 0}', '"x"')]
+    df = spark.createDataFrame([(i, "t", "u", s, l) for i, s, l in rows], "id string, title string, url string, salary string, locations string")
+    cleaned = CO.clean_postings(df)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 2
+    assert cleaned.columns == [*df.columns, "normalize_salary_min", "normalize_salary_max", "source", "reject_reason", "is_valid"]
+    got = {r["id"]: (r["salary"], r["normalize_salary_min"], r["normalize_salary_max"], r["locations"], r["reject_reason"]) for r in cleaned.collect()}
+    assert got == {"1": ('{"min": 1, "max": "2"}', 1.0, 2.0, '["a"]', None), "2": ('{"raw":"text"}', None, None, '["Berlin"]', None),
+                   "3": ("", None, None, "[]", "empty_locations"), "4": ("[1]", None, None, '{"a": 1}', "locations_not_list"),
+                   "5": ("", None, None, "[]", "empty_locations"), "6": ("null", None, None, "null", "locations_not_list"),
+                   "7": ('{"min": 0}', None, None, '"x"', "locations_not_list")}
+
+
+def test_records_are_built_after_a_shuffle(spark):
+    """A table of one file does not leave the building of API records to one task."""
+    postings = spark.createDataFrame([("1",)], "id string").coalesce(1)
+    text = {c: F.lit(None).cast("string") for c in ("title", "url", "salary", "tags", "locations", "work_types", "job_post_categories", "raw_data",
+                                                    "company_name_en", "company_name_fa", "company_id")}
+    records = cat_stream._records(postings.withColumns(text | {"activation_time": F.lit(None).cast("timestamp_ntz")}))
+    assert "RepartitionByExpression" in records._jdf.queryExecution().optimizedPlan().toString() and records.first()["itemIndex"] == 1
