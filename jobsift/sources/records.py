@@ -5,8 +5,9 @@ are read split by split, each with its file, the start of its split and its
 order there.  A line changes a count (the quotes of a CSV line; the brackets of
 a JSON line outside its strings, which cannot hold a line break).  The count
 before a line, summed over its split and the splits before it, tells whether a
-record begins there.  Most records are one line and go straight on; only lines
-of longer ones meet, by record.  What is small is a row per split.
+record begins there.  Most records are one line and go straight on: a split
+without longer ones is read by its task and shuffled nowhere.  Only lines of
+longer records meet, by record.  What is small, and broadcast, is a row per split.
 
 CSV follows RFC 4180: a quote inside a quoted value is doubled, and one stands
 in no value that is not quoted.  A lost executor reads its splits again, with
@@ -33,16 +34,22 @@ def glued_records(lines: DataFrame, change: Column, begins, ends) -> DataFrame:
     """Records: _file, _split and _line of their first line, ``text``, ``before`` and ``after`` (the counts around it), ``first`` (of its file).
 
     ``change`` is what a line adds to the count; a record begins at a line with
-    ``begins(count before)``, and a line that begins one ends it with ``ends(count after)``.
+    ``begins(count before)``, and a line that begins one ends it with ``ends(count after)``;
+    a record begins after a line where one can end.
     """
     lines = lines.withColumn("_change", change.cast("long"))
     by_file = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lines.groupBy("_file", "_split").agg(F.sum("_change").alias("_sum"))
-    offsets = sums.select("_file", "_split", F.coalesce(F.sum("_sum").over(by_file), F.lit(0)).alias("_offset"))
+    sums = lines.groupBy("_file", "_split").agg(F.sum("_change").alias("_sum"), F.min("_line").alias("_top"), F.max(F.col("_change") != 0).alias("_mixed"))
+    offsets = sums.select("_file", "_split", "_top", "_mixed", F.coalesce(F.sum("_sum").over(by_file), F.lit(0)).alias("_offset"))
+    # a row per split: lines stay where they are read, but for those of splits in which records span lines
+    calm = ~F.col("_mixed") & begins(F.col("_offset")) & ends(F.col("_offset"))
+    first = ((F.col("_split") == 0) & (F.col("_line") == F.col("_top"))).alias("first")
+    plain = lines.join(F.broadcast(offsets.where(calm)), ["_file", "_split"]).select(
+        "_file", "_split", "_line", "value", F.col("_offset").alias("before"), F.col("_offset").alias("after"), first)
+    lines = lines.join(F.broadcast(offsets.where(~calm)), ["_file", "_split"])
     split = Window.partitionBy("_file", "_split").orderBy("_line")
     local = F.coalesce(F.sum("_change").over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = lines.withColumns({"_local": local, "first": (F.col("_split") == 0) & (F.row_number().over(split) == 1)})
-    counted = counted.join(offsets, ["_file", "_split"]).withColumn("before", F.col("_offset") + F.col("_local")).withColumn(
+    counted = lines.select("*", local.alias("_local"), first).withColumn("before", F.col("_offset") + F.col("_local")).withColumn(
         "after", F.col("before") + F.col("_change"))
     place = F.struct(F.col("_split").alias("s"), F.col("_line").alias("l"))
     started = counted.withColumn("_start", F.when(begins(F.col("before")), place))
@@ -58,7 +65,7 @@ def glued_records(lines: DataFrame, change: Column, begins, ends) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.struct("_split", "_line", "value"))).getField("value"), "\n").alias("value"),
         F.min_by("before", place).alias("before"), F.max_by("after", place).alias("after"), F.max("first").alias("first"))
     glued = whole.select("_file", F.col("_own.s").alias("_split"), F.col("_own.l").alias("_line"), "value", "before", "after", "first")
-    return alone.unionByName(glued).withColumnRenamed("value", "text")
+    return plain.unionByName(alone).unionByName(glued).withColumnRenamed("value", "text")
 
 
 def scan_csv_records(spark: SparkSession, path: str, schema: str, null_value: str | None = None, header: bool = True) -> DataFrame:
@@ -78,7 +85,7 @@ def csv_options(null_value: str | None = None) -> dict:
 def csv_texts(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Records of CSV files as text, with the place of each: the header and empty lines left out."""
     text = F.col("value")
-    quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
+    quotes = (F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))) % 2
     found = glued_records(numbered_lines(spark, path), quotes, lambda n: n % 2 == 0, lambda n: n % 2 == 0)
     record = F.regexp_replace("text", r"\r$", "")
     return found.where(~F.col("first") if header else F.lit(True)).where(F.trim(record) != "").withColumn("text", record)

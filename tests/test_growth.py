@@ -12,6 +12,7 @@ from jobsift.plans import cat_stream, registry
 from jobsift.session import local_path, work_path
 from jobsift.sources import api as API
 from jobsift.sources import readers as RD
+from jobsift.sources import records as RC
 
 registry.load_all()
 
@@ -101,3 +102,18 @@ def test_records_are_built_after_a_shuffle(spark):
                                                     "company_name_en", "company_name_fa", "company_id")}
     records = cat_stream._records(postings.withColumns(text | {"activation_time": F.lit(None).cast("timestamp_ntz")}))
     assert "RepartitionByExpression" in records._jdf.queryExecution().optimizedPlan().toString() and records.first()["itemIndex"] == 1
+
+
+def test_lines_of_plain_splits_are_not_shuffled(spark, tmp_path):
+    """CSV without line breaks in values is read by its tasks; beside it a file with such breaks is glued as before."""
+    (tmp_path / "plain.csv").write_text('id,t\n1,"a ""b"""\n\n2,\n')
+    RC.csv_texts(spark, str(tmp_path / "plain.csv")).write.mode("overwrite").format("noop").save()
+    plain = RC.scan_csv_records(spark, str(tmp_path / "plain.csv"), "id string, t string")
+    assert sorted(map(tuple, plain.collect())) == [("1", 'a "b"'), ("2", None)]
+    (tmp_path / "glued.csv").write_text('id,t\n3,"x\ny ""z\nend"\n4,w\n5,"\n"\n')
+    found = RC.scan_csv_records(spark, str(tmp_path), "id string, t string")
+    assert sorted(map(tuple, found.collect())) == [("1", 'a "b"'), ("2", None), ("3", 'x\ny "z\nend'), ("4", "w"), ("5", "\n")]
+    run = plain.select("id")
+    run.collect()
+    final = run._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final and "rangepartitioning" not in final and "Window" not in final.split("FileScan text")[0].split("BroadcastQueryStage")[0], final
