@@ -3,6 +3,7 @@
 import os
 
 import pyarrow as pa
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from compare import SF_SMALL
@@ -117,3 +118,12 @@ def test_lines_of_plain_splits_are_not_shuffled(spark, tmp_path):
     run.collect()
     final = run._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final and "rangepartitioning" not in final and "Window" not in final.split("FileScan text")[0].split("BroadcastQueryStage")[0], final
+
+
+def test_arrivals_are_made_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Four files, one after another; the join that makes the rows is not left to the task that writes them."""
+    made = []
+    repartition = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: made.append(a) or repartition(df, *a))
+    src = cat_stream._arrivals_in_order(spark, SF_SMALL)
+    assert made == [(1,)] * 4 and len(spark.read.parquet(src).inputFiles()) == 4
