@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from compare import SF_SMALL
 from jobsift.operators import cleaning as CO
+from jobsift.operators import epochs as EP
+from jobsift.operators import merge as U
 from jobsift.operators import textindex as X
 from jobsift.plans import cat_stream, registry
 from jobsift.session import local_path, work_path
 from jobsift.sources import api as API
 from jobsift.sources import readers as RD
 from jobsift.sources import records as RC
+from jobsift.sources import sinks as K
 
 registry.load_all()
 
@@ -127,3 +130,39 @@ def test_arrivals_are_made_by_all_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: made.append(a) or repartition(df, *a))
     src = cat_stream._arrivals_in_order(spark, SF_SMALL)
     assert made == [(1,)] * 4 and len(spark.read.parquet(src).inputFiles()) == 4
+
+
+def _batch(spark):
+    rows = [("a", "1", 1), ("b", "1", 2), ("a", "2", 3), (None, "1", 4), (None, "2", 5), ("c", "1", 6), ("d", "2", 7), ("d", "1", 8)]
+    return spark.createDataFrame(rows, "id string, title string, _arrival int")
+
+
+def test_keys_that_come_once_are_not_aggregated(spark, monkeypatch):
+    """Few, many and no repeated keys, a null key among them, give what the aggregate of all rows gives."""
+    batch = _batch(spark)
+    for few in (U.FEW_KEYS, 2):
+        monkeypatch.setattr(U, "FEW_KEYS", few)
+        for order in (None, ["_arrival"]):
+            got, want = U.dedupe_reread(batch, "id", order), U.dedupe_batch(batch, "id", order)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    once = batch.where("_arrival in (2, 3, 4, 6)")
+    plan = U.dedupe_reread(once)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan and "Sort" not in plan
+
+
+def test_an_import_writes_its_rows_without_a_sort(spark, tmp_path, monkeypatch):
+    """A batch in which keys come once is stored by the tasks that read it."""
+    merged = []
+    dedupe = U.dedupe_batch
+    for module in (U, EP):
+        monkeypatch.setattr(module, "dedupe_batch", lambda *a: merged.append(a) or dedupe(*a))
+    upload = str(tmp_path / "v.json")
+    (tmp_path / "v.json").write_text('[{"id": "1", "title": "x"}, {"id": "2"}, {"title": "no id"}]')
+    table = work_path(spark, "growth", "import")
+    for update in (True, False):
+        K.import_postings(spark, upload, table, "2024-01-01 00:00:00", schema="id string, title string", update_existing=update)
+    assert not merged and {r["id"]: r["title"] for r in EP.latest(spark, table).collect()} == {"1": "x", "2": "Untitled Job"}
+    (tmp_path / "v.json").write_text('[{"id": "2", "title": "first"}, {"id": "2", "title": "last"}, {"id": "3", "title": "y"}]')
+    counts = K.import_postings(spark, upload, table, "2024-01-02 00:00:00", schema="id string, title string").first()
+    assert merged and tuple(counts) == ("success", 3, 1, 1, 0)
+    assert {r["id"]: r["title"] for r in EP.latest(spark, table).collect()} == {"1": "x", "2": "last", "3": "y"}
