@@ -166,3 +166,20 @@ def test_an_import_writes_its_rows_without_a_sort(spark, tmp_path, monkeypatch):
     counts = K.import_postings(spark, upload, table, "2024-01-02 00:00:00", schema="id string, title string").first()
     assert merged and tuple(counts) == ("success", 3, 1, 1, 0)
     assert {r["id"]: r["title"] for r in EP.latest(spark, table).collect()} == {"1": "x", "2": "last", "3": "y"}
+
+
+def test_new_keys_are_found_by_the_key_column(spark, monkeypatch):
+    """Few new keys are broadcast, many meet the rows in a hash join; the held keys, a whole table, are never broadcast."""
+    batch, held = _batch(spark), spark.createDataFrame([("a",), ("x",), ("c",)], "id string")
+    for few, form in ((U.FEW_KEYS, "BroadcastHashJoin"), (1, "ShuffledHashJoin")):
+        monkeypatch.setattr(U, "FEW_KEYS", few)
+        tables = [work_path(spark, "growth", "new") for _ in range(2)]
+        for table, reread in zip(tables, (True, False)):
+            EP.append(held.withColumn("title", F.lit("0")), table, 1, "2024-01-01 00:00:00")
+            EP.insert_new(batch, table, 2, "2024-01-02 00:00:00", order=["_arrival"], reread=reread)
+        got, want = [sorted(map(str, EP.read(spark, t).collect())) for t in tables]
+        assert got == want and len(got) == 6
+        new = U.keys_not_in(batch, held)
+        assert "Broadcast" not in new._jdf.queryExecution().executedPlan().toString()
+        plan = U.keep_keys(batch, new, 3)._jdf.queryExecution().executedPlan().toString()
+        assert form in plan and "SortMergeJoin" not in plan, plan
