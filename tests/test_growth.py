@@ -183,3 +183,19 @@ def test_new_keys_are_found_by_the_key_column(spark, monkeypatch):
         assert "Broadcast" not in new._jdf.queryExecution().executedPlan().toString()
         plan = U.keep_keys(batch, new, 3)._jdf.queryExecution().executedPlan().toString()
         assert form in plan and "SortMergeJoin" not in plan, plan
+
+
+def test_a_single_later_epoch_is_not_aggregated(spark):
+    """It holds a key once, so its unused columns are not even read; two later ones are folded."""
+    table = work_path(spark, "growth", "later")
+    rows = [spark.createDataFrame([(i, f"{n}", "long") for i in ids], "id string, title string, raw_data string") for n, ids in enumerate((["a", "b", None], ["b", "c", None], ["c", "d"]))]
+    for n, batch in enumerate(rows[:2]):
+        EP.append(batch, table, n + 1, f"2024-01-0{n + 1} 00:00:00")
+    found = EP.latest(spark, table)
+    plan = found.select("id", "title")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "raw_data" not in plan
+    got = {r["id"]: (r["title"], r["created_at"].day, r["updated_at"].day) for r in found.collect()}
+    assert got == {"a": ("0", 1, 1), "b": ("1", 1, 2), None: ("1", 1, 2), "c": ("1", 2, 2)}
+    EP.append(rows[2], table, 3, "2024-01-03 00:00:00")
+    got = {r["id"]: (r["title"], r["created_at"].day, r["updated_at"].day) for r in EP.latest(spark, table).collect()}
+    assert got == {"a": ("0", 1, 1), "b": ("1", 1, 2), None: ("1", 1, 2), "c": ("2", 2, 3), "d": ("2", 3, 3)}
